@@ -117,3 +117,9 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand texts to Python few at a time, as a batch of very long ones must fit in a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

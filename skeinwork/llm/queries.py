@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import html_extract, media, minhash, packing, quality_rules, token_counts, token_files, toxicity
+from skeinwork.llm import html_extract, media, minhash, packing, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
 }
@@ -106,7 +111,17 @@ m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root::BIGINT AS component_id, w.doc_id = m.root AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN m ON m.node = w.doc_id"""
 
+_SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS c FROM r, (SELECT unnest(range(0, 20)) AS k) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(c.c), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN c.c IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(c.c, i)), lambda i: w.w[i]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_duplicates": _NEAR_SQL,
     "op7_quality_rules": _quality_sql(),
+    "op8_substring_dedup": _SUBSTRING_SQL,
 }
