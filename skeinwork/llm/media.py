@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skeinwork.llm.common import small_batches
+
 FRAME = 576
 TAIL = 32
 RATE = 8000
@@ -121,4 +123,5 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
         k = 11 if with_media else 10
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols[:k], kinds, strict=False)], names=names[:k])
 
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA + (", media binary" if with_media else ""))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import WordHashes, gram_hashes, keyed, mixed, odd_constants, work_dir, written
+from skeinwork.llm.common import WordHashes, gram_hashes, keyed, mixed, odd_constants, small_batches, work_dir, written
 
 GROUPS = 12
 ROWS = 2
@@ -139,6 +139,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     first row and may be null, and only its first row is kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = work_dir(spark, "minhash")
     docs = keyed(docs.select("doc_id", "text"), folder)
     sig = written(signatures(docs, shingle), folder, "signatures")

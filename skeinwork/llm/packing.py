@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import work_dir, written
+from skeinwork.llm.common import small_batches, work_dir, written
 from skeinwork.llm.units import unit_ids
 
 CAPACITY = 1024
@@ -35,8 +35,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         cache = unit_ids(path, keep_space=True)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(cache.of(text or "") + end)
+            encoded = cache.many([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, x in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids = memoryview(x + end)
                 n = len(ids) // 4
                 a, b, k = 0, n % capacity or capacity, 0
                 while a < n:
@@ -153,4 +154,5 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize and pack all rows of docs; null ids and repeated rows are packed like any other row."""
+    small_batches(docs.sparkSession)
     return pack(pieces(docs, path, capacity), capacity)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skeinwork.llm.common import small_batches
 from skeinwork.llm.units import UnitIds, units
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -30,24 +31,21 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 
 class Counter(dict):
-    """Piece to its number of tokens: 1 for proven strings, else what the library gives."""
+    """Piece to its number of tokens: 1 for proven strings, else what the library gives; bounded."""
 
-    def __init__(self, path: str, whole: frozenset[str], limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, whole: frozenset[str], limit: int = 400_000):
         super().__init__()
-        self.base, self.ids, self.limit, self.longest = dict.fromkeys(whole, 1), UnitIds(path, keep_space=False), limit, longest
+        self.base, self.ids, self.limit = dict.fromkeys(whole, 1), UnitIds(path, keep_space=False), limit
         self.update(self.base)
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.ids._encode(piece)) // 4
-        if len(piece) <= self.longest:
-            self[piece] = n
-        return n
-
-    def of(self, text: str) -> int:
+    def many(self, texts: list[str]) -> list[int]:
         if len(self) > self.limit:
             self.clear()
             self.update(self.base)
-        return sum(map(self.__getitem__, units(text)))
+        cut = [units(t) for t in texts]
+        rest = list(set().union(*cut).difference(self)) if cut else []
+        self.update((x, len(e) // 4) for x, e in zip(rest, self.ids.encode(rest), strict=True))
+        return [sum(map(self.__getitem__, c)) for c in cut]
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -59,6 +57,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     Repeated rows are counted one by one, null ids are passed on, other columns are left out. The vocabulary file's path
     must be the same on all executors; the proven strings (at most the vocabulary) are shipped with the task.
     """
+    small_batches(docs.sparkSession)
     whole = whole_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +66,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         counter = _COUNTERS[path]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [counter.of(t) for t in texts]
+            n = counter.many(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

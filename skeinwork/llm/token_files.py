@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import dropped, work_dir, written
+from skeinwork.llm.common import dropped, small_batches, work_dir
 from skeinwork.llm.units import unit_ids
 
 END_ID = 2
-RAW = "doc_id long, ids binary"
+RAW = "doc_id long, n long, ids binary"
 FILES = "doc_id long, shard int, local_start long, n_tokens long, control binary, data binary"
 
 #: Lengths of the four ids of each control byte.
@@ -57,15 +57,26 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def narrow(ids: bytes) -> bytes:
+    """Little-endian unsigned 32-bit ids as 16-bit ones where all fit; the number of ids tells which."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if x.max(initial=0) <= 0xFFFF else ids
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of each whole text (null: empty) with the end id, as little-endian unsigned 32-bit bytes."""
+    """doc_id, number and narrow bytes of the ids of each whole text (null: empty) with the end id."""
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = unit_ids(path, keep_space=False)
         for batch in batches:
-            out = [cache.of(t or "") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            out = [x + end for x in cache.many([t or "" for t in batch.column(1).to_pylist()])]
+            n = pa.array([len(x) // 4 for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(list(map(narrow, out)), pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, RAW)
 
@@ -76,8 +87,8 @@ def _counts(raw: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, "<u4"))
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = np.bincount(widened(x, k))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
@@ -86,7 +97,7 @@ def _counts(raw: DataFrame) -> np.ndarray:
         ids = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    rows = raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -96,7 +107,9 @@ def _counts(raw: DataFrame) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
     """Write all documents to folder/files in ascending doc_id order (nulls last, equal ids by their ids' bytes); returns ids by rank."""
     spark = docs.sparkSession
-    raw = written(encode_texts(docs, path), folder, "raw")
+    small_batches(spark)
+    encode_texts(docs, path).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
     counts = _counts(raw)
     by_rank = np.argsort(-counts, kind="stable").astype(np.uint32)
     rank = np.empty(len(by_rank), np.uint32)
@@ -106,8 +119,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
         shard, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(ids, "<u4")
+            for doc_id, n, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x = widened(ids, n)
                 control, data = encode(rank[x])
                 rows.append((doc_id, shard, at, len(x), control, data))
                 at += len(x)
@@ -117,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
             )
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
-    ranged = raw.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ranged = raw.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     ranged.mapInArrow(run, FILES).write.parquet(f"{folder}/files")
     dropped(spark, f"{folder}/raw")
     return by_rank

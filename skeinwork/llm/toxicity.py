@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import small_batches
+
 BUCKETS = 1 << 15
 PREFIXES = (4, 5)
 DIM = 12
@@ -257,6 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text; null texts are empty, null ids are not held out."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x filters x widths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +277,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of docs whose text scores below CUT, with the columns of docs alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

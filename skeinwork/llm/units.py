@@ -9,6 +9,7 @@ this against the library on whole texts with runs of spaces, line ends and speci
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -17,40 +18,57 @@ _CUT = re.compile(r" (?=[^\s])")
 
 
 def units(text: str) -> list[str]:
-    """The text cut at each space that a non-space follows; that space goes to the piece after it (see spaced())."""
+    """The text cut at each space that a non-space follows; the cut takes that space."""
     return _CUT.split(text)
 
 
-def spaced(pieces: list[str]) -> list[str]:
-    """Pieces with the space that the cut took, but for the first."""
-    return pieces[:1] + [" " + x for x in pieces[1:]]
-
-
 class UnitIds(dict):
-    """Piece to its ids as little-endian unsigned 32-bit bytes; bounded, filled through the tokenizers library."""
+    """Piece to its ids as little-endian unsigned 32-bit bytes; bounded, filled through the tokenizers library in batches.
+
+    keep_space: whether a piece's ids depend on the space before it. A text's first piece has none, and is kept apart.
+    """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, keep_space: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.space, self.limit, self.longest = " " if keep_space else "", limit, longest
-
-    def _encode(self, piece: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(self.space + piece)
-        if len(piece) <= self.longest:  # a very long piece is rare and isn't worth keeping
-            self[piece] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """All ids of a text."""
+        self.space, self.limit = " " if keep_space else "", limit
+        special = [(k, t) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.stop_id, self.stop = (special[-1][0], special[-1][1].content) if special else (-1, "")
+        self.mark = self.stop[:1]
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. The library encodes what lies between special strings apart from each other, so pieces are
+        joined by one and encoded many at a time; pieces that may hold a special string go alone.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        joined = [k for k, p in enumerate(pieces) if self.mark not in p] if self.stop else []
+        groups = [joined[a : a + 256] for a in range(0, len(joined), 256)]
+        encoded = self.tokenizer.encode_batch_fast([self.stop.join(pieces[k] for k in g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, encoded, strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.stop_id)
+            data, at = ids.tobytes(), 0
+            for k, end in zip(g, [*(4 * cuts).tolist(), len(data)], strict=True):
+                out[k] = data[at:end]
+                at = end + 4
+        alone = [k for k, p in enumerate(pieces) if not self.stop or self.mark in p]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = np.asarray(e.ids, "<u4").tobytes()
+        return out
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text; every distinct piece that isn't known yet is encoded once."""
         if len(self) > self.limit:
             self.clear()
-        head, *rest = units(text)
-        return (self._encode(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+        cut = [units(t) for t in texts]
+        heads = [c.pop(0) if self.space else "" for c in cut]
+        new = list(set().union(*cut).difference(self)) if cut else []
+        self.update(zip(new, self.encode([self.space + x for x in new]), strict=True))
+        first = self.encode(heads) if self.space else [b""] * len(cut)
+        return [h + b"".join(map(self.__getitem__, c)) for h, c in zip(first, cut, strict=True)]
 
 
 _LOADED: dict[tuple[str, bool], UnitIds] = {}
