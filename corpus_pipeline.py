@@ -1,11 +1,17 @@
-"""The corpus pipeline: documents through filters, deduplication and packing; each stage is written and read again."""
+"""The corpus pipeline: documents through filters, deduplication and packing; each stage is written and read again.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents; the
+last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinwork.llm import quality_rules
-from skeinwork.llm.common import work_dir
+from skeinwork.llm import minhash, packing, quality_rules, substring_dedup, toxicity
+from skeinwork.llm.common import keyed, work_dir
+from skeinwork.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +19,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs)
 
 
-STAGES = [("quality rules", quality)]
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier passes; it is trained on the labelled rows that reach this stage."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean_documents(docs, toxicity.train(docs, labels))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    rows = keyed(docs, work_dir(spark, "one-of-each"))
+    found = minhash.near_duplicates(rows.select(F.col("_rk").alias("doc_id"), "text"), shingle=5)
+    return rows.join(found.where("kept").select("_rk"), "_rk", "left_semi").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; a document that loses all its words stays, with empty text."""
+    return substring_dedup.deduplicated(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their sequence and place."""
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", clean),
+    ("MinHash near-dedup", one_of_each),
+    ("substring dedup", without_repeats),
+    ("best-fit packing", packed),
+]
 
 #: Learned scores and packing can't be expressed in SQL.
 ORACLE_SQL = None

@@ -120,7 +120,9 @@ def quality_table(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") ->
             verdict &= F.col(f"q_{m}") >= least
         if most is not None:
             verdict &= F.col(f"q_{m}") <= most
-    return df.select(*keep, *wanted[:5], *[f"q_{m}" for m, _, _ in thresholds], failed.alias("base_failed"), verdict.alias("kept"))
+    out = F.struct(*keep, *wanted[:5], *[f"q_{m}" for m, _, _ in thresholds], failed.alias("base_failed"), verdict.alias("kept"))
+    # One row in, one row out: a later filter stays above this, or the optimizer would copy the counts into every lambda.
+    return df.select(F.explode(F.array(out)).alias("_x")).select("_x.*")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

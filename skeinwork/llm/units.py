@@ -28,7 +28,7 @@ class UnitIds(dict):
     keep_space: whether a piece's ids depend on the space before it. A text's first piece has none, and is kept apart.
     """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, keep_space: bool, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
