@@ -29,9 +29,11 @@ DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 6
+DROPOUT = 0.4
 RATE = 0.02
 BATCH = 64
 MAX_TRAIN = 6000
+LEAST_POSITIVE = 10
 CUT = 0.3
 HELD_OUT = 2
 CHUNK = 200_000
@@ -146,7 +148,6 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     weights = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
     rate = float(y[~part].mean()) if (~part).any() else 0.0
     intercept = np.float32(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
-    share = min(max(rate, 0.01), 0.99)
     state = {}
 
     def adam(name, value, grad, rows=None):
@@ -159,15 +160,17 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
 
     train = np.nonzero(~part)[0]
     if 0 < rate < 1:
-        for epoch in range(EPOCHS):
+        for _ in range(EPOCHS * max(1, min(5, 1500 // len(train)))):  # a small sample is gone over more often
             for a in range(0, len(train), BATCH):
                 if a == 0:
                     order = rng.permutation(train)
                 batch = order[a : a + BATCH]
                 pooled = np.zeros((len(batch), len(weights)), np.float32)
                 where = np.full(pooled.shape, -1)
+                shown = {}
                 for i, d in enumerate(batch):
-                    x = emb[subs[at[d]]].sum(1)
+                    shown[i] = at[d][rng.random(len(at[d])) >= DROPOUT]
+                    x = emb[subs[shown[i]]].sum(1)
                     for k, w in enumerate(WIDTHS):
                         n = len(x) - w + 1
                         if n <= 0:
@@ -179,19 +182,18 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
                         pooled[i, own] = np.maximum(top, 0)
                         where[i, own] = np.where(top > 0, best, -1)
                 p = 1 / (1 + np.exp(-np.clip(pooled @ weights + intercept, -30, 30)))
-                cost = np.where(y[batch] == 1, 0.5 / share, 0.5 / (1 - share))
-                delta = ((p - y[batch]) * cost / len(batch)).astype(np.float32)
+                delta = ((p - y[batch]) / len(batch)).astype(np.float32)
                 back = delta[:, None] * weights[None, :]
                 g_filt = [1e-4 * f for f in filt]
                 g_bias = [np.zeros_like(b) for b in bias]
                 rows, grads = [], []
-                for i, d in enumerate(batch):
+                for i in range(len(batch)):
                     for k, w in enumerate(WIDTHS):
                         for f in range(FILTERS):
                             c = k * FILTERS + f
                             if where[i, c] < 0 or back[i, c] == 0:
                                 continue
-                            hit = subs[at[d][where[i, c] : where[i, c] + w]]
+                            hit = subs[shown[i][where[i, c] : where[i, c] + w]]
                             g_filt[k][:, :, f] += back[i, c] * emb[hit].sum(1)
                             g_bias[k][f] += back[i, c]
                             rows.append(hit.ravel())
@@ -219,14 +221,14 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> np.ndarray:
-    """Each language's threshold of best F1 on rows that weren't fitted; that of all rows where a language has few."""
+    """Each language's threshold of best F1 on rows that weren't fitted; that of all rows where a language has few; a half where all have."""
     words = Words(model.project)
     raw = model.scores(words, texts)  # thresholds are at CUT yet, so these are the plain probabilities
     langs = np.asarray([language(words.langs[words.of(t)]) for t in texts])
 
     def best(p, t) -> float:
-        if not len(p) or not 0 < t.sum() < len(t):
-            return CUT
+        if t.sum() < LEAST_POSITIVE or t.sum() == len(t):
+            return 0.5
         order = np.argsort(-p, kind="stable")
         hits = np.cumsum(t[order])
         f1 = 2 * hits / (np.arange(1, len(p) + 1) + t.sum())
@@ -235,7 +237,7 @@ def calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> np.ndarray:
         return float(np.clip((p[order[k]] + below) / 2, 0.02, 0.98))
 
     every = best(raw, y)
-    return np.asarray([best(raw[langs == k], y[langs == k]) if (y[langs == k] == 1).sum() >= 10 else every for k in range(len(MARKERS) + 1)])
+    return np.asarray([best(raw[langs == k], y[langs == k]) if (y[langs == k] == 1).sum() >= LEAST_POSITIVE else every for k in range(len(MARKERS) + 1)])
 
 
 def fold(doc_id: Column) -> Column:
