@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import html_extract, media, minhash, packing, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from skeinwork.llm import html_extract, media, minhash, packing, quality_rules, sentencepiece_scan, substring_dedup, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    return sentencepiece_scan.digest(sentencepiece_scan.encode(_table(spark, sf_dir, "documents"), path), path)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_sentencepiece_scan": op4_sentencepiece_scan,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,

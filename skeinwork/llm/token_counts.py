@@ -43,8 +43,10 @@ class Counter(dict):
             self.clear()
             self.update(self.base)
         cut = [units(t) for t in texts]
-        rest = list(set().union(*cut).difference(self)) if cut else []
-        self.update((x, len(e) // 4) for x, e in zip(rest, self.ids.encode(rest), strict=True))
+        rest = set().union(*cut).difference(self)
+        self.ids.clear()
+        self.ids.learn(rest)
+        self.update((x, len(self.ids[x]) // 4) for x in rest)
         return [sum(map(self.__getitem__, c)) for c in cut]
 
 

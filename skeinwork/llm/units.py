@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 
+SIGNS = ".,;:!?"
 _CUT = re.compile(r" (?=[^\s])")
 
 
@@ -59,14 +60,32 @@ class UnitIds(dict):
             out[k] = np.asarray(e.ids, "<u4").tobytes()
         return out
 
+    def learn(self, new: set[str]) -> None:
+        """Encode unknown pieces, those that end in punctuation by their stems.
+
+        Both split patterns part letters from a sign after them, so a stem of letters and the sign are encoded apart. Where
+        the tokenizer lower-cases, and case is simple (Latin-1), a stem is looked up in lower case.
+        """
+        parts: dict[str, tuple[str, str]] = {}
+        for piece in new:
+            stem, sign = (piece[:-1], piece[-1]) if piece[-1:] in SIGNS and piece[:-1].isalpha() else (piece, "")
+            if not self.space and stem.isalpha() and max(stem) < "\u0100":
+                stem = stem.lower()
+            if sign or stem != piece:
+                parts[piece] = stem, sign
+        stems = list((new.difference(parts) | {s for s, _ in parts.values()}).difference(self))
+        self.update(zip(stems, self.encode([self.space + x for x in stems]), strict=True))
+        if parts:
+            ends = dict(zip(SIGNS, self.encode(list(SIGNS)), strict=True)) | {"": b""}
+            self.update((piece, self[stem] + ends[sign]) for piece, (stem, sign) in parts.items())
+
     def many(self, texts: list[str]) -> list[bytes]:
         """All ids of each text; every distinct piece that isn't known yet is encoded once."""
         if len(self) > self.limit:
             self.clear()
         cut = [units(t) for t in texts]
         heads = [c.pop(0) if self.space else "" for c in cut]
-        new = list(set().union(*cut).difference(self)) if cut else []
-        self.update(zip(new, self.encode([self.space + x for x in new]), strict=True))
+        self.learn(set().union(*cut).difference(self))
         first = self.encode(heads) if self.space else [b""] * len(cut)
         return [h + b"".join(map(self.__getitem__, c)) for h, c in zip(first, cut, strict=True)]
 
