@@ -27,9 +27,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    rows = keyed(docs, work_dir(spark, "one-of-each"))
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), work_dir(spark, "one-of-each"))
     found = minhash.near_duplicates(rows.select(F.col("_rk").alias("doc_id"), "text"), shingle=5)
-    return rows.join(found.where("kept").select("_rk"), "_rk", "left_semi").select(*docs.columns)
+    return rows.select("row", "_rk").join(found.where("kept").select("_rk"), "_rk", "left_semi").select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,12 +98,12 @@ def quality_table(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") ->
     wanted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     keep = [c for c in docs.columns if c not in wanted and not c.startswith("q_")]
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(*keep, whole.alias("_t"))
+    df = docs.select(F.struct(*keep).alias("_keep"), whole.alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", r"[ \t\n\x0B\f\r]+"), ""))
     df = df.withColumn("_full", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]")))
     df = with_window_hashes(df, "_w", "_h")
     df = df.select(
-        *keep, "_t", "_w",
+        "_keep", "_t", "_w",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -120,12 +120,12 @@ def quality_table(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") ->
             verdict &= F.col(f"q_{m}") >= least
         if most is not None:
             verdict &= F.col(f"q_{m}") <= most
-    out = F.struct(*keep, *wanted[:5], *[f"q_{m}" for m, _, _ in thresholds], failed.alias("base_failed"), verdict.alias("kept"))
+    out = F.struct("_keep", *wanted[:5], *[f"q_{m}" for m, _, _ in thresholds], failed.alias("base_failed"), verdict.alias("kept"))
     # One row in, one row out: a later filter stays above this, or the optimizer would copy the counts into every lambda.
-    return df.select(F.explode(F.array(out)).alias("_x")).select("_x.*")
+    return df.select(F.explode(F.array(out)).alias("_x")).select("_x._keep.*", *[F.col("_x")[c].alias(c) for c in [*wanted[:5], *[f"q_{m}" for m, _, _ in thresholds], *wanted[5:]]])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the columns of docs alone."""
-    marked = quality_table(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"))
+    marked = quality_table(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
     return marked.where("kept").select("_row.*")

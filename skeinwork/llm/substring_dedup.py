@@ -253,11 +253,11 @@ class FingerprintIndex:
 
 
 def _spans(docs: DataFrame, batches: int) -> DataFrame:
-    """docs with _rk and spans: all repeated windows of each row as an array of (pos, bits)."""
+    """row (all columns of docs as a struct, so that none can clash) and spans: its repeated windows as an array of (pos, bits)."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark, "substring")
-    docs = keyed(docs, folder)
+    docs = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), folder)
     narrow = docs.select("_rk", "text")
     bounds = docs.stat.approxQuantile("_rk", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [-(1 << 63), *sorted({int(b) + 1 for b in bounds}), (1 << 63) - 1]
@@ -267,7 +267,7 @@ def _spans(docs: DataFrame, batches: int) -> DataFrame:
         out = index.add(part, lo)
         found = out if found is None else found.unionByName(out)
     spans = found.groupBy("rk").agg(F.collect_list(F.struct("pos", "bits")).alias("spans"))
-    return docs.join(spans, F.col("_rk") == F.col("rk"), "left").drop("rk")
+    return docs.select("row", "_rk").join(spans, F.col("_rk") == F.col("rk"), "left").select("row", "spans")
 
 
 def kept_words(text: str | None, spans) -> tuple[list[bytes], int]:
@@ -303,7 +303,7 @@ def substring_digest(docs: DataFrame, batches: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     marked = _spans(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), batches)
-    return marked.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked.select("row.*", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -311,14 +311,14 @@ def deduplicated(docs: DataFrame, batches: int = 2) -> DataFrame:
 
     A text that loses nothing stays as it is; one that does becomes its kept words joined by one space.
     """
-    columns = docs.columns
+    columns, place = docs.columns, docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 out.append(b" ".join(kept_words(text, spans)[0]).decode() if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == place else batch.column(k) for k in range(len(columns))], names=columns)
 
-    done = _spans(docs, batches).select(*columns, "spans").mapInArrow(run, docs.schema)
+    done = _spans(docs, batches).select("row.*", F.col("spans").alias("_" * (1 + max(map(len, columns))))).mapInArrow(run, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else done
