@@ -7,8 +7,9 @@ Jaccard similarity 0.8 a pair is missed with probability 1e-4, at 0.85 with 7e-6
 
 Documents with equal sets are one class from the start. In a bucket, each class is compared with the smallest and the
 largest one: no pairs within a bucket are formed. Confirmed links are merged to components. Where a bucket still spans
-several components, its members meet further hubs, and at last all pairs across components that weren't compared yet, so no
-link among bucket mates is lost and a large group of near copies costs a few comparisons a member.
+several components, its members meet further hubs. Members of buckets that are open even then are joined on their rarest
+shingles instead of on the bucket: two sets of the wanted similarity must have one in common among the rarest
+n - ceil(similarity * n) + 1 of each, so no link is lost, while a passage that many documents share makes no pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import WordHashes, gram_hashes, keyed, mixed, odd_constants, small_batches, work_dir, written
@@ -127,6 +128,37 @@ def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
         seen = now
 
 
+def rare_pairs(ids: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """Pairs (a, b), a > b, of ids (rep, comp, n) of different components that may be similar: all that are, and few others.
+
+    A document's shingles are ordered from rare to common, counted over ids. A pair meets at its first common shingle, in
+    both prefixes; from there on enough shingles must be left in both for the overlap that the similarity asks for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), k, words).view(np.int64)
+                for a in range(0, len(s), BLOCK):
+                    part = s[a : a + BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep, np.int64)), pa.array(part)], names=["rep", "s"])
+
+    texts = docs.select(F.col("_rk").alias("rep"), "text").join(ids.select("rep"), "rep")
+    shingles = written(texts.mapInArrow(run, "rep long, s long"), folder, "rare-shingles")
+    common = shingles.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = shingles.join(common, "s", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
+    ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("c", "s")) - 1)
+    prefix = ranked.where("c > 1").join(ids, "rep").where(f"pos <= n - (({percent} * n + 99) div 100)").select("s", "rep", "comp", "n", "pos")
+    prefix = written(prefix, folder, "rare-prefixes")
+    mixed = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
+    met = written(prefix.join(mixed, "s"), folder, "rare-mixed")
+    left, right = (met.select("s", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("pos")).alias(f"l{x}")) for x in "ab")
+    size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    left_over = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
+    return left.join(right, "s").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & size & left_over).select("a", "b").distinct()
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
@@ -158,18 +190,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     for step in range(1, HUB_ROUNDS + 2):
         placed = members.select("key", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("s")).where("comps > 1")
-        open_keys = written(open_keys, folder, f"open{step}")
-        total = open_keys.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0))).first()
-        if not total[0]:
+        open_keys = written(sizes.groupBy("key").count().where("count > 1"), folder, f"open{step}")
+        if not open_keys.take(1):
             break
         still = written(placed.join(open_keys.select("key"), "key"), folder, f"still{step}")
-        last = step > HUB_ROUNDS or total[1] <= 2 * total[0]
+        last = step > HUB_ROUNDS
         if last:
-            sized = still.join(reps.select("rep", "n"), "rep")
-            left, right = (sized.select("key", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-            fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            new = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+            new = rare_pairs(still.select("rep", "comp").distinct().join(reps.select("rep", "n"), "rep"), docs, shingle, percent, folder)
         else:
             hubs = still.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), F.col("rep").alias("hub"), F.col("comp").alias("hc"))).alias("x"))
             hubs = written(hubs.select("key", "x.hub", "x.hc"), folder, f"hubs{step}")

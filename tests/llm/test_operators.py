@@ -149,10 +149,25 @@ def test_near_duplicates_chain_and_large_group(spark):
     base = [f"w{i}" for i in range(200)]
     chain = [(i, " ".join(base[: 200 - 12 * i])) for i in range(8)]
     group = [(100 + i, " ".join([f"g{j}" for j in range(60)] + [f"end{i}"])) for i in range(120)]
-    df = spark.createDataFrame([(d, t, None, None, None) for d, t in chain + group], SCHEMA)
+    passage = [f"p{j}" for j in range(80)]
+    mixed = [(300 + i, " ".join([*passage, *[f"own{i // (2 if i < 20 else 1)}x{j}" for j in range(30 + i % 2)]])) for i in range(60)]
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in chain + group + mixed], SCHEMA)
     assert rows(minhash.near_duplicates(df, shingle=4).drop("_rk")) == near_brute(texts(df), 4)
 
 
+def test_rare_pairs_lose_no_link(spark, docs, tmp_path):
+    """All pairs of similar sets, found without any bucket."""
+    from skeinwork.llm.common import WordHashes
+
+    keyed = docs.select(F.col("doc_id").alias("_rk"), "text")
+    cache = WordHashes()
+    sets = {d: set(minhash.shingle_set(t, 4, cache).tolist()) for d, t in texts(docs).items()}
+    ids = spark.createDataFrame([(d, d, len(s)) for d, s in sets.items() if s], "rep long, comp long, n long")
+    got = {tuple(r) for r in minhash.rare_pairs(ids, keyed, 4, 80, f"file://{tmp_path}").collect()}
+    want = {(a, b) for a in sets for b in sets if a > b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
 def test_toxicity_is_calibrated_and_handles_any_text(spark, edge, empty):
     bad = ["you vile scum", "hateful trash people", "filthy vermin all"]
     good = ["a quiet river bank", "the old stone bridge", "bread and warm soup"]
