@@ -3,8 +3,10 @@
 Pages of a host are merged: a style node is a host and a path of block elements with their classes, and its contents are the
 texts that the host's pages show there. A node's importance is the entropy of its contents over the pages that have it,
 with the number of those pages as base: 0 if all show the same, 1 if each shows its own. A presentation node is of no
-importance where its tag or class names page furniture. Branches of low importance are removed from each page; inside an
-article or main element only furniture is removed, as passages that pages share belong to their articles.
+importance where its tag or class names page furniture. Branches of low importance are removed from each page, wherever they
+are; to be inside an article or main element only adds INSIDE to a node's importance. A passage that pages share stays
+where the other texts of its node differ. Copies, pages of a host with the same text outside furniture, count as one page,
+so an article that a host repeats is no boilerplate.
 
 Entropies come from counts by (host, path, content hash), summed by task before the shuffle, so a host with a third of all
 pages is no hot key. What is low is a short list of paths a host (bounded by its templates), joined to pages by host:
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm.common import small_batches
 
 LEAST_IMPORTANCE = 0.3
+INSIDE = 0.15
 LEAST_PAGES = 4
 BROADCAST_ROWS = 200_000
 
@@ -128,38 +131,43 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def page_nodes(page: str) -> dict[str, int]:
-    """Path of each style node of a page to a signed 64-bit hash of all that the page shows there."""
-    shown: dict[str, xxhash.xxh3_64] = {}
+def page_nodes(page: str) -> tuple[int, list[tuple[str, int, bool]]]:
+    """Signed 64-bit hash of the page's text outside furniture; and path, hash of all that the page shows there, whether inside an article or main, of its style nodes."""
+    text, shown = xxhash.xxh3_64(), {}
     for b in blocks(page):
+        data = b.text.encode("utf-8", "surrogatepass") + b"\0"
         if b.path not in shown:
-            shown[b.path] = xxhash.xxh3_64()
-        shown[b.path].update(b.text.encode("utf-8", "surrogatepass") + b"\0")
-    return {p: h.intdigest() - (1 << 63) for p, h in shown.items()}
+            shown[b.path] = (xxhash.xxh3_64(), b.inside)
+        shown[b.path][0].update(data)
+        if not b.furniture:
+            text.update(data)
+    return text.intdigest() - (1 << 63), [(p, h.intdigest() - (1 << 63), inside) for p, (h, inside) in shown.items()]
 
 
 def main_text(page: str, low: frozenset[str]) -> str:
     """The blocks that are left when furniture and branches of low importance are removed."""
-    found = [b for b in blocks(page) if not b.furniture]
-    inside = [b for b in found if b.inside]
-    kept = inside or [b for b in found if b.path not in low]
-    return "\n\n".join(b.text for b in kept)
+    return "\n\n".join(b.text for b in blocks(page) if not b.furniture and b.path not in low)
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance of every style node."""
+    """host, path, pages (copies counted once), importance of every style node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, c) for h, x in zip(map(host, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True) for p, c in page_nodes(x or "").items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.int64())], names=["host", "path", "content"])
-
-    nodes = pages.select(pages["url"], pages["html"]).mapInArrow(run, "host string, path string, content long")
-    contents = nodes.groupBy("host", "path", "content").count()
+            rows = []
+            for h, x in zip(map(host, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                text, nodes = page_nodes(x or "")
+                rows += [(h, text, *node) for node in nodes]
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["host", "text", "path", "content", "inside"])
+
+    nodes = pages.select(pages["url"], pages["html"]).mapInArrow(run, "host string, text long, path string, content long, inside boolean").distinct()
+    contents = nodes.groupBy("host", "path", "content").agg(F.count("*").alias("count"), F.max("inside").alias("inside"))
     n, s = F.sum("count"), F.sum(F.col("count") * F.ln("count"))
     entropy = F.when(n > 1, (F.ln(n) - s / n) / F.ln(n)).otherwise(F.lit(1.0))
-    return contents.groupBy("host", "path").agg(n.alias("pages"), F.round(entropy, 9).alias("importance"))
+    importance = entropy + F.when(F.max("inside"), INSIDE).otherwise(0.0)
+    return contents.groupBy("host", "path").agg(n.alias("pages"), F.round(importance, 9).alias("importance"))
 
 
 def low_paths(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:

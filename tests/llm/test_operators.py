@@ -258,6 +258,20 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_article(spark):
+    """The style tree decides inside an article and outside it; copies of a page are no evidence, shared passages stay."""
+
+    def page(head, body, k):
+        return f"""<html><body><div class="head">{head}</div><article><h2>Story {body}</h2><p>Text {body}.</p><p>A passage that all share.</p>
+<div class="fine">All pages say this.</div></article><div class="long">A long text {body}.</div><footer>foot {k}</footer></body></html>"""
+
+    data = [(k, "https://a.example/x", page(f"Headline {k}", k, k)) for k in range(8)] + [(k, "https://b.example/x", page("Same", "copied", k)) for k in range(8, 16)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == f"Headline {k}\n\nStory {k}\n\nText {k}.\n\nA passage that all share.\n\nA long text {k}."
+        assert got[8 + k] == "Same\n\nStory copied\n\nText copied.\n\nA passage that all share.\n\nAll pages say this.\n\nA long text copied."
+
+
 @pytest.mark.parametrize("table", ["docs", "edge"])
 def test_token_files_and_counts(table, request):
     df, tok, path = request.getfixturevalue(table), library("word_bpe_49k.json"), queries.vocabulary("word_bpe_49k.json")
