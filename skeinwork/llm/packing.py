@@ -2,15 +2,17 @@
 
 A document's ids are cut into pieces of the capacity, the first taking what is left over. Pieces are range-sorted once by
 (length, document, piece); as lengths are at most the capacity, a piece is named by its length and its rank in that class.
-Each round range-sorts the gaps by (free, sequence), counts both by class (at most one row a token of capacity, whatever the
-number of documents) and sweeps: from the longest document class down, each class takes its successor gaps, the smallest
-that fit. Within a class conflicts are resolved by rank: the k-th waiting document gets the k-th waiting gap, which a
-distributed join on (length, rank) carries out. Gaps are then updated, and the round repeats. Where no document fits any
-gap, as many of the longest as must at least fill new sequences open one each.
+Documents and gaps are counted by class, at most one row a token of capacity, whatever the number of documents. From the
+longest class down, each takes its successor gaps, the smallest that fit, and a gap takes as many of the class as fit into
+it; a new sequence is opened only where no gap fits. That is best-fit decreasing for all documents of a class at once.
+Gaps with the same contents so far are a range of sequences, so the plan is a list of runs: ranks of a class to a range of
+sequences. A class splits at most two ranges, so the runs are bounded by the capacity too. Within a class conflicts are
+resolved by rank: each document looks up the run that holds its (length, rank).
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ from skeinwork.llm.units import unit_ids
 
 CAPACITY = 1024
 END_ID = 2
+RANK_BITS = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,81 +78,64 @@ def ranked(df: DataFrame, size: str, ties: list[str], folder: str, name: str, ca
     return df.withColumn("rank", F.col("_o") + place - F.col("_f")).drop("_p", "_c", "_i", "_o", "_f"), counts
 
 
-def sweep(docs: np.ndarray, taken: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Match document classes, longest first, to their smallest fitting gaps: (length, first rank, free, first gap rank, number)."""
-    runs, used = [], np.zeros_like(gaps)
-    open_classes = [int(c) for c in np.nonzero(gaps)[0]]
-    for length in range(len(docs) - 1, 0, -1):
-        left = int(docs[length] - taken[length])
-        at = int(np.searchsorted(open_classes, length))
-        while left and at < len(open_classes):
-            free = open_classes[at]
-            n = min(left, int(gaps[free] - used[free]))
-            runs.append((length, int(taken[length]), free, int(used[free]), n))
-            taken[length] += n
-            used[free] += n
-            left -= n
-            if used[free] == gaps[free]:
-                open_classes.pop(at)
+def sweep(docs: np.ndarray, capacity: int) -> np.ndarray:
+    """Runs (length, first rank, first sequence, documents a sequence, offset of the first) that place docs[l] documents of each length l."""
+    runs: list[tuple[int, int, int, int, int]] = []
+    gaps: dict[int, list[tuple[int, int]]] = {}  # free to ranges of sequences: first, number
+    open_classes: list[int] = []
+    opened = 0
+
+    def add(free: int, first: int, number: int) -> None:
+        if free and number:
+            if free not in gaps:
+                gaps[free] = []
+                bisect.insort(open_classes, free)
+            gaps[free].append((first, number))
+
+    for length in range(capacity, 0, -1):
+        left, rank = int(docs[length]), 0
+        while left:
+            at = bisect.bisect_left(open_classes, length)
+            if at < len(open_classes):
+                free = open_classes[at]
+                first, number = gaps[free].pop()
+                if not gaps[free]:
+                    del gaps[free], open_classes[at]
             else:
-                at += 1
-    return runs
+                free, first = capacity, opened
+                number = -(-left // (capacity // length))
+                opened += number
+            each = free // length
+            whole = min(number, left // each)
+            rest = min(left - whole * each, each) if whole < number else 0
+            for n, k, start in ((whole, each, first), (bool(rest), rest, first + whole)):
+                if n:
+                    runs.append((length, rank, start, k, capacity - free))
+                    add(free - k * length, start, int(n))
+                    rank += n * k
+                    left -= n * k
+            add(free, first + whole + bool(rest), number - whole - bool(rest))
+    return np.asarray(runs, np.int64).reshape(-1, 5)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32) with sequence_id and gapless offset; no rows give no rows."""
     spark = items.sparkSession
-    folder = work_dir(spark, "packing")
-    items, docs = ranked(items, "length", ["doc_id", "piece", "ids_crc32"], folder, "items", capacity)
-    items = written(items, folder, "ranked").withColumnRenamed("rank", "_r")
-    taken, opened, gaps, placed = np.zeros_like(docs), 0, None, []
-    lengths = np.arange(capacity + 1)
-
-    def open_new(number: int) -> DataFrame:
-        """The longest waiting documents open a sequence each."""
-        nonlocal opened
-        rows = []
-        for length in range(capacity, 0, -1):
-            n = min(number, int(docs[length] - taken[length]))
-            if n > 0:
-                rows.append((length, int(taken[length]), n, opened - int(taken[length])))
-                taken[length] += n
-                opened += n
-                number -= n
-        runs = spark.createDataFrame(rows or [(0, 0, 0, 0)], "_l long, _a long, _n long, _d long")
-        hit = items.select("length", "_r").join(F.broadcast(runs), (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("_a")) & (F.col("_r") < F.col("_a") + F.col("_n")))
-        return hit.select((F.col("_r") + F.col("_d")).alias("seq"), F.lit(0).cast("long").alias("offset"), "length", "_r")
-
-    step = 0
-    start = int(docs[capacity // 2 + 1 :].sum()) or 1
-    while (waiting := int((docs - taken).sum())) or not step:
-        fresh = None
-        if gaps is not None:
-            table, counts = ranked(gaps, "free", ["seq"], folder, f"gaps{step}", capacity)
-            runs = sweep(docs, taken, counts)
-            if runs:
-                plan = spark.createDataFrame(runs, "_l long, _a long, _f long, _g long, _n long")
-                hit = table.join(F.broadcast(plan), (F.col("free") == F.col("_f")) & (F.col("rank") >= F.col("_g")) & (F.col("rank") < F.col("_g") + F.col("_n")), "left")
-                step_rows = written(hit.select("seq", (capacity - F.col("free")).alias("offset"), F.col("_l").alias("length"), (F.col("rank") - F.col("_g") + F.col("_a")).alias("_r"), "free"), folder, f"match{step}")
-                placed.append(step_rows.where("length IS NOT NULL").select("seq", "offset", "length", "_r"))
-                gaps = step_rows.select("seq", (F.col("free") - F.coalesce("length", F.lit(0))).alias("free")).where("free > 0")
-            waiting = int((docs - taken).sum())
-            few = sum(r[4] for r in runs) * 10 < waiting
-            if waiting and (not runs or few):
-                fresh = open_new(max(1, -(-int(((docs - taken) * lengths).sum()) // capacity)))
-        else:
-            fresh = open_new(start)
-        if fresh is not None:
-            fresh = written(fresh, folder, f"open{step}")
-            placed.append(fresh)
-            room = fresh.select("seq", (capacity - F.col("length")).alias("free")).where("free > 0")
-            gaps = room if gaps is None else gaps.unionByName(room)
-        step += 1
-    where = placed[0]
-    for x in placed[1:]:
-        where = where.unionByName(x)
-    out = items.join(where, ["length", "_r"])
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    items, docs = ranked(items, "length", ["doc_id", "piece", "ids_crc32"], work_dir(spark, "packing"), "items", capacity)
+    runs = sweep(docs, capacity)
+    runs = spark.sparkContext.broadcast(runs[np.lexsort((runs[:, 1], runs[:, 0]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, first, seq, each, offset = runs.value.T
+        keys = (length << RANK_BITS) + first
+        for batch in batches:
+            size, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 5))
+            at = np.searchsorted(keys, (size << RANK_BITS) + rank, "right") - 1
+            place = rank - first[at]
+            where = [pa.array(seq[at] + place // each[at]), pa.array(offset[at] + place % each[at] * size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *where], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return items.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

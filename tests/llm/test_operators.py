@@ -225,6 +225,22 @@ def test_packing(table, request):
     assert len(place) <= best + max(1, best // 50)
 
 
+def test_packing_short(spark):
+    """As few sequences as best-fit decreasing opens, where many short documents share a gap."""
+    r = np.random.default_rng(1)
+    for lengths in (r.exponential(60, 3000).clip(1, 1024), np.where(r.random(3000) < 0.03, r.integers(520, 1001, 3000), r.integers(10, 41, 3000))):
+        lengths = lengths.astype(int).tolist()
+        got = packing.pack(spark.createDataFrame([(k, 0, 0, x, k) for k, x in enumerate(lengths)], packing.PIECES)).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+        place = defaultdict(list)
+        for row in got:
+            place[row.sequence_id].append((row.offset, row.length))
+        for spans in place.values():
+            ends = [a + n for a, n in sorted(spans)]
+            assert [a for a, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 1024
+        assert len(place) == best_fit_count(lengths, 1024)
+
+
 def test_packing_nothing(empty):
     assert packing.packed(empty, queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
