@@ -28,10 +28,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+def written(df: DataFrame, folder: str, name: str, codec: str = "snappy") -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,6 +42,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with those of an operator."""
     return df.select(*[df[n] for n in names])
@@ -119,7 +127,8 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand texts to Python few at a time, as a batch of very long ones must fit in a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def few_rows(batches, rows: int = 256):
+    """Batches of at most `rows` rows, cut without a copy. Spark bounds a batch in bytes; this bounds what is made of it at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

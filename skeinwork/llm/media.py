@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinwork.llm.common import small_batches
+from skeinwork.llm.common import few_rows
 
 FRAME = 576
 TAIL = 32
@@ -100,7 +100,7 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
@@ -123,5 +123,4 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
         k = 11 if with_media else 10
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols[:k], kinds, strict=False)], names=names[:k])
 
-    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA + (", media binary" if with_media else ""))

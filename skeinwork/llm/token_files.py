@@ -6,7 +6,8 @@ files, so a row's place in the corpus is its file's offset plus `local_start`. R
 control byte's four lengths come from a 256-row table, and ranks become ids again through the rank table.
 
 Each text is encoded once. The rank table has one row a vocabulary entry, so its size is bounded; ids that are beyond the
-table can't occur, as it is made from the counts of all ids written.
+table can't occur, as it is made from the counts of all ids written. Rank table and file offsets are written beside the
+files, so a later session reads them from the folder alone.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import dropped, small_batches, work_dir
-from skeinwork.llm.units import unit_ids
+from skeinwork.llm.common import dropped, few_rows, work_dir, written
+from skeinwork.llm.units import WordIds, loaded
 
 END_ID = 2
 RAW = "doc_id long, n long, ids binary"
@@ -57,26 +58,21 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def narrow(ids: bytes) -> bytes:
-    """Little-endian unsigned 32-bit ids as 16-bit ones where all fit; the number of ids tells which."""
-    x = np.frombuffer(ids, "<u4")
-    return x.astype("<u2").tobytes() if x.max(initial=0) <= 0xFFFF else ids
-
-
 def widened(data: bytes, n: int) -> np.ndarray:
+    """Ids kept as 16 or 32 bits each; their number tells which."""
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, number and narrow bytes of the ids of each whole text (null: empty) with the end id."""
-    end = np.asarray([END_ID], "<u4").tobytes()
+    """doc_id, number and bytes of the ids of each whole text (null: empty) with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = unit_ids(path, keep_space=False)
-        for batch in batches:
-            out = [x + end for x in cache.many([t or "" for t in batch.column(1).to_pylist()])]
-            n = pa.array([len(x) // 4 for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(list(map(narrow, out)), pa.binary())], names=["doc_id", "n", "ids"])
+        words = loaded(WordIds, path)
+        end, width = np.asarray([END_ID], words.dtype).tobytes(), np.dtype(words.dtype).itemsize
+        for batch in few_rows(batches):
+            out = [words.of(t or "") + end for t in batch.column(1).to_pylist()]
+            n = pa.array([len(x) // width for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(out, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, RAW)
 
@@ -104,61 +100,67 @@ def _counts(raw: DataFrame) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
-    """Write all documents to folder/files in ascending doc_id order (nulls last, equal ids by their ids' bytes); returns ids by rank."""
+def write_token_files(docs: DataFrame, path: str, folder: str) -> None:
+    """Write all documents to folder/files in ascending doc_id order (nulls last, equal ids by their ids' bytes).
+
+    Beside them go what reading needs: folder/ranks (id of each rank) and folder/offsets (ids before each file).
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     encode_texts(docs, path).write.option("compression", "zstd").parquet(f"{folder}/raw")
     raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
     counts = _counts(raw)
     by_rank = np.argsort(-counts, kind="stable").astype(np.uint32)
+    written(spark.createDataFrame(pa.table({"rank": np.arange(len(by_rank)), "id": by_rank.astype(np.int64)})), folder, "ranks")
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc_id, n, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                x = widened(ids, n)
-                control, data = encode(rank[x])
-                rows.append((doc_id, shard, at, len(x), control, data))
-                at += len(x)
+                control, data = encode(rank[widened(ids, n)])
+                rows.append((doc_id, shard, at, n, control, data))
+                at += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
                 names=["doc_id", "shard", "local_start", "n_tokens", "control", "data"],
             )
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     ranged = raw.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
-    ranged.mapInArrow(run, FILES).write.parquet(f"{folder}/files")
+    files = written(ranged.mapInArrow(run, FILES), folder, "files")
+    sizes = sorted((r.shard, r.n) for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # a row per file
+    before = np.cumsum([0, *[n for _, n in sizes]])[:-1].tolist()
+    written(spark.createDataFrame([(s, a) for (s, _), a in zip(sizes, before, strict=True)], "shard int, before long"), folder, "offsets")
     dropped(spark, f"{folder}/raw")
-    return by_rank
 
 
-def read_token_files(spark, folder: str, by_rank: np.ndarray) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document, from the folder alone: doc_id, start, n_tokens, ids_crc32."""
+    ranks = spark.read.schema("rank long, id long").parquet(f"{folder}/ranks").toArrow()  # a row per vocabulary entry
+    by_rank = np.empty(ranks.num_rows, "<u4")
+    by_rank[ranks.column("rank").to_numpy()] = ranks.column("id").to_numpy()
     files = spark.read.schema(FILES).parquet(f"{folder}/files")
-    sizes = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()  # a row per file
-    table, at = [], 0
-    for shard, n in sorted((r.shard, r.n) for r in sizes):
-        table.append((shard, at))
-        at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = []
-            for n, control, data in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                crc.append(zlib.crc32(by_rank[decode(control, data, n)].astype("<u4").tobytes()))
+        for batch in few_rows(batches):
+            coded = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
+            crc = [zlib.crc32(by_rank[decode(control, data, n)]) for n, control, data in coded]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(crc, pa.int64())], names=["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"])
 
     back = files.mapInArrow(run, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")
-    offsets = spark.createDataFrame(table or [(0, 0)], "shard int, _at long")
+    offsets = spark.read.schema("shard int, before long").parquet(f"{folder}/offsets")  # a row per file
     joined = back.join(F.broadcast(offsets), "shard")
-    return joined.select("doc_id", (F.col("_at") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return joined.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, path: str) -> DataFrame:
-    """Encode, write, and read back all documents; null texts are empty (the end id alone), repeated rows are kept."""
+    """Encode, write, and read back all documents.
+
+    Null texts are empty (the end id alone), repeated rows are kept, other columns are left out, an empty table gives no
+    rows. A very long text is one row of a file: its ids must fit in a worker.
+    """
     folder = work_dir(docs.sparkSession, "token-files")
-    return read_token_files(docs.sparkSession, folder, write_token_files(docs, path, folder))
+    write_token_files(docs, path, folder)
+    return read_token_files(docs.sparkSession, folder)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import small_batches
+from skeinwork.llm.common import few_rows
 
 BUCKETS = 1 << 15
 PREFIXES = (4, 5)
@@ -261,12 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text; null texts are empty, null ids are not held out."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x filters x widths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value.project)
-        for batch in batches:
+        for batch in few_rows(batches):
             s = shared.value.scores(words, [(t or "").encode() for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())],
@@ -279,13 +278,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of docs whose text scores below CUT, with the columns of docs alone."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value.project)
-        for batch in batches:
+        for batch in few_rows(batches):
             s = shared.value.scores(words, [(t or "").encode() for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array(s < CUT, pa.bool_()))
 

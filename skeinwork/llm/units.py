@@ -1,100 +1,119 @@
-"""Texts cut where a tokenizer can't join, so that each distinct piece is encoded once per worker.
+"""Token ids of whole texts, exactly as the tokenizers library gives them, from the tokenizer's own file.
 
-A cut before a space that a non-space follows is exact for both kinds of tokenizer used here. Byte-level BPE: its split
-pattern never holds such a space inside a token, and a token always starts at it. Lower-casing word BPE: white space is
-dropped before merging, NFC composes nothing across a space, and lower-casing is by character. Special strings have no
-spaces, so they are never cut and the library treats them inside a piece as it does in the whole text. tests/llm hold
-this against the library on whole texts with runs of spaces, line ends and special strings.
+ByteIds is for byte-level BPE: the file's vocabulary, whose ids are merge ranks, drives tiktoken, which splits by the same
+pattern and merges by rank. tests/llm compare it with the library over every code point and on random texts; a text with a
+run of white space that its matcher gives up on goes to the library.
+
+WordIds is for lower-casing word BPE. White space is dropped before merging, so a text is cut at spaces and line ends and each
+distinct piece is looked up. A piece of printable ASCII and Latin-1 letters, without the apostrophe and "<", is split into
+letters, single digits and signs as the file's pattern does, lower-cased (simple there, and NFC changes nothing), and each
+part is merged by the library's model. All other pieces, so any that could hold a special string, go through the library
+as they are. A special string has no space, so no cut runs through one.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
-SIGNS = ".,;:!?"
-_CUT = re.compile(r" (?=[^\s])")
+LONGEST = 64  # characters; longer pieces are not kept
+# Pattern of byte-level BPE, as in the file's split rule.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from 256."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return [chr(b if b in own else next(free)) for b in range(256)]
+
 
+def library(path: str):
+    from tokenizers import Tokenizer
 
-def units(text: str) -> list[str]:
-    """The text cut at each space that a non-space follows; the cut takes that space."""
-    return _CUT.split(text)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
+    return Tokenizer.from_file(path)
 
 
-class UnitIds(dict):
-    """Piece to its ids as little-endian unsigned 32-bit bytes; bounded, filled through the tokenizers library in batches.
+class ByteIds:
+    """Ids of a text by byte-level BPE."""
 
-    keep_space: whether a piece's ids depend on the space before it. A text's first piece has none, and is kept apart.
-    """
+    def __init__(self, path: str):
+        import tiktoken
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 600_000):
-        from tokenizers import Tokenizer
+        self.tokenizer = library(path)
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        code = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes(map(code.__getitem__, w)): k for w, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if w not in special}
+        self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    def of(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # white space too long for its matcher
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+class WordIds(dict):
+    """Piece to its ids as little-endian bytes (16 bits an id where the vocabulary fits); at most `limit` short pieces are kept."""
+
+    def __init__(self, path: str, limit: int = 800_000):
         super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
-        self.tokenizer = Tokenizer.from_file(path)
-        self.space, self.limit = " " if keep_space else "", limit
-        special = [(k, t) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.stop_id, self.stop = (special[-1][0], special[-1][1].content) if special else (-1, "")
-        self.mark = self.stop[:1]
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. The library encodes what lies between special strings apart from each other, so pieces are
-        joined by one and encoded many at a time; pieces that may hold a special string go alone.
-        """
-        out: list[bytes] = [b""] * len(pieces)
-        joined = [k for k, p in enumerate(pieces) if self.mark not in p] if self.stop else []
-        groups = [joined[a : a + 256] for a in range(0, len(joined), 256)]
-        encoded = self.tokenizer.encode_batch_fast([self.stop.join(pieces[k] for k in g) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, encoded, strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.stop_id)
-            data, at = ids.tobytes(), 0
-            for k, end in zip(g, [*(4 * cuts).tolist(), len(data)], strict=True):
-                out[k] = data[at:end]
-                at = end + 4
-        alone = [k for k, p in enumerate(pieces) if not self.stop or self.mark in p]
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False), strict=True):
-            out[k] = np.asarray(e.ids, "<u4").tobytes()
-        return out
-
-    def learn(self, new: set[str]) -> None:
-        """Encode unknown pieces, those that end in punctuation by their stems.
-
-        Both split patterns part letters from a sign after them, so a stem of letters and the sign are encoded apart. Where
-        the tokenizer lower-cases, and case is simple (Latin-1), a stem is looked up in lower case.
-        """
-        parts: dict[str, tuple[str, str]] = {}
-        for piece in new:
-            stem, sign = (piece[:-1], piece[-1]) if piece[-1:] in SIGNS and piece[:-1].isalpha() else (piece, "")
-            if not self.space and stem.isalpha() and max(stem) < "\u0100":
-                stem = stem.lower()
-            if sign or stem != piece:
-                parts[piece] = stem, sign
-        stems = list((new.difference(parts) | {s for s, _ in parts.values()}).difference(self))
-        self.update(zip(stems, self.encode([self.space + x for x in stems]), strict=True))
-        if parts:
-            ends = dict(zip(SIGNS, self.encode(list(SIGNS)), strict=True)) | {"": b""}
-            self.update((piece, self[stem] + ends[sign]) for piece, (stem, sign) in parts.items())
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text; every distinct piece that isn't known yet is encoded once."""
-        if len(self) > self.limit:
+        self.tokenizer, self.limit = library(path), limit
+        self.model, alphabet = self.tokenizer.model, byte_alphabet()
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.spelled = {c: "".join(map(alphabet.__getitem__, chr(c).encode())) for c in range(0x80, 0x100)}
+        self.known: dict[str, object] = {}  # parts that need no merge
+        self.parts: dict[str, object] = {}
+
+    def cut(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
+
+    def value(self, ids: list[int]):
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def joined(self, values: list):
+        return b"".join(values)
+
+    def part(self, part: str):
+        """Value of one pre-token, already lower-cased: looked up, else merged by the library."""
+        found = self.parts.get(part)
+        if found is None:
+            spelled = part if part.isascii() else part.translate(self.spelled)
+            found = self.value([t.id for t in self.model.tokenize(spelled)])
+            if len(self.parts) >= self.limit:
+                self.parts = dict(self.known)
+            if len(part) <= LONGEST:
+                self.parts[part] = found
+        return found
+
+    def __missing__(self, piece: str):
+        if _SIMPLE.fullmatch(piece):
+            found = self.joined([self.part(p) for p in _PARTS.findall(piece.lower())])
+        else:
+            found = self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(self) >= self.limit:
             self.clear()
-        cut = [units(t) for t in texts]
-        heads = [c.pop(0) if self.space else "" for c in cut]
-        self.learn(set().union(*cut).difference(self))
-        first = self.encode(heads) if self.space else [b""] * len(cut)
-        return [h + b"".join(map(self.__getitem__, c)) for h, c in zip(first, cut, strict=True)]
+        if len(piece) <= LONGEST:
+            self[piece] = found
+        return found
+
+    def of(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.cut(text)))
 
 
-_LOADED: dict[tuple[str, bool], UnitIds] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def unit_ids(path: str, keep_space: bool) -> UnitIds:
-    """One cache a worker process and tokenizer file."""
-    if (path, keep_space) not in _LOADED:
-        _LOADED[path, keep_space] = UnitIds(path, keep_space)
-    return _LOADED[path, keep_space]
+def loaded(kind, path: str, *more):
+    """One instance of ByteIds, WordIds or a subclass a worker process and file: it outlives a task where workers are reused."""
+    key = kind, path, *more
+    if key not in _LOADED:
+        _LOADED[key] = kind(path, *more)
+    return _LOADED[key]
