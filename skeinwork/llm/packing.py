@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import small_batches, work_dir, written
-from skeinwork.llm.units import unit_ids
+from skeinwork.llm.common import few_rows, work_dir, written
+from skeinwork.llm.units import ByteIds, loaded
 
 CAPACITY = 1024
 END_ID = 2
@@ -32,19 +32,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece of every document: whole text (null: empty), end id appended, the first piece the shorter one."""
-    end = np.asarray([END_ID], "<u4").tobytes()
+    end = np.asarray([END_ID], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = unit_ids(path, keep_space=True)
-        for batch in batches:
+        ids_of = loaded(ByteIds, path).of
+        for batch in few_rows(batches):
             rows = []
-            encoded = cache.many([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, x in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids = memoryview(x + end)
-                n = len(ids) // 4
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.concatenate([ids_of(text or ""), end]).astype("<u4", copy=False)
+                n = len(ids)
                 a, b, k = 0, n % capacity or capacity, 0
                 while a < n:
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b])))
                     a, b, k = b, b + capacity, k + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
@@ -139,6 +138,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize and pack all rows of docs; null ids and repeated rows are packed like any other row."""
-    small_batches(docs.sparkSession)
-    return pack(pieces(docs, path, capacity), capacity)
+    """Tokenize and pack all rows of docs; null ids and repeated rows are packed like any other row, no rows give none.
+
+    Pieces are written once, so texts are encoded once; a very long text is one row's work and gives many narrow rows.
+    """
+    return pack(written(pieces(docs, path, capacity), work_dir(docs.sparkSession, "packing-pieces"), "pieces"), capacity)
