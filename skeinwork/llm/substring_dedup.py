@@ -1,16 +1,21 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 A window is WINDOW consecutive words; its fingerprint is the least hash of the GRAM-word runs inside it, so neighbouring
-windows share one and equal windows always have equal ones. The index is a set of immutable runs, each the sorted distinct
-fingerprints of one batch. A new batch is merge-joined with the runs: fingerprints that the history or the batch itself has
-before are shared; the others' windows are unique and need no further work. What is new becomes the next run; runs are
-compacted to one when there are more than MAX_RUNS.
-
-Shared fingerprints are then verified on the windows themselves: the 64-bit hash of all WINDOW words of each occurrence, in
-the batch and in the history, and the first by (document, start) stays. Which windows to send to the shuffle is told by a
-Bloom filter of fixed size; where it errs, or fills up, more windows are sent and the result is the same. Windows that
-repeat within a task's block are settled there, so a passage that many documents share costs a row a block; fingerprints
-with more than a 2000th of all occurrences (so fewer than 2000 of them) are dealt by window instead of by fingerprint.
+windows share one and equal windows always have equal ones. The index is a folder: a document file per batch (row key, text,
+the document's fingerprints), and sorted immutable runs of the distinct fingerprints of all batches so far. A new batch is
+hashed once, into its document file; its fingerprints are joined with the runs, and those that the history or the batch itself
+has before are shared. What is new becomes the next run; runs are merged to one when there are more than MAX_RUNS. The state
+(names of files and runs, next row key) is written last, so that an index is opened again from its folder as it was after the
+last complete batch.
+
+Shared fingerprints are then verified on the windows themselves: the 64-bit hash of all WINDOW words of each occurrence, and
+the first by (document, start) stays. Documents of the history and the batch without a shared fingerprint are told by the
+fingerprints kept with them and not hashed again. Which fingerprints are shared is told by a Bloom filter of fixed size; where
+it errs, or fills up, more windows are sent to the shuffle and the result is the same. Windows that repeat within a task's
+block are settled there, so a passage that many documents share costs a row a block; fingerprints with more than a 2000th of
+all occurrences (so fewer than 2000 of them) are dealt by window instead of by fingerprint. Different windows are taken for
+equal only if their hashes agree and they meet in one block or slice of about 2**20 windows: for W windows in all, about
+W * 2**20 / 2**65 such pairs are to be expected, less than one in 10**13 windows.
 """
 
 from __future__ import annotations
@@ -23,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import WordHashes, gram_hashes, keyed, mixed, small_batches, work_dir, written
+from skeinwork.llm.common import WordHashes, dropped, few_rows, gram_hashes, keyed, listed, mixed, text_bytes, work_dir, written
 
 WINDOW = 20
 GRAM = 8
 RUN = 32
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 25
-MAX_RUNS = 4
+MAX_RUNS = 1
 HOT_PARTS = 2000
 
 
@@ -48,24 +53,30 @@ def window_marks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.minimum(least[: len(full)], least[width - step : width - step + len(full)]), full, again
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row key, start, fingerprint, full hash of the windows of a block of documents, in order of key and start; and whether a gram repeats in their document."""
+def _blocks(batches: Iterator[pa.RecordBatch], filter_words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row key, start, fingerprint, full hash of the windows of a block of documents, in order of key and start.
+
+    Documents without a fingerprint that passes the filter are left out.
+    """
     hashes = WordHashes()
 
     def packed(docs):
         docs.sort(key=lambda d: d[0])
         rk = np.repeat(np.asarray([d[0] for d in docs], np.int64), [len(d[1]) for d in docs])
         start = np.concatenate([np.arange(len(d[1]), dtype=np.int32) for d in docs])
-        again = np.repeat(np.asarray([d[3] for d in docs]), [len(d[1]) for d in docs])
-        return rk, start, np.concatenate([d[1] for d in docs]), np.concatenate([d[2] for d in docs]), again
+        return rk, start, np.concatenate([d[1] for d in docs]), np.concatenate([d[2] for d in docs])
 
     docs, size = [], 0
-    for batch in batches:
-        for rk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            marks, full, again = window_marks(hashes.of((text or "").encode("utf-8", "surrogatepass").split()))
-            if len(full):
-                docs.append((rk, marks, full, again))
-                size += len(full)
+    for batch in few_rows(batches):
+        fps = batch.column(2).to_pylist()
+        ends = np.cumsum([len(x) // 8 for x in fps])
+        hits = np.concatenate(([0], np.cumsum(_passes(filter_words, np.frombuffer(b"".join(fps), np.uint64)))))
+        some = np.diff(hits[np.concatenate(([0], ends))]) > 0
+        batch = batch.filter(pa.array(some))
+        for rk, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            marks, full, _ = window_marks(hashes.of(data.split()))
+            docs.append((rk, marks, full))
+            size += len(full)
             if size >= BLOCK_WORDS:
                 yield packed(docs)
                 docs, size = [], 0
@@ -73,21 +84,40 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
         yield packed(docs)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """fp and c: the number of its occurrences, runs of neighbouring windows that share it; counted by block first.
+DOCUMENTS = "_rk long, text string, fps binary"
+
+
+def document_file(docs: DataFrame) -> DataFrame:
+    """_rk, text and fps: the fingerprints of the runs of neighbouring windows that share one.
 
     A run may hold equal windows only where words recur in its document; there each counts twice, so that it is looked into.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rk, _, marks, _, again in _blocks(batches):
-            new = np.ones(len(rk), bool)
-            new[1:] = (marks[1:] != marks[:-1]) | (rk[1:] != rk[:-1])
-            fp, c = np.unique(np.concatenate([marks[new], marks[new & again]]), return_counts=True)
+        hashes = WordHashes()
+        for batch in few_rows(batches):
+            out = []
+            for data in text_bytes(batch.column(1)):
+                marks, _, again = window_marks(hashes.of(data.split()))
+                new = np.ones(len(marks), bool)
+                new[1:] = marks[1:] != marks[:-1]
+                fps = marks[new]
+                out.append((np.concatenate([fps, fps]) if again else fps).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_rk", "text", "fps"])
+
+    return docs.select("_rk", "text").mapInArrow(run, DOCUMENTS)
+
+
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """fp and c: the number of its occurrences, counted by batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, c = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
             for a in range(0, len(fp), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a : a + 20_000].view(np.int64)), pa.array(c[a : a + 20_000])], names=["fp", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[a : a + 20_000]), pa.array(c[a : a + 20_000])], names=["fp", "c"])
 
-    return docs.select("_rk", "text").mapInArrow(run, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c"))
+    return documents.select("fps").mapInArrow(run, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c"))
 
 
 def _slots(fp: np.ndarray) -> list[np.ndarray]:
@@ -99,7 +129,7 @@ def bloom(shared: DataFrame) -> np.ndarray:
     """A Bloom filter of 2**FILTER_BITS bits over shared.fp, as 64-bit words: at most so many rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             at = np.concatenate(_slots(batch.column(0).to_numpy().astype(np.int64)))
             bit = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], names=["w", "b"])
@@ -117,15 +147,16 @@ def _passes(filter_words: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return ok
 
 
+STATE = "step int, runs array<string>, files array<string>"
 OCCURRENCES = "key long, rk long, pos int, todo long, known long, full binary"
 
 
-def occurrences(docs: DataFrame, filter_words, hot: np.ndarray) -> DataFrame:
+def occurrences(documents: DataFrame, filter_words, hot: np.ndarray) -> DataFrame:
     """Runs of up to RUN windows that may be shared: bits of those not seen before in the block, with their hashes, and of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_words.value
-        for rk, start, marks, full, _ in _blocks(batches):
+        for rk, start, marks, full in _blocks(batches, bits):
             new = np.ones(len(rk), bool)
             new[1:] = (marks[1:] != marks[:-1]) | (rk[1:] != rk[:-1])
             heads = np.nonzero(new)[0]
@@ -159,7 +190,7 @@ def occurrences(docs: DataFrame, filter_words, hot: np.ndarray) -> DataFrame:
                     names=["key", "rk", "pos", "todo", "known", "full"],
                 )
 
-    return docs.select("_rk", "text").mapInArrow(run, OCCURRENCES)
+    return documents.select("_rk", "text", "fps").mapInArrow(run, OCCURRENCES)
 
 
 def repeated(found: DataFrame, since: int) -> DataFrame:
@@ -189,7 +220,7 @@ def repeated(found: DataFrame, since: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         rows = 0
-        for batch in batches:
+        for batch in few_rows(batches):
             if not batch.num_rows:
                 continue
             waiting.append(batch)
@@ -211,51 +242,60 @@ def repeated(found: DataFrame, since: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in a shared folder, and the documents that they are of."""
+    """Document files and sorted immutable runs of fingerprints in a shared folder; opened again if the folder holds an index."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.runs: list[DataFrame] = []
-        self.history: DataFrame | None = None
-        self.step = 0
+        self.step, self.runs, self.files = 0, [], []
+        states = [int(x) for x in listed(spark, f"{folder}/state")]
+        if states:
+            last = spark.read.schema(STATE).parquet(f"{folder}/state/{max(states)}").first()  # one row
+            self.step, self.runs, self.files = last.step, list(last.runs), list(last.files)
+
+    def _table(self, names: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{n}" for n in names])
 
     def add(self, docs: DataFrame, since: int) -> DataFrame:
         """Merge a batch (_rk, text; its row keys start at `since`, above all earlier ones) and return its repeated windows."""
-        self.step += 1
-        name = f"{self.step:04d}"
-        own = written(fingerprints(docs), self.folder, f"batch-{name}")
+        step = self.step + 1
+        files = [*self.files, f"documents-{step}"]
+        batch = written(document_file(docs), self.folder, files[-1], "zstd")
+        own = fingerprints(batch)
         known = own.withColumn("old", F.lit(False))
         if self.runs:
-            old = self.runs[0]
-            for r in self.runs[1:]:
-                old = old.unionByName(r)
-            known = own.join(old.select("fp", F.lit(True).alias("_o")), "fp", "left").select("fp", "c", F.coalesce("_o", F.lit(False)).alias("old"))
-        merged = written(known, self.folder, f"merged-{name}")
+            old = self._table(self.runs, "fp long").select("fp", F.lit(True).alias("_o"))
+            known = own.join(old, "fp", "left").select("fp", "c", F.coalesce("_o", F.lit(False)).alias("old"))
+        merged = written(known, self.folder, f"merged-{step}")
         shared = merged.where("c > 1 OR old").select("fp", "c")
         total = merged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         limit = max(500, total // HOT_PARTS)
         hot = np.sort(np.asarray([r.fp for r in shared.where(F.col("c") > limit).select("fp").collect()], np.int64).view(np.uint64))
         bits = self.spark.sparkContext.broadcast(bloom(shared))
-        seen = docs if self.history is None else self.history.unionByName(docs)
-        out = written(repeated(occurrences(seen, bits, hot), since), self.folder, f"repeated-{name}")
-        self.runs.append(written(merged.where("NOT old").select("fp").sortWithinPartitions("fp"), self.folder, f"run-{name}"))
-        self.history = seen
-        if len(self.runs) > MAX_RUNS:
-            self.compact()
+        out = written(repeated(occurrences(self._table(files, DOCUMENTS), bits, hot), since), self.folder, f"repeated-{step}")
+        runs = [*self.runs, f"run-{step}"]
+        if len(runs) > MAX_RUNS:
+            runs = self._compacted(merged, step)
+        else:
+            written(merged.where("NOT old").select("fp").repartitionByRange("fp").sortWithinPartitions("fp"), self.folder, runs[-1])
+        state = self.spark.createDataFrame([(step, runs, files)], STATE)
+        written(state, self.folder, f"state/{step}")
+        for name in [f"merged-{step}", *set(self.runs).difference(runs)]:
+            dropped(self.spark, f"{self.folder}/{name}")
+        self.step, self.runs, self.files = step, runs, files
         return out
 
-    def compact(self) -> None:
-        """Merge all runs, which have no fingerprint in common, into one."""
-        every = self.runs[0]
-        for r in self.runs[1:]:
-            every = every.unionByName(r)
-        self.runs = [written(every.repartitionByRange("fp").sortWithinPartitions("fp"), self.folder, f"compacted-{self.step:04d}")]
+    def _compacted(self, merged: DataFrame, step: int) -> list[str]:
+        """All runs and the new fingerprints of a batch, which have none in common, merged to one sorted run."""
+        every = merged.where("NOT old").select("fp")
+        if self.runs:
+            every = every.unionByName(self._table(self.runs, "fp long"))
+        written(every.repartitionByRange("fp").sortWithinPartitions("fp"), self.folder, f"compacted-{step}")
+        return [f"compacted-{step}"]
 
 
 def _spans(docs: DataFrame, batches: int) -> DataFrame:
     """row (all columns of docs as a struct, so that none can clash) and spans: its repeated windows as an array of (pos, bits)."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = work_dir(spark, "substring")
     docs = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), folder)
     narrow = docs.select("_rk", "text")
@@ -288,12 +328,12 @@ def kept_words(text: str | None, spans) -> tuple[list[bytes], int]:
 def substring_digest(docs: DataFrame, batches: int = 2) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space.
 
-    Null and empty texts have no words. Rows that repeat an id, or have none, are documents of their own, ordered by
-    (id, nulls last, text hash).
+    Null and empty texts have no words, an empty table gives no rows, other columns are left out. Rows that repeat an id, or
+    have none, are documents of their own, ordered by (id, nulls last, text hash). A very long text is hashed in one task.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in few_rows(parts):
             n, removed, sha = [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept, total = kept_words(text, spans)
@@ -314,7 +354,7 @@ def deduplicated(docs: DataFrame, batches: int = 2) -> DataFrame:
     columns, place = docs.columns, docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in few_rows(parts):
             out = []
             for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 out.append(b" ".join(kept_words(text, spans)[0]).decode() if spans else text)
