@@ -7,35 +7,53 @@ from pyspark.sql import functions as F
 
 from skeinwork.sources.series import number
 
+# The answer tag, the shapes of a key and a number in loose text, and elisions.
 ANSWER = r"(?is)<answer>(.*?)</answer>"
-# The shapes of a key and a number in loose text.
 PAIR = r"\"?(\d{4}-\d{2}-\d{2}(?:\s+|T)\d{2}:\d{2}:\d{2}|[A-Za-z_]*\d+)\"?\s*:\s*([+-]?\d+(?:\.\d+)?)"
 NUMBER = r"[+-]?\d+(?:\.\d+)?"
+ELISIONS = ((r",\s*\.\.\.\s*,", ","), (r",\s*\.\.\.\s*\]", "]"), (r"\[\s*\.\.\.\s*,", "["))
+
+
+def stripped(t: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def first_answer(t: Column) -> Column:
     """The first answer tag's text, or all of it."""
-    return F.trim(F.when(t.rlike(ANSWER), F.regexp_extract(t, ANSWER, 1)).otherwise(t))
+    return stripped(F.when(t.rlike(ANSWER), F.regexp_extract(t, ANSWER, 1)).otherwise(t))
 
 
 def last_answer(t: Column) -> Column:
-    return F.trim(F.when(t.rlike(ANSWER), F.element_at(F.regexp_extract_all(t, F.lit(ANSWER), F.lit(1)), -1)).otherwise(t))
+    return stripped(F.when(t.rlike(ANSWER), F.element_at(F.regexp_extract_all(t, F.lit(ANSWER), F.lit(1)), -1)).otherwise(t))
+
+
+def unelided(t: Column) -> Column:
+    for pattern, to in ELISIONS:
+        t = F.regexp_replace(t, pattern, to)
+    return stripped(t)
 
 
 def tidied(t: Column) -> Column:
     """Elisions taken out, single quotes made double."""
-    for pattern, to in ((r",\s*\.\.\.\s*,", ","), (r",\s*\.\.\.\s*\]", "]"), (r"\[\s*\.\.\.\s*,", "[")):
-        t = F.regexp_replace(t, pattern, to)
-    return F.translate(F.trim(t), "'", '"')
+    return F.translate(unelided(t), "'", '"')
 
 
 def _value(v: Column) -> Column:
+    v = F.regexp_replace(v, '^"(NaN|-?Infinity)"$', "$1")  # as the JSON reader hands over what isn't a number in JSON
     return F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(number(v))
 
 
-def _last_wins(entries: Column) -> Column:
-    """A map of (k, v) entries; of equal keys the last counts."""
-    return F.map_from_entries(F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"])))
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def last_wins(entries: Column) -> Column:
+    """A map of (k, v) entries; of equal keys the last counts. Sorted once, so n log n."""
+    placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+    last = once(placed, lambda s: F.filter(s, lambda x, j: ~x["k"].eqNullSafe(F.get(s, j + 1)["k"])))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
 def _indexed(values: Column) -> Column:
@@ -47,10 +65,10 @@ def forecast_map(t: Column) -> Column:
     text = first_answer(F.coalesce(t, F.lit("")))
     clean = tidied(text)
     entries = F.filter(F.map_entries(F.from_json(clean, "map<string,string>")), lambda x: _value(x["value"]).isNotNull())
-    as_object = _last_wins(F.transform(entries, lambda x: F.struct(x["key"].alias("k"), _value(x["value"]).alias("v"))))
+    as_object = last_wins(F.transform(entries, lambda x: F.struct(x["key"].alias("k"), _value(x["value"]).alias("v"))))
     as_list = _indexed(F.from_json(clean, "array<string>"))
     keys, values = (F.regexp_extract_all(text, F.lit(PAIR), F.lit(g)) for g in (1, 2))
-    as_pairs = _last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.try_cast("double").alias("v"))))
+    as_pairs = last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.try_cast("double").alias("v"))))
     as_numbers = _indexed(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
     return F.when(clean.startswith("{") & as_object.isNotNull(), as_object).when(clean.startswith("[") & as_list.isNotNull(), as_list).when(F.size(keys) > 0, as_pairs).otherwise(as_numbers)
 

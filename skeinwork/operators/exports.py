@@ -6,13 +6,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.answers import first_answer, forecast_map, paired
 
 # Columns that may hold a response, in order of preference, and columns that reinforcement data keep.
-RESPONSES = ("response", "full_response", "forecast_full_response", "Forecasting_answer", "full_answer", "answer")
+RESPONSES = ("response", "full_answer", "answer_teacher", "full_response", "answer_local_llm", "answer")
 RL_KEEP = ("idx", "prompt", "response", "ground_truth", "answer", "tool", "dataset_name", "baseline_forecast")
 
 
@@ -38,13 +38,36 @@ def chat(df: DataFrame) -> DataFrame:
     return df.select(F.array(message("user", "prompt"), message("assistant", "response")).alias("messages"))
 
 
-def prepare_rl(df: DataFrame, dataset: str) -> DataFrame:
-    """Kept columns and constants of rows with a ground truth, which falls back to the response; blank dataset names are replaced."""
-    response = _response(df)
-    truth = F.coalesce(filled(F.col("ground_truth")), response) if "ground_truth" in df.columns else response
-    name = F.coalesce(filled(F.col("dataset_name")), F.lit(dataset)) if "dataset_name" in df.columns else F.lit(dataset)
-    out = df.withColumns({"response": response, "ground_truth": truth, "dataset_name": name}).where(filled(F.col("ground_truth")).isNotNull())
-    return out.select(*[c for c in RL_KEEP if c in out.columns], F.lit("forecast").alias("data_source"), F.lit("forecasting").alias("ability"), F.lit("rule").alias("reward_model"))
+def prepare_rl(df: DataFrame, dataset: str, source: str = "forecast", ability: str = "time_series_forecasting", reward: str = "rule") -> DataFrame:
+    """Kept columns and constants of rows with a prompt and a ground truth.
+
+    A blank ground truth is that of column response, where there is one; empty dataset names are replaced; tool is empty and
+    idx the place in the order of prompts where they are missing. The three constants name the trainer's own parts, so they
+    are parameters.
+    """
+    if "prompt" not in df.columns:
+        raise ValueError(f"a prompt column is needed, found {', '.join(df.columns)}")
+    has = set(df.columns)
+    own = F.col("ground_truth") if "ground_truth" in has else F.lit("")
+    other = F.col("response") if "response" in has else own
+    out = df.withColumn("ground_truth", F.when(filled(own).isNull(), other).otherwise(own))
+    name = F.col("dataset_name") if "dataset_name" in has else F.lit("")
+    out = out.withColumn("dataset_name", F.when(F.coalesce(name, F.lit("")) == "", F.lit(dataset)).otherwise(name))
+    if "tool" not in has:
+        out = out.withColumn("tool", F.lit(""))
+    if "idx" not in has:
+        out = numbered(out, "prompt")
+    out = out.where(filled(F.col("prompt")).isNotNull() & filled(F.col("ground_truth")).isNotNull())
+    return out.select(*[c for c in RL_KEEP if c in out.columns], F.lit(source).alias("data_source"), F.lit(ability).alias("ability"), F.lit(reward).alias("reward_model"))
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with idx from 0 by the order of some columns: ranges are sorted apart, then shifted by the sizes of those before."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    spread = spread.withColumn("_p", F.shiftright("_i", 33))
+    sizes = spread.groupBy("_p").count()  # a row a partition
+    before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))
+    return spread.join(F.broadcast(before), "_p").withColumn("idx", F.col("_b") + F.col("_i").bitwiseAND((1 << 33) - 1)).drop("_i", "_p", "_b")
 
 
 def ordered_export(df: DataFrame) -> DataFrame:

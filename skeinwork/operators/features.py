@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skeinwork.operators.windows import KEYS, differences, points, slope, total
+from skeinwork.operators.windows import KEYS, points, slope, total
+
 
 def ordered() -> WindowSpec:
     return Window.partitionBy(*KEYS).orderBy("pos")
@@ -113,7 +114,8 @@ def periodicity(windows: DataFrame) -> DataFrame:
 
 def frequency(series: DataFrame) -> DataFrame:
     """The commonest distance of neighbouring timestamps of each series in seconds (the least on ties) and its label."""
-    gaps = series.withColumn("d", F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("sid").orderBy("pos")))).where("d IS NOT NULL")
+    t = series.select("sid", "pos", F.unix_timestamp("ts").alias("t"))
+    gaps = t.join(t.select("sid", (F.col("pos") + 1).alias("pos"), F.col("t").alias("was")), ["sid", "pos"]).select("sid", (F.col("t") - F.col("was")).alias("d")).where("d IS NOT NULL")
     counted = gaps.groupBy("sid", "d").count()
     best = counted.groupBy("sid").agg(F.min(F.struct((-F.col("count")).alias("c"), "d"))["d"].alias("seconds"))
     d = F.col("seconds")
@@ -143,5 +145,30 @@ def exogenous_ranking(pairs: DataFrame, top: int = 3) -> DataFrame:
     return c.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
 
 
-def differences_of(windows: DataFrame) -> DataFrame:
-    return windows.select(*KEYS, differences(F.col("hist")).alias("d"))
+def strongest_channel(pairs: DataFrame, most: int = 8) -> DataFrame:
+    """The channel with the largest peak of each window, the first by name on ties: other, correlation at lag 0, lag, peak."""
+    keys = [*KEYS, "other"]
+    plain = pairs.groupBy(*keys).agg(rounded(correlation(F.col("y"), F.col("x"))).alias("correlation"))
+    both = lead_lag(pairs, most).join(plain, keys)
+    return both.groupBy(*KEYS).agg(F.min(F.struct((-F.abs("peak")).alias("a"), "other", "correlation", "lag", "peak")).alias("b")).select(*KEYS, "b.other", "b.correlation", "b.lag", "b.peak")
+
+
+def series_statistics(series: DataFrame) -> DataFrame:
+    """A row a series (sid, ts, pos, y): extremes, mean, population variance, length, periodicity of the whole, frequency label."""
+    y = F.col("y")
+    plain = series.groupBy("sid").agg(F.max(y).alias("max"), F.min(y).alias("min"), rounded(F.avg(y)).alias("mean"), rounded(F.var_pop(y), 3).alias("variance"), F.count("*").alias("series_length"))
+    return plain.join(whole_periodicity(series), "sid").join(frequency(series).select("sid", "frequency"), "sid", "left")
+
+
+def whole_periodicity(series: DataFrame, most: int = 366) -> DataFrame:
+    """sid, periodicity_lag: the lag from 1 to half the series, at most `most`, of the largest autocorrelation, the least on ties.
+
+    Each point meets at most `most` later ones by position, in blocks of `most` positions, so no task holds a series.
+    """
+    n = series.groupBy("sid").agg(F.count("*").alias("n"), F.avg("y").alias("m"))
+    c = series.join(n, "sid").select("sid", "pos", "n", (F.col("y") - F.col("m")).alias("c")).withColumn("b", F.floor(F.col("pos") / most))
+    near = c.select("sid", F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("pos").alias("was"), F.col("c").alias("p"))
+    at = c.join(near, ["sid", "b"]).withColumn("lag", F.col("pos") - F.col("was")).where(f"lag > 0 AND lag <= {most} AND lag < greatest(n div 2, 2)")
+    sums = at.groupBy("sid", "lag").agg(F.round(F.sum(F.col("c") * F.col("p")), 2).alias("r"))
+    best = sums.groupBy("sid").agg(F.min(F.struct((-F.col("r")).alias("a"), "lag"))["lag"].alias("lag"))
+    return n.join(best, "sid", "left").select("sid", F.when(F.col("n") < 3, F.lit(1)).otherwise(F.coalesce("lag", F.lit(1))).cast("long").alias("periodicity_lag"))

@@ -10,49 +10,154 @@ from skeinwork.operators.forecasting import MODELS, ensemble_weight, forecasts,
 from skeinwork.operators.windows import KEYS, deviation, mean
 from skeinwork.plans.registry import WindowSpec
 
-# Names of the tools, those always run first, and schedules to try.
-MANDATORY = ("model_auxiliary_tool",)
+# Names of the tools, those always run first, those added without a plan, schedules to try, and older names.
+MANDATORY = ("model_auxiliary_tool", "exogenous_analysis_tool")
 OPTIONAL = (
-    "statistical_analysis_tool basic_statistics_tool data_quality_tool comprehensive_feature_tool trend_analysis_tool "
-    "changepoint_trend_tool cross_channel_tool event_summary_tool"
-).split()
+    "statistical_analysis_tool", "basic_statistics_tool", "data_quality_tool", "comprehensive_feature_tool", "trend_analysis_tool",
+    "changepoint_trend_tool", "cross_channel_tool", "event_summary_tool",
+)
 TRAIN_ONLY = "autoregressive_residual_tool"
-STRATEGIES = (
-    ("statistical_analysis_tool", "trend_analysis_tool", "changepoint_trend_tool"),
-    ("basic_statistics_tool", "changepoint_trend_tool", "data_quality_tool", "event_summary_tool"),
-)
+HEURISTIC = ("statistical_analysis_tool", "trend_analysis_tool", "changepoint_trend_tool")
+STRATEGIES = (HEURISTIC, ("basic_statistics_tool", "changepoint_trend_tool", "data_quality_tool", "event_summary_tool"))
 WIDE_STRATEGY = ("cross_channel_tool", "event_summary_tool", "comprehensive_feature_tool")
 TRAIN_STRATEGY = (TRAIN_ONLY, "statistical_analysis_tool", "trend_analysis_tool")
+OLDER_NAMES = {
+    "statistical_analysis": "statistical_analysis_tool",
+    "trend_analysis": "trend_analysis_tool",
+    "exogenous_analysis": "exogenous_analysis_tool",
+    "ar_residual_tool": "autoregressive_residual_tool",
+}
 
 
 def names(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def planned(remembered: Column, proposed: Column, train: bool = False) -> Column:
-    """The mandatory tools, those of similar remembered runs and those proposed, in order, each known tool once."""
-    known = names([*MANDATORY, *OPTIONAL, *([TRAIN_ONLY] if train else [])])
-    every = F.concat(names(MANDATORY), F.coalesce(remembered, names(())), F.coalesce(proposed, names(())))
-    return F.filter(F.array_distinct(every), lambda x: F.array_contains(known, x))
+def _optional(train: bool) -> tuple[str, ...]:
+    return (*OPTIONAL, TRAIN_ONLY) if train else OPTIONAL
+
+
+def current_name(name: Column) -> Column:
+    """A tool's name of today; unknown names as they are."""
+    table = F.create_map(*[F.lit(x) for pair in OLDER_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, name), name)
+
+
+def older_name(name: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for old, new in OLDER_NAMES.items() for x in (new, old)])
+    return F.coalesce(F.try_element_at(table, name), name)
+
+
+def planned(remembered: Column, proposed: Column | None = None, train: bool = False) -> Column:
+    """A plan: the mandatory tools and the allowed ones proposed, if that adds any; else those of similar remembered runs, under
+    today's names, and the heuristic ones. Each once, in order of first mention."""
+    none = names(())
+    past = F.transform(F.coalesce(remembered, none), current_name)
+    fallback = F.array_distinct(F.concat(names(MANDATORY), past, names(HEURISTIC)))
+    if proposed is None:
+        return fallback
+    allowed = names([*MANDATORY, *_optional(train)])
+    plan = F.array_distinct(F.concat(names(MANDATORY), F.filter(F.coalesce(proposed, none), lambda x: F.array_contains(allowed, x))))
+    return F.when(F.size(plan) > len(MANDATORY), plan).otherwise(fallback)
 
 
 def candidate_schedules(baseline: Column, channels: Column, k: int = 4, train: bool = False) -> Column:
-    """At most k different schedules: the planned one, then the fixed strategies that apply."""
-    fixed = [F.array(*[names([*MANDATORY, *s]) for s in STRATEGIES])]
+    """At most k different schedules, mandatory tools first: the optional tools of the plan (the heuristic ones if it has none), then the fixed strategies that apply."""
+    allowed = names(_optional(train))
+    own = F.filter(F.array_distinct(baseline), lambda x: F.array_contains(allowed, x))
+    own = F.when(F.size(own) > 0, own).otherwise(names(HEURISTIC))
     none = F.array().cast("array<array<string>>")
-    fixed.append(F.when(channels > 2, F.array(names([*MANDATORY, *WIDE_STRATEGY]))).otherwise(none))
-    fixed.append(F.array(names([*MANDATORY, *TRAIN_STRATEGY])) if train else none)
-    return F.slice(F.array_distinct(F.concat(F.array(baseline), *fixed)), 1, k)
+    tried = [F.array(own), F.array(*[names(s) for s in STRATEGIES]), F.when(channels > 2, F.array(names(WIDE_STRATEGY))).otherwise(none)]
+    tried.append(F.array(names(TRAIN_STRATEGY)) if train else none)
+    return F.slice(F.array_distinct(F.transform(F.concat(*tried), lambda s: F.concat(names(MANDATORY), s))), 1, max(1, k))
 
 
-def named_tools(text: Column, train: bool = False) -> Column:
-    """Tools of a JSON object {"tools": [...]}; else all known names that occur as words."""
-    known = names([*MANDATORY, *OPTIONAL, *([TRAIN_ONLY] if train else [])])
-    parsed = F.from_json(text, "tools array<string>")["tools"]
-    return F.when(parsed.isNotNull(), F.array_distinct(F.filter(parsed, lambda x: F.array_contains(known, x)))).otherwise(
+def named_tools(text: Column) -> Column:
+    """Tools of the JSON object {"tools": [...]} in a text; else all known names that occur as words."""
+    known = names([*MANDATORY, *OPTIONAL, TRAIN_ONLY])
+    parsed = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "tools array<string>")["tools"]
+    return F.when(parsed.isNotNull(), parsed).otherwise(
         F.filter(known, lambda x: F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"\b"), x, F.lit(r"\b")))))
 
 
+def act(windows: DataFrame, schedules: DataFrame, spec: WindowSpec, pairs: DataFrame | None = None, train: bool = False) -> DataFrame:
+    """sid, wid, tools: a map from each scheduled tool to its output as JSON; windows (sid, wid, hist), schedules (sid, wid, schedule).
+
+    Tools that some schedule names are computed once for all windows. The train-only tool is reported as skipped outside
+    training, a tool without a channel as not available, and an unknown one as such.
+    """
+    wanted = {r[0] for r in schedules.select(F.explode("schedule")).distinct().limit(64).collect()}  # names, not rows
+    tables = {n: f(windows, spec, pairs) for n, f in TOOLS.items() if n in wanted and (train or n != TRAIN_ONLY)}
+    out, found = schedules, []
+    for n, table in tables.items():
+        if table is not None:
+            out = out.join(table.select(*KEYS, F.to_json(F.struct(*[c for c in table.columns if c not in KEYS])).alias(n)), KEYS, "left")
+            found.append(n)
+    results = F.create_map(*[x for n in found for x in (F.lit(n), F.col(n))]) if found else F.create_map().cast("map<string,string>")
+    skipped = F.when((F.lit(TRAIN_ONLY) == F.col("_t")) if not train else F.lit(False), '{"skipped":true,"reason":"train_only_tool"}')
+    other = F.coalesce(skipped, F.when(F.col("_t").isin(*TOOLS), '{"available":false}'), F.lit('{"error":"unknown tool"}'))
+    rows = out.select(*KEYS, F.posexplode_outer("schedule").alias("_k", "_t"), results.alias("_r")).select(*KEYS, "_k", "_t", F.coalesce(F.try_element_at("_r", F.col("_t")), other).alias("_o"))
+    entries = F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_k", "_t", "_o"))))
+    return rows.groupBy(*KEYS).agg(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["_t"], x["_o"]))).alias("tools"))
+
+
+def _aux(windows, spec, pairs):
+    f = forecasts(windows, spec, list(MODELS))
+    reference = weighted(f, ensemble_weight(F.col("model"))).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("step", F.round("yhat", 6).alias("y")))).alias("x"))
+    return reference.select(*KEYS, F.transform("x", lambda x: x["y"]).alias("reference_prediction"), F.size("x").alias("forecast_length"))
+
+
+def comprehensive_features(windows: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Six tools' outputs of every window as structs."""
+    parts = {
+        "statistical": features.statistical(windows), "basic": features.basic(windows, spec.season), "trend": features.trend(windows),
+        "changepoint": features.changepoints(windows), "quality": features.quality(windows), "event": features.events(windows),
+    }
+    out = windows.select(*KEYS)
+    for name, p in parts.items():
+        out = out.join(p.select(*KEYS, F.struct(*[c for c in p.columns if c not in KEYS]).alias(name)), KEYS)
+    return out
+
+
+def _ranking(windows, spec, pairs):
+    if pairs is None:
+        return None
+    top = F.sort_array(F.collect_list(F.struct("rank", "other", "c")))
+    return features.exogenous_ranking(pairs).groupBy(*KEYS).agg(F.transform(top, lambda x: F.struct(x["other"].alias("column"), x["c"].alias("correlation"))).alias("top"))
+
+
+#: Tool names to functions of (windows, spec, pairs with outside channels or None).
+TOOLS = {
+    "model_auxiliary_tool": _aux,
+    "exogenous_analysis_tool": _ranking,
+    "statistical_analysis_tool": lambda w, spec, pairs: features.statistical(w),
+    "basic_statistics_tool": lambda w, spec, pairs: features.basic(w, spec.season),
+    "data_quality_tool": lambda w, spec, pairs: features.quality(w),
+    "comprehensive_feature_tool": lambda w, spec, pairs: comprehensive_features(w, spec),
+    "trend_analysis_tool": lambda w, spec, pairs: features.trend(w),
+    "changepoint_trend_tool": lambda w, spec, pairs: features.changepoints(w),
+    "cross_channel_tool": lambda w, spec, pairs: None if pairs is None else features.strongest_channel(pairs),
+    "event_summary_tool": lambda w, spec, pairs: features.events(w),
+    TRAIN_ONLY: lambda w, spec, pairs: features.residuals(w),
+}
+
+
+def older_calls(schedule: Column, outputs: Column) -> Column:
+    """Tool calls under older names, in order of the schedule, of the tools that have an output (a map under today's names)."""
+    kept = F.filter(schedule, lambda x: F.map_contains_key(outputs, x))
+    return F.transform(kept, lambda x: F.struct(older_name(x).alias("tool_name"), F.element_at(outputs, x).alias("output")))
+
+
+def last_value(hist: Column, horizon: int) -> Column:
+    """A fallback forecast: the last value again and again."""
+    return F.array_repeat(F.element_at(hist, -1), horizon)
+
+
+def invalid(horizon: int) -> Column:
+    """What stands for a forecast that couldn't be made."""
+    return F.array_repeat(F.lit(float("nan")), horizon)
+
+
 def refined(windows: DataFrame, spec: WindowSpec) -> DataFrame:
     """sid, wid, step, yhat: the plain ensemble, bent by slope and momentum, drawn to a level if flat or oscillating, clipped to three deviations."""
     base = weighted(forecasts(windows, spec, list(MODELS)), ensemble_weight(F.col("model")))

@@ -47,8 +47,8 @@ REWARD_BOUNDS = (
     ("ETTh1", 12.0, 2.0),
     ("ETTm1", 3.5, 1.0),
 )
-# Parts of file names that stand for a dataset.
-NICKNAMES = {"windy": "WP", "wind": "WP", "sunny": "SP"}
+# Other names of datasets.
+NICKNAMES = {"sunny": "SP", "sunny_power": "SP", "solar": "SP", "windy": "WP", "windy_power": "WP", "wind": "WP"}
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -63,16 +63,12 @@ def reward_bounds(spark: SparkSession) -> DataFrame:
 def spec_of(name: str) -> WindowSpec:
     """The window specification of a dataset; KeyError for an unknown name."""
     for n, lookback, horizon, season, _, stride in DATASETS:
-        if n.lower() == name.strip().lower():
+        if n.lower() == NICKNAMES.get(name.strip().lower(), name.strip()).lower():
             return WindowSpec(lookback, horizon, stride, season)
     raise KeyError(name)
 
 
 def dataset_of(path: str) -> str | None:
-    """The dataset that a path names: first by its file's stem, else by any part of it, in the registry's order."""
+    """The first dataset of the registry that a path names anywhere, by its name or another one."""
     low = path.replace("\\", "/").lower()
-    stem = low.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    known = {n.lower(): n for n, *_ in DATASETS} | NICKNAMES
-    if stem in known:
-        return known[stem]
-    return next((n for k, n in known.items() if k in low), None)
+    return next((n for n, *_ in DATASETS if n.lower() in low or any(k in low for k, to in NICKNAMES.items() if to == n)), None)

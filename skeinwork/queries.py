@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.functions import answers
-from skeinwork.operators import exports, features, forecasting, library, similarity, windows, workflow
+from skeinwork.functions import answers, texts
+from skeinwork.operators import exports, features, forecasting, library, memory, similarity, windows, workflow
 from skeinwork.operators.features import rounded
-from skeinwork.plans.registry import WindowSpec, registry
-from skeinwork.sources import series
+from skeinwork.plans.registry import DATASETS, WindowSpec, registry
+from skeinwork.sources import series, tables
+
+def exact(c, digits: int):
+    """Rounded half up by way of nine decimal places, so that both engines agree where a sum lies on a tie."""
+    return F.round(c.cast("decimal(28,9)"), digits).cast("double")
+
+
+def exact_sql(c: str, digits: int) -> str:
+    return f"round(({c})::DECIMAL(28,9), {digits})::DOUBLE"
+
 
 HOURLY = WindowSpec(168, 24, 24, 24)
 DAILY = WindowSpec(96, 96, 48, 7)
@@ -118,10 +127,10 @@ def mean_errors_by_user(spark, sf_dir):
     return f.groupBy("model").agg(F.count("*").alias("windows"), F.round(F.avg("mse"), 2).alias("mse"), F.round(F.avg("mae"), 2).alias("mae"))
 
 
-@query(HOUR_SQL + " SELECT h.sid, h.wid, k.step, round(l.y + g.s * (k.step + 1), 4) AS yhat FROM (SELECT DISTINCT sid, wid FROM h) h JOIN (SELECT sid, wid, regr_slope(y, pos) AS s FROM h WHERE pos >= 144 GROUP BY ALL) g ON g.sid = h.sid AND g.wid = h.wid JOIN h l ON l.sid = h.sid AND l.wid = h.wid AND l.pos = 167, (SELECT unnest(range(24)) AS step) k")
+@query(HOUR_SQL + " SELECT h.sid, h.wid, k.step, " + exact_sql("l.y + g.s * (k.step + 1)", 4) + " AS yhat FROM (SELECT DISTINCT sid, wid FROM h) h JOIN (SELECT sid, wid, regr_slope(y, pos) AS s FROM h WHERE pos >= 144 GROUP BY ALL) g ON g.sid = h.sid AND g.wid = h.wid JOIN h l ON l.sid = h.sid AND l.wid = h.wid AND l.pos = 167, (SELECT unnest(range(24)) AS step) k")
 def linear_drift(spark, sf_dir):
     f = hourly(spark, sf_dir).select("sid", "wid", F.posexplode(forecasting.linear_drift(F.col("hist"), HOURLY)).alias("step", "yhat"))
-    return f.select("sid", "wid", F.col("step").cast("long").alias("step"), rounded(F.col("yhat"), 4).alias("yhat"))
+    return f.select("sid", "wid", F.col("step").cast("long").alias("step"), exact(F.col("yhat"), 4).alias("yhat"))
 
 
 @query()
@@ -279,34 +288,34 @@ tr AS (SELECT sa.sid, sa.wid, sb.item, sum(sa.z * sb.z) AS dot, sqrt(sum(sa.z *
 sim AS (SELECT sid, wid, item, round(least(greatest(0.4 * CASE WHEN nn <= 1e-12 THEN 0 ELSE 0.5 + 0.5 * dot / nn END + 0.25 * exp(-sd / sp) + 0.2 * exp(-abs(va - vb) / greatest(va, vb, 1e-8)) + 0.15 * pt, 0), 1), 9) AS sim FROM tr)"""
 
 
-@query(HOUR_SQL + ", l AS (SELECT sid, wid, pos, y AS v FROM h WHERE wid % 10 = 0), r AS (SELECT sid, wid AS item, pos, y AS v FROM h), " + _similar("l", "r", "") +
+@query(HOUR_SQL + ", l AS (SELECT sid, wid, pos, y AS v FROM h WHERE wid % 100 = 0), r AS (SELECT sid, wid AS item, pos, y AS v FROM h), " + _similar("l", "r", "") +
        " SELECT sid, wid, item, round(sim, 6) AS sim, row_number() OVER (PARTITION BY sid, wid ORDER BY sim DESC, item) AS rank FROM sim QUALIFY rank <= 3")
 def case_topk(spark, sf_dir):
     w = hourly(spark, sf_dir)
-    return library.similar_cases(w.where("wid % 10 = 0"), w).withColumn("sim", rounded(F.col("sim")))
+    return library.similar_cases(w.where("wid % 100 = 0"), w).withColumn("sim", rounded(F.col("sim")))
 
 
 _NEAREST = _CLUSTERS + ", l AS (SELECT sid, wid, pos, y AS v FROM h), r AS (SELECT md.sid, md.cluster AS item, z.pos, z.z AS v FROM md JOIN z ON z.sid = md.sid AND z.wid = md.wid), " + _similar("l", "r", "") + ", nc AS (SELECT sid, wid, item AS cluster, sim FROM sim QUALIFY row_number() OVER (PARTITION BY sid, wid ORDER BY sim DESC, item) = 1)"
 
 
-@query(HOUR_SQL + ", " + _NEAREST + " SELECT v.sid, v.wid, v.step, round(sum(cw.weight * v.yhat), 4) AS yhat FROM v JOIN nc ON nc.sid = v.sid AND nc.wid = v.wid JOIN cw ON cw.sid = nc.sid AND cw.cluster = nc.cluster AND cw.model = v.model GROUP BY ALL")
+@query(HOUR_SQL + ", " + _NEAREST + " SELECT v.sid, v.wid, v.step, " + exact_sql("sum(cw.weight * v.yhat)", 4) + " AS yhat FROM v JOIN nc ON nc.sid = v.sid AND nc.wid = v.wid JOIN cw ON cw.sid = nc.sid AND cw.cluster = nc.cluster AND cw.model = v.model GROUP BY ALL")
 def library_ensemble(spark, sf_dir):
     out = library.library_ensemble(hourly(spark, sf_dir), HOURLY)
-    return out.select("sid", "wid", F.col("step").cast("long").alias("step"), rounded(F.col("yhat"), 4).alias("yhat"))
+    return out.select("sid", "wid", F.col("step").cast("long").alias("step"), exact(F.col("yhat"), 4).alias("yhat"))
 
 
-@query(HOUR_SQL + ", " + _models(HOURLY) + " SELECT sid, wid, step, round(sum(yhat) / 3, 4) AS yhat FROM v GROUP BY ALL")
+@query(HOUR_SQL + ", " + _models(HOURLY) + " SELECT sid, wid, step, " + exact_sql("sum(yhat) / 3", 4) + " AS yhat FROM v GROUP BY ALL")
 def primitive_ensemble(spark, sf_dir):
     f = forecasting.weighted(forecasting.forecasts(hourly(spark, sf_dir), HOURLY), forecasting.ensemble_weight(F.col("model")))
-    return f.select("sid", "wid", F.col("step").cast("long").alias("step"), rounded(F.col("yhat"), 4).alias("yhat"))
+    return f.select("sid", "wid", F.col("step").cast("long").alias("step"), exact(F.col("yhat"), 4).alias("yhat"))
 
 
 @query(HOUR_SQL + _STEPS + ", " + _PATTERN + ", " + _models(HOURLY) + """, st AS (SELECT dd.sid, dd.wid, avg(y) AS m, stddev_pop(y) AS sd, avg(y) FILTER (pos >= 156) AS level, round(regr_slope(y, pos), 6) AS slope, round(avg(d) FILTER (pos > 162), 6) AS mom FROM dd GROUP BY ALL),
 bs AS (SELECT v.sid, v.wid, v.step, sum(yhat) / 3 + 0.2 * (0.7 * any_value(slope) + 0.3 * any_value(mom)) * (v.step + 1) AS y, any_value(m) AS m, any_value(sd) AS sd, any_value(level) AS level FROM v JOIN st ON st.sid = v.sid AND st.wid = v.wid GROUP BY v.sid, v.wid, v.step)
-SELECT bs.sid, bs.wid, bs.step, round(least(greatest(CASE dominant_pattern WHEN 'flat' THEN 0.85 * y + 0.15 * level WHEN 'oscillation' THEN 0.95 * y + 0.05 * m ELSE y END, round(m - 3 * sd, 6)), round(m + 3 * sd, 6)), 4) AS yhat FROM bs JOIN ev ON ev.sid = bs.sid AND ev.wid = bs.wid""")
+SELECT bs.sid, bs.wid, bs.step, """ + exact_sql("""least(greatest(CASE dominant_pattern WHEN 'flat' THEN 0.85 * y + 0.15 * level WHEN 'oscillation' THEN 0.95 * y + 0.05 * m ELSE y END, round(m - 3 * sd, 6)), round(m + 3 * sd, 6))""", 4) + """ AS yhat FROM bs JOIN ev ON ev.sid = bs.sid AND ev.wid = bs.wid""")
 def deterministic_refine(spark, sf_dir):
     out = workflow.refined(hourly(spark, sf_dir), HOURLY)
-    return out.select("sid", "wid", F.col("step").cast("long").alias("step"), rounded(F.col("yhat"), 4).alias("yhat"))
+    return out.select("sid", "wid", F.col("step").cast("long").alias("step"), exact(F.col("yhat"), 4).alias("yhat"))
 
 
 def responses(spark, sf_dir):
@@ -379,11 +388,87 @@ def select_best_candidate(spark, sf_dir):
     return workflow.best_candidates(f, ["sid", "wid"]).withColumn("mse", rounded(F.col("mse"), 3))
 
 
-@query()
+_ROWS = ", ".join(str(tuple(r)) for r in DATASETS)
+
+
+@query(f"SELECT * FROM (VALUES {_ROWS}) AS t(name, lookback, horizon, season, memory_stride, case_stride)")
 def dataset_registry(spark, sf_dir):
     return registry(spark)
 
 
+@query(f"WITH {_panel('hour', *EVENTS)}, c AS (SELECT sid, pos, y - avg(y) OVER (PARTITION BY sid) AS c, count(*) OVER (PARTITION BY sid) AS n FROM s), "
+       "r AS (SELECT x.sid, x.pos - z.pos AS lag, round(sum(x.c * z.c), 2) AS r FROM c x JOIN c z ON z.sid = x.sid AND x.pos > z.pos AND x.pos - z.pos <= 366 AND x.pos - z.pos < x.n // 2 GROUP BY ALL), "
+       "bl AS (SELECT sid, lag FROM r QUALIFY row_number() OVER (PARTITION BY sid ORDER BY r DESC, lag) = 1) "
+       "SELECT s.sid, round(max(y), 2) AS max, round(min(y), 2) AS min, round(avg(y), 4) AS mean, round(var_pop(y), 1) AS variance, count(*) AS series_length, any_value(bl.lag) AS periodicity_lag, 'H' AS frequency FROM s JOIN bl ON bl.sid = s.sid GROUP BY s.sid")
+def series_statistics(spark, sf_dir):
+    panel = series.hourly_panel(spark, sf_dir)
+    r = features.series_statistics(panel.withColumn("ts", F.col("ts").cast("timestamp")))
+    return r.select("sid", F.round("max", 2).alias("max"), F.round("min", 2).alias("min"), rounded(F.col("mean"), 4).alias("mean"), rounded(F.col("variance"), 1).alias("variance"), "series_length", "periodicity_lag", "frequency")
+
+
+@query(_PAIRS + f", g AS (SELECT y.sid, y.wid, y.other, l.l AS lag, round({_ACF.format('y.y', 'x.x')}, 6) AS c FROM pr y, (SELECT unnest(range(-8, 9)) AS l) l JOIN pr x ON x.sid = y.sid AND x.wid = y.wid AND x.other = y.other AND x.pos = y.pos - l.l GROUP BY ALL), "
+       "pk AS (SELECT sid, wid, other, lag, c AS peak FROM g QUALIFY row_number() OVER (PARTITION BY sid, wid, other ORDER BY abs(c) DESC, lag <> 0, lag) = 1) "
+       "SELECT pk.sid, pk.wid, pk.other, g.c AS correlation, pk.lag, peak FROM pk JOIN g ON g.sid = pk.sid AND g.wid = pk.wid AND g.other = pk.other AND g.lag = 0 QUALIFY row_number() OVER (PARTITION BY pk.sid, pk.wid ORDER BY abs(peak) DESC, pk.other) = 1")
+def tool_strongest_channel(spark, sf_dir):
+    return features.strongest_channel(channels(spark, sf_dir))
+
+
+@query("SELECT c_custkey, ('0x' || substr(md5(c_name), 1, 8))::BIGINT AS prompt_id FROM customer")
+def prompt_ids(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", texts.prompt_id(F.col("c_name")).alias("prompt_id"))
+
+
+@query("SELECT event_id, '<think>' || event_type || '</think>' AS raw, event_type AS reasoning, props AS answer FROM events")
+def think_and_answer(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = e.select("event_id", F.concat(F.lit("<think>"), "event_type", F.lit("</think>")).alias("raw"), F.concat(F.lit("<Think>\n"), "event_type", F.lit(" </Think>\n<ANSWER> "), "props", F.lit("\n</ANSWER>")).alias("t"))
+    return t.select("event_id", "raw", texts.reasoning(F.col("t")).alias("reasoning"), texts.tagged_answer(F.col("t")).alias("answer"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k')::DOUBLE AS value FROM events UNION ALL SELECT event_id, '0', json_extract_string(props, '$.k')::DOUBLE FROM events")
+def reward_columns(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    listed = F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit("]"))
+    both = e.select("event_id", F.explode(F.array("props", listed)).alias("t"))
+    return both.select("event_id", F.explode(texts.reward_map(F.col("t"))).alias("key", "value"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_returnflag = 'N' AND l_linestatus = 'F' OR l_returnflag = 'R' AND l_linenumber = 1))")
+def memory_pending(spark, sf_dir):
+    """Orders stand for windows, line items for entries: some name the dataset, some none, some another one."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("orders").alias("sid"), F.col("o_orderkey").alias("wid"), "o_custkey")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = F.when(F.expr("l_returnflag = 'N' AND l_linestatus = 'F'"), "").when(F.expr("l_returnflag = 'R' AND l_linenumber = 1"), "orders").otherwise("other")
+    e = line.select(F.col("l_orderkey").alias("idx"), name.alias("dataset_name"), F.create_map().cast("map<string,double>").alias("metrics"))
+    return memory.pending(o, e).select(F.col("wid").alias("o_orderkey"), "o_custkey")
+
+
+@query("SELECT coalesce(event_type, '') AS dataset_name, count(*) AS entries, array_to_string(list_sort(list(DISTINCT user_id % 5)), ',') AS models FROM events GROUP BY 1")
+def memory_sizes(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("dataset_name"), (F.col("user_id") % 5).cast("string").alias("model_name"))
+    return memory.sizes(e).withColumn("models", F.array_join("models", ","))
+
+
+@query(HOUR_SQL + f", {ARRAYS} SELECT sid, wid, (i + 1)::INT AS step, round(a[168], 2) AS forecast, '1 hour' AS every FROM a, (SELECT unnest(range(24)) AS i)")
+def last_value_steps(spark, sf_dir):
+    w = hourly(spark, sf_dir).select("sid", "wid", workflow.last_value(F.col("hist"), 24).alias("forecast"))
+    stamps = F.array(*[F.lit(f"2024-01-01 0{k}:00:00").cast("timestamp") for k in range(2)])
+    rows = tables.forecast_steps(w, ["sid", "wid"])
+    return rows.select("sid", "wid", "step", F.round("forecast", 2).alias("forecast"), texts.frequency_text(stamps).alias("every"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'model_auxiliary_tool,exogenous_analysis_tool,event_summary_tool' ELSE 'model_auxiliary_tool,exogenous_analysis_tool,data_quality_tool,statistical_analysis_tool,trend_analysis_tool,changepoint_trend_tool' END AS plan, "
+       "CASE WHEN p_size % 2 = 0 THEN 3 WHEN p_size % 3 = 0 THEN 4 ELSE 3 END + CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 1 ELSE 0 END AS schedules FROM part")
+def plans(spark, sf_dir):
+    """A proposal for parts of even size, remembered tools under an older name for the others; outside channels for sizes divisible by three."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    even = F.col("p_size") % 2 == 0
+    proposed = F.when(even, F.array(F.lit("event_summary_tool"), F.lit("no_tool"))).otherwise(F.array(F.lit("no_tool")))
+    plan = workflow.planned(F.array(F.lit("data_quality_tool"), F.lit("statistical_analysis")), proposed)
+    p = p.select("p_partkey", plan.alias("plan"), F.when(F.col("p_size") % 3 == 0, 3).otherwise(1).alias("channels"))
+    return p.select("p_partkey", F.array_join("plan", ",").alias("plan"), F.size(workflow.candidate_schedules(F.col("plan"), F.col("channels"))).alias("schedules"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean error of three naive forecasts of the next 24 hours of each event type."""
     f = forecasting.scored(forecasting.forecasts(hourly(spark, sf_dir), HOURLY))

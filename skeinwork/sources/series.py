@@ -40,7 +40,10 @@ def load_series(spark: SparkSession, path: str, sid: str = "series", target: str
     if time is None:
         raise ValueError(f"a series needs one of the columns {', '.join(TIME_NAMES)} to be ordered by")
     rows = raw.select(F.lit(sid).alias("sid"), F.col(f"`{time}`").try_cast("timestamp_ntz").alias("ts"), number(F.col(f"`{target}`")).alias("y"))
-    return with_positions(rows.where(F.col("y").isNotNull() & ~F.isnan("y")))
+    rows = rows.where(F.col("y").isNotNull() & ~F.isnan("y"))
+    if len(rows.take(2)) < 2:
+        raise ValueError(f"fewer than two rows with a number in {target}: {path}")
+    return with_positions(rows)
 
 
 def with_positions(rows: DataFrame) -> DataFrame:

@@ -91,7 +91,8 @@ def test_fill(spark):
 
 def test_registry():
     assert registry.dataset_of("data/train/EPF_NP_train_val.csv") == "NP" and registry.dataset_of("windy_power.csv") == "WP" and registry.dataset_of("q.csv") is None
-    assert registry.spec_of("etth1").lookback == 96
+    assert registry.spec_of("etth1").lookback == 96 and registry.spec_of("solar") == registry.spec_of("SP")
+    assert registry.dataset_of("data/BE/DE.csv") == "BE"
     with pytest.raises(KeyError):
         registry.spec_of("none")
 
@@ -102,9 +103,12 @@ def test_workflow_rules(spark):
     ask = lambda f, m=None: one.select(workflow.verdict(F.lit(f).cast("array<double>") if f is None else F.array(*map(F.lit, f)), 2, m)).first()[0]
     assert ask([1.0, 2.0]) == "PASS" and "length 1" in ask([1.0]) and "non-finite" in ask([1.0, nan]) and ask(None) == "forecast is missing"
     assert ask([1.0, 2.0], F.lit("I say fail")) == "I say fail" and ask([1.0, 2.0], F.lit("FAIL? no, PASS")) == "PASS"
-    got = one.select(workflow.planned(F.array(F.lit("trend_analysis_tool"), F.lit("odd")), F.array(F.lit("trend_analysis_tool"), F.lit("event_summary_tool")))).first()[0]
-    assert got == ["model_auxiliary_tool", "trend_analysis_tool", "event_summary_tool"]
-    base = workflow.names(("model_auxiliary_tool", *workflow.STRATEGIES[0]))
+    past, asked = F.array(F.lit("trend_analysis"), F.lit("data_quality_tool")), F.array(F.lit("trend_analysis_tool"), F.lit("odd"), F.lit("event_summary_tool"))
+    must = ["model_auxiliary_tool", "exogenous_analysis_tool"]
+    assert one.select(workflow.planned(past, asked)).first()[0] == [*must, "trend_analysis_tool", "event_summary_tool"]
+    assert one.select(workflow.planned(past, F.array(F.lit("odd")))).first()[0] == [*must, "trend_analysis_tool", "data_quality_tool", "statistical_analysis_tool", "changepoint_trend_tool"]
+    assert one.select(workflow.named_tools(F.lit('so: {"tools": ["exogenous_analysis_tool","trend_analysis_tool"]} ok'))).first()[0] == ["exogenous_analysis_tool", "trend_analysis_tool"]
+    base = workflow.names((*workflow.MANDATORY, *workflow.STRATEGIES[0]))
     assert len(one.select(workflow.candidate_schedules(base, F.lit(3), 4, True)).first()[0]) == 4
     assert len(one.select(workflow.candidate_schedules(base, F.lit(2), 4)).first()[0]) == 2
     assert one.select(workflow.named_tools(F.lit("use event_summary_tool, please"))).first()[0] == ["event_summary_tool"]
@@ -116,7 +120,10 @@ def test_exports(spark):
     rows = spark.createDataFrame([("1", "p", "r", "", ""), ("2", "p", " ", "g", "NP"), ("10", " ", "r", "g", "NP")], "idx string, prompt string, answer string, ground_truth string, dataset_name string")
     assert exports.prepare_sft(rows).count() == 1 and exports.chat(exports.prepare_sft(rows)).first()[0][1].content == "r"
     rl = exports.prepare_rl(rows, "BE").orderBy("idx").collect()
-    assert [(r.idx, r.ground_truth, r.dataset_name) for r in rl] == [("1", "r", "BE"), ("10", "g", "NP"), ("2", "g", "NP")]
+    assert [(r.idx, r.ground_truth, r.dataset_name) for r in rl] == [("2", "g", "NP")]  # only column response stands in for a truth
+    with_response = exports.prepare_rl(rows.withColumn("response", F.col("answer")), "BE").orderBy("idx").collect()
+    assert [(r.idx, r.ground_truth, r.dataset_name, r.tool) for r in with_response] == [("1", "r", "BE", ""), ("2", "g", "NP", "")]
+    assert sorted(r.idx for r in exports.prepare_rl(rows.drop("idx"), "BE").collect()) == [2]
     assert [r.idx for r in exports.ordered_export(rows).collect()] == ["1", "2", "10"]
 
     def client(prompt):
