@@ -1,22 +1,28 @@
 """Main text of web pages by site style trees.
 
-Pages of a host are merged: a style node is a host and a path of block elements with their classes, and its contents are the
-texts that the host's pages show there. A node's importance is the entropy of its contents over the pages that have it,
-with the number of those pages as base: 0 if all show the same, 1 if each shows its own. A presentation node is of no
-importance where its tag or class names page furniture. Branches of low importance are removed from each page, wherever they
-are; to be inside an article or main element only adds INSIDE to a node's importance. A passage that pages share stays
-where the other texts of its node differ. Copies, pages of a host with the same text outside furniture, count as one page,
-so an article that a host repeats is no boilerplate.
-
-Entropies come from counts by (host, path, content hash), summed by task before the shuffle, so a host with a third of all
-pages is no hot key. What is low is a short list of paths a host (bounded by its templates), joined to pages by host:
-broadcast if it is small, else by a shuffle join that Spark may split.
+The DOMs of a host's pages are merged: a style node is a host and a path of block elements with their classes (digits aside),
+named by a 64-bit hash. Its content node holds the texts that pages show there, its presentation node the sequences of its
+child elements. Importance of a node, over the pages that have it (copies, pages of a host with the same text outside
+furniture, count once):
+
+    (CONTENT * entropy of contents + (1 - CONTENT) * entropy of presentations + INSIDE if within article or main) * NAMED if named
+
+with the number of pages as base of the entropies: 0 if all show the same, 1 if each shows its own; 1 for nodes on fewer than
+LEAST_PAGES pages, where nothing can be said. Names of elements and classes of page furniture are evidence, a factor that no
+entropy makes up for, except where form elements or class words name a branch that holds the page's content: over half of its
+text and all article and main elements, on most pages. Branches of importance below LEAST_IMPORTANCE are removed from each page,
+wherever they are. A passage that pages share stays where the other texts of its node differ.
+
+Entropies come from counts by (host, node, value), summed by task before the shuffle, so a host with a third of all pages is
+no hot key. What is low is a list of hashes a host, joined to pages by host: broadcast if all lists together are small, else by a
+shuffle join that Spark may split.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,19 +30,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import small_batches
+from skeinwork.llm.common import few_rows, work_dir, written
 
 LEAST_IMPORTANCE = 0.3
+CONTENT = 0.9
 INSIDE = 0.15
+NAMED = 0.25
 LEAST_PAGES = 4
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 # HTML element names by the role they play here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
-FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset".split())
+FURNITURE_TAGS = frozenset("nav header footer aside dialog menu button fieldset".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead "
     "footer sidebar aside widget related recommended share sharing social comment comments respond reply replies disqus cookie cookies consent "
@@ -46,10 +54,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav main form h1 h2 h3 h4 h5 h6 blockquote pre hr address fieldset figure".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+SKIP, TAG, WORD = 3, 2, 1  # how a node is named furniture: never shown, by its element, by a class or form
+
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile("[>\"']")
+_NAMES = re.compile(r"(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 _PARTS = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile("[0-9]+")
+_M64 = (1 << 64) - 1
 
 
 def host(url: str | None) -> str:
@@ -57,140 +70,211 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-class Block:
-    __slots__ = ("path", "text", "furniture", "inside")
+def signed(x: int) -> int:
+    return (x & _M64) - (1 << 63)
+
 
-    def __init__(self, path: str, text: str, furniture: bool, inside: bool):
-        self.path, self.text, self.furniture, self.inside = path, text, furniture, inside
+class Node:
+    __slots__ = ("parent", "tag", "path", "kind", "inside", "last", "style", "chars", "mains")
 
+    def __init__(self, parent: int, tag: str, path: int, kind: int, inside: bool):
+        self.parent, self.tag, self.path, self.kind, self.inside = parent, tag, path, kind, inside
+        self.last = self.style = self.chars = 0
+        self.mains = int(tag in ("article", "main"))
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order: path of block elements, text, whether furniture, whether inside an article or main."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, furniture, inside
+
+def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Block elements in order, the page itself first, and the text blocks in order, each with its node. Takes linear time."""
+    nodes = [Node(-1, "", 0, 0, False)]
+    texts: list[tuple[int, str]] = []
+    stack, opened = [0], Counter()
     buffer: list[str] = []
-    at, end = 0, len(page)
+    at, end, quoted = 0, len(page), True
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                _, path, furniture, inside = stack[-1]
-                out.append(Block(path, text, furniture, inside))
+                texts.append((stack[-1], text))
+                nodes[stack[-1]].chars += len(text)
 
     def close(tag: str, within: tuple[str, ...] = ()) -> None:
+        if not opened[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
+            here = nodes[stack[k]].tag
+            if here == tag:
                 flush()
+                opened.subtract(nodes[n].tag for n in stack[k:])
                 del stack[k:]
                 return
-            if stack[k][0] in within:
+            if here in within:
                 return
 
+    def tag_end(p: int) -> int:
+        """Place of the > that ends a tag; quotes hide one after an equals sign, as long as all of them are closed."""
+        nonlocal quoted
+        q = p
+        while quoted:
+            m = _STOP.search(page, q)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            q = m.end()
+            if page[max(p, m.start() - 8) : m.start()].rstrip().endswith("="):
+                q = page.find(m[0], q) + 1
+                if not q:
+                    quoted = False
+        quoted = False
+        return page.find(">", p)
+
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if not m:
             buffer.append(page[at:])
             break
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue  # a comment or declaration
-        tag = m[2].lower()
+        buffer.append(page[at : m.start()])
+        if m[1]:
+            stop = page.find("-->", m.end())
+            at = end if stop < 0 else stop + 3
+            continue
+        stop = page.find(">", m.end()) if m[2] else tag_end(m.end())
+        if stop < 0:
+            buffer.append(page[m.start() :])
+            break
+        at = stop + 1
+        if m[2]:
+            continue
+        tag, attributes = m[4].lower(), page[m.end() : stop]
         if tag in INLINE:
-            if tag in ("br", "img", "wbr"):
-                buffer.append(" " if tag == "br" else "")
+            if tag == "br":
+                buffer.append(" ")
             continue
-        if m[1]:
+        if m[3]:
             close(tag)
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+        alone = attributes.endswith("/")
+        if tag in RAW and not alone:
+            shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = shut.end() if shut else end
             continue
         flush()
+        if tag == "body":
+            close("head")
         if tag in CLOSES_P:
             close("p", ("article", "main", "section", "div", "td", "li", "body"))
         if tag in SELF_CLOSING:
             close(tag, SELF_CLOSING[tag])
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or alone:
             continue
-        _, path, furniture, inside = stack[-1]
-        names = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower() if "=" in m[3] else ""
-        label = f"{tag}.{names}" if names else tag
-        parts = set(_PARTS.split(names))
-        now_inside = inside or tag in ("article", "main")
-        own = tag in SKIPPED or tag in FURNITURE_TAGS or (bool(parts & FURNITURE_WORDS) and tag not in ("article", "main", "body", "html"))
-        if tag in HEADINGS and inside and furniture and stack[-1][0] == "header" and not parts & FURNITURE_WORDS:
-            stack.append((tag, f"{path}/{label}", False, True))  # the article's own heading
-            continue
-        stack.append((tag, f"{path}/{label}", furniture or own, now_inside))
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
+        named = bool(FURNITURE_WORDS.intersection(_PARTS.split(names))) and tag not in ("article", "main", "body", "html")
+        kind = SKIP if tag in SKIPPED else TAG if tag in FURNITURE_TAGS else WORD if named or tag == "form" else 0
+        up = stack[-1]
+        if tag in HEADINGS and nodes[up].tag == "header" and nodes[up].inside and not kind:
+            up = nodes[up].parent  # the article's own heading
+        label = xxhash.xxh3_64_intdigest(f"{tag}.{_DIGITS.sub('0', names)}")
+        above = nodes[up]
+        if label != above.last:
+            above.style = (above.style * 0x9E3779B97F4A7C15 + label) & _M64
+            above.last = label
+        path = xxhash.xxh3_64_intdigest(label.to_bytes(8, "little"), seed=above.path)
+        stack.append(len(nodes))
+        opened[tag] += 1
+        nodes.append(Node(up, tag, path, kind, above.inside or tag in ("article", "main")))
     flush()
-    return out
+    return nodes, texts
+
 
+NODES = "host string, page long, path long, content long, style long, kind int, holds boolean, inside boolean"
 
-def page_nodes(page: str) -> tuple[int, list[tuple[str, int, bool]]]:
-    """Signed 64-bit hash of the page's text outside furniture; and path, hash of all that the page shows there, whether inside an article or main, of its style nodes."""
+
+def page_nodes(page: str) -> tuple[int, list[tuple]]:
+    """Hash of the page's text outside furniture; and path, content, presentation, kind, whether it holds the page's content, whether inside, of its style nodes with text or a name."""
+    nodes, texts = parsed(page)
+    named = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        named[k] = bool(n.kind) or (k > 0 and named[n.parent])
+    for n in reversed(nodes[1:]):
+        nodes[n.parent].chars += n.chars
+        nodes[n.parent].mains += n.mains
     text, shown = xxhash.xxh3_64(), {}
-    for b in blocks(page):
-        data = b.text.encode("utf-8", "surrogatepass") + b"\0"
-        if b.path not in shown:
-            shown[b.path] = (xxhash.xxh3_64(), b.inside)
-        shown[b.path][0].update(data)
-        if not b.furniture:
+    for k, n in enumerate(nodes):
+        if n.kind:
+            holds = n.kind == WORD and 2 * n.chars > nodes[0].chars and n.mains == nodes[0].mains
+            row = shown.setdefault(n.path, [xxhash.xxh3_64(), 0, n.kind, False, n.inside])
+            row[1] = (row[1] * 31 + n.style) & _M64
+            row[3] |= holds
+    for k, block in texts:
+        n, data = nodes[k], block.encode("utf-8", "surrogatepass") + b"\0"
+        row = shown.setdefault(n.path, [xxhash.xxh3_64(), 0, 0, False, n.inside])
+        row[0].update(data)
+        row[1] = (row[1] * 31 + n.style) & _M64
+        if not named[k]:
             text.update(data)
-    return text.intdigest() - (1 << 63), [(p, h.intdigest() - (1 << 63), inside) for p, (h, inside) in shown.items()]
+    return signed(text.intdigest()), [(signed(p), signed(h.intdigest()), signed(s), kind, holds, inside) for p, (h, s, kind, holds, inside) in shown.items()]
 
 
-def main_text(page: str, low: frozenset[str]) -> str:
-    """The blocks that are left when furniture and branches of low importance are removed."""
-    return "\n\n".join(b.text for b in blocks(page) if not b.furniture and b.path not in low)
+def main_text(page: str, low: frozenset[int]) -> str:
+    """The blocks that are left when branches of low importance are removed."""
+    nodes, texts = parsed(page)
+    gone = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        gone[k] = signed(n.path) in low or (k > 0 and gone[n.parent])
+    return "\n\n".join(t for k, t in texts if not gone[k])
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
     """host, path, pages (copies counted once), importance of every style node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for h, x in zip(map(host, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
-                text, nodes = page_nodes(x or "")
-                rows += [(h, text, *node) for node in nodes]
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["host", "text", "path", "content", "inside"])
+                text, found = page_nodes(x or "")
+                rows += [(h, text, *node) for node in found]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
+
+    nodes = pages.select(pages["url"], pages["html"]).mapInArrow(run, NODES).distinct()
+    valued = nodes.select("host", "path", "kind", "holds", "inside", F.explode(F.array(F.struct(F.lit(True).alias("c"), F.col("content").alias("v")), F.struct(F.lit(False).alias("c"), F.col("style").alias("v")))).alias("x"))
+    counts = valued.groupBy("host", "path", "x").agg(
+        F.count("*").alias("count"), F.max("kind").alias("kind"), F.sum(F.col("holds").cast("long")).alias("holds"), F.max("inside").alias("inside")
+    )
+    n = F.sum(F.when(F.col("x.c"), F.col("count")).otherwise(0))
+
+    def entropy(of) -> F.Column:
+        s = F.sum(F.when(of, F.col("count") * F.ln("count")).otherwise(0.0))
+        return F.when(n >= LEAST_PAGES, (F.ln(n) - s / n) / F.ln(n)).otherwise(F.lit(1.0))
 
-    nodes = pages.select(pages["url"], pages["html"]).mapInArrow(run, "host string, text long, path string, content long, inside boolean").distinct()
-    contents = nodes.groupBy("host", "path", "content").agg(F.count("*").alias("count"), F.max("inside").alias("inside"))
-    n, s = F.sum("count"), F.sum(F.col("count") * F.ln("count"))
-    entropy = F.when(n > 1, (F.ln(n) - s / n) / F.ln(n)).otherwise(F.lit(1.0))
-    importance = entropy + F.when(F.max("inside"), INSIDE).otherwise(0.0)
-    return contents.groupBy("host", "path").agg(n.alias("pages"), F.round(importance, 9).alias("importance"))
+    named = (F.max("kind") >= TAG) | ((F.max("kind") == WORD) & (F.sum(F.when(F.col("x.c"), F.col("holds")).otherwise(0)) * 2 <= n))
+    importance = CONTENT * entropy(F.col("x.c")) + (1 - CONTENT) * entropy(~F.col("x.c")) + F.when(F.max("inside"), INSIDE).otherwise(0.0)
+    return counts.groupBy("host", "path").agg(n.alias("pages"), F.round(importance * F.when(named, NAMED).otherwise(1.0), 9).alias("importance"))
 
 
-def low_paths(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and the list of its paths of low importance."""
-    low = style_nodes(pages).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+def low_paths(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """host and the list of its nodes of low importance."""
+    return style_nodes(pages).where(F.col("importance") < least).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page; a null or empty page has the empty text.
 
-    Pages without a url share one host; repeated rows and null ids are kept; other columns are left out.
+    Pages without a url share one host; repeated rows and null ids are kept; other columns are left out; an empty table gives
+    no rows. A very long page is parsed in one task, in time linear in its length, whatever its markup.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [main_text(x or "", frozenset(low or ())) for x, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
-    low = low_paths(pages).persist()
-    host_of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern.replace("(?:[^/?#@]*@)", "(?:[^/?#@]*@)"), 1))
+    low = written(low_paths(pages), work_dir(pages.sparkSession, "style-trees"), "low")
+    host_of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"]).withColumn("host", host_of)
-    small = low.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(low) if small else low, "host", "left")
+    size = low.agg(F.coalesce(F.sum(F.octet_length("host") + 8 * F.size("low") + 64), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left")
     return joined.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
