@@ -4,8 +4,10 @@ Ids are those of the sentencepiece library for a BPE model. Such an encoding is
 which each piece encodes to itself and each two neighbours encode to themselves, so it is a shortest-path problem whose
 weights are 0 for such neighbours and minus infinity for others: a max-plus semiring. A giant document is cut into chunks;
 a state at a cut is the piece that ends at it or runs over it, (characters before, characters after). Each chunk yields the
-transfer matrix from the states at its left cut to those at its right; a document's matrices are multiplied in the max-plus
-sense from its start, which tells the one state at each cut; then each chunk is backtraced on its own.
+transfer matrix from the states at its left cut to those at its right. Matrices of neighbouring chunks are multiplied in the
+max-plus sense, pair by pair, in log rounds of joins, so no task sees a document's whole chain; the states at the cuts are
+handed back down through the rounds, and each chunk is backtraced on its own. A giant document's ids come together in one row,
+as that is the result.
 
 No piece holds a space after another character, so all paths meet where a word begins: inside a chunk only the parts before
 the first and after the last such place depend on the cuts, and whole words between them are looked up, each distinct word
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import keyed, small_batches, work_dir, written
+from skeinwork.llm.common import few_rows, keyed, work_dir, written
 
 CHUNK = 32_768
+CHUNKS_A_TASK = 64
+LONGEST = 64  # characters; longer words are not kept
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 _START = re.compile(f"(?<=[^{MARK}]){MARK}")
@@ -47,6 +51,8 @@ class Pieces(dict):
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [i for i in range(len(names)) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
         self.ids = {names[i]: i for i in plain}
+        if any(MARK in x.lstrip(MARK) for x in self.ids):
+            raise ValueError("a piece with a space inside: words can't be encoded apart")
         self.longest = max(map(len, self.ids))
         self.surface = [names[i].replace(MARK, " ").encode() for i in range(len(names))]
         for i in range(len(names)):
@@ -67,7 +73,11 @@ class Pieces(dict):
         cut = [_UNIT.findall(t) for t in texts]
         new = list(set().union(*cut).difference(self)) if cut else []
         self.update((w, np.asarray(x, "<u4").tobytes()) for w, x in zip(new, self.model.encode(new, num_threads=1) if new else [], strict=True))
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+        out = [b"".join(map(self.__getitem__, c)) for c in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del self[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The text's bytes; the space that encoding put before the first word is taken off."""
@@ -185,97 +195,113 @@ def marked(text: str | None) -> str:
     return (MARK + text.replace(" ", MARK)) if text else ""
 
 
-STATE = "struct<s:int,e:int>"
+def coded(state: tuple[int, int] | None, cut: int) -> int:
+    """A state as a number: 0 for the text's start or end, else (characters before the cut, characters after it)."""
+    return 0 if state is None else (cut - state[0]) << 16 | (state[1] - cut)
 
 
-def _relative(state, cut: int):
-    return None if state is None else {"s": state[0] - cut, "e": state[1] - cut}
+def decoded(code: int, cut: int) -> tuple[int, int] | None:
+    return None if code == 0 else (cut - (code >> 16), cut + (code & 0xFFFF))
 
 
-def _absolute(state, cut: int):
-    return None if state is None else (state["s"] + cut, state["e"] + cut)
+def products(entries: DataFrame, chunks: int, folder: str) -> tuple[list[DataFrame], DataFrame]:
+    """Max-plus products of neighbouring matrices by (document, k div 2), in as many rounds as it takes to have one a document.
+
+    entries (_rk, k, f, t, w): finite weights from state f at the left to t at the right. Returns the rounds' tables with
+    `mid`, the state between the two (null where a matrix had no right neighbour), and the last round's entries.
+    """
+    rounds = []
+    while chunks > 1:
+        half = F.floor(F.col("k") / 2).cast("int")
+        last = F.max("k").alias("last")
+        left = entries.where("k % 2 = 0").select("_rk", half.alias("h"), "f", F.col("t").alias("mid"), F.col("w").alias("wa"))
+        right = entries.where("k % 2 = 1").select("_rk", half.alias("h"), F.col("f").alias("mid"), "t", F.col("w").alias("wb"))
+        best = F.max(F.struct((F.col("wa") + F.col("wb")).alias("w"), (-F.col("mid")).alias("m")))  # ties: the least state
+        pairs = left.join(right, ["_rk", "h", "mid"]).groupBy("_rk", "h", "f", "t").agg(best.alias("x")).select("_rk", F.col("h").alias("k"), "f", "t", "x.w", (-F.col("x.m")).alias("mid"))
+        odd = entries.join(entries.groupBy("_rk").agg(last), "_rk").where("k = last AND k % 2 = 0").select("_rk", half.alias("k"), "f", "t", "w", F.lit(None).cast("long").alias("mid"))
+        rounds.append(written(pairs.unionByName(odd), folder, f"product-{len(rounds)}"))
+        entries, chunks = rounds[-1].select("_rk", "k", "f", "t", "w"), (chunks + 1) // 2
+    return rounds, entries
+
+
+def cut_states(rounds: list[DataFrame], entries: DataFrame, folder: str) -> DataFrame:
+    """_rk, k, f, t: the states at both cuts of every chunk on the one best path, handed down through the rounds."""
+    at = entries.select("_rk", "k", "f", "t")  # one entry a document: from its start to its end
+    for n in range(len(rounds) - 1, -1, -1):
+        found = at.join(rounds[n].select("_rk", "k", "f", "t", "mid"), ["_rk", "k", "f", "t"])
+        alone = found.where("mid IS NULL").select("_rk", (F.col("k") * 2).alias("k"), "f", "t")
+        left = found.where("mid IS NOT NULL").select("_rk", (F.col("k") * 2).alias("k"), "f", F.col("mid").alias("t"))
+        right = found.where("mid IS NOT NULL").select("_rk", (F.col("k") * 2 + 1).alias("k"), F.col("mid").alias("f"), "t")
+        at = written(alone.unionByName(left).unionByName(right), folder, f"states-{n}")
+    return at
 
 
 def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """_rk and ids of documents longer than a chunk: matrices by chunk, one product a document, backtraces by chunk."""
+    """_rk and ids of documents longer than a chunk: matrices by chunk, products by pairs of chunks, backtraces by chunk."""
     spark = docs.sparkSession
     folder = work_dir(spark, "sentencepiece")
     margin = 2 * loaded(path).longest
-    whole = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
-    rows = docs.select("_rk", whole.alias("t")).withColumn("size", F.length("t"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int"))))
-    lo, hi = F.col("k") * chunk, F.least((F.col("k") + 1) * chunk, F.col("size"))
-    base = F.greatest(lo - margin, F.lit(0))
-    part = F.substring("t", base + 1, F.least(hi + margin, F.col("size")) - base)
-    chunks = written(rows.select("_rk", "k", (lo - base).cast("int").alias("lo"), (hi - base).cast("int").alias("hi"), part.alias("t")), folder, "chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches, 1):
+            rk, text = batch.column(0)[0].as_py(), marked(batch.column(1)[0].as_py())
+            for first in range(0, len(text), 64 * chunk):
+                rows = []
+                for lo in range(first, min(len(text), first + 64 * chunk), chunk):
+                    hi, base = min(len(text), lo + chunk), max(0, lo - margin)
+                    rows.append((rk, lo // chunk, lo - base, hi - base, text[base : hi + margin]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["_rk", "k", "lo", "hi", "t"])
+
+    chunks = written(docs.select("_rk", "text").mapInArrow(cut, "_rk long, k int, lo int, hi int, t string"), folder, "chunks")
+    number, longest = chunks.agg(F.count("*"), F.coalesce(F.max("k") + 1, F.lit(0))).first()
+    parts = max(1, number // CHUNKS_A_TASK)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
-            out = []
-            for lo, hi, t in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                out.append([{"f": _relative(a, lo), "t": _relative(b, hi)} for a, b in transfer(model, t, lo, hi)])
-            kind = pa.list_(pa.struct([("f", pa.struct([("s", pa.int32()), ("e", pa.int32())])), ("t", pa.struct([("s", pa.int32()), ("e", pa.int32())]))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["_rk", "k", "m"])
-
-    entry = f"array<struct<f:{STATE},t:{STATE}>>"
-    by_doc = chunks.mapInArrow(matrices, f"_rk long, k int, m {entry}").groupBy("_rk").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("ms"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rk, ks, ins, outs = [], [], [], []
-            for doc, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = lambda s: None if s is None else (s["s"], s["e"])
-                reach, back = {None: 0.0}, []  # the max-plus vector of states at the cut
-                for x in ms:
-                    step, nxt = {}, {}
-                    for e in x["m"]:
-                        f, t = key(e["f"]), key(e["t"])
-                        if f in reach and reach[f] + 0.0 > nxt.get(t, -np.inf):
-                            nxt[t] = reach[f] + 0.0
-                            step[t] = f
-                    back.append(step)
-                    reach = nxt
-                state = next(iter(reach))
-                found = []
-                for step in reversed(back):
-                    found.append((step[state], state))
-                    state = step[state]
-                for x, (a, b) in zip(ms, reversed(found), strict=True):
+        for batch in few_rows(batches):
+            rk, ks, f, t = [], [], [], []
+            for doc, k, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b in transfer(model, text, lo, hi):
                     rk.append(doc)
-                    ks.append(x["k"])
-                    ins.append(None if a is None else {"s": a[0], "e": a[1]})
-                    outs.append(None if b is None else {"s": b[0], "e": b[1]})
-            kind = pa.struct([("s", pa.int32()), ("e", pa.int32())])
-            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(ks, pa.int32()), pa.array(ins, kind), pa.array(outs, kind)], names=["_rk", "k", "f", "g"])
+                    ks.append(k)
+                    f.append(coded(a, lo))
+                    t.append(coded(b, hi))
+            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(ks, pa.int32()), pa.array(f, pa.int64()), pa.array(t, pa.int64()), pa.array(np.zeros(len(rk)))], names=["_rk", "k", "f", "t", "w"])
 
-    cuts = by_doc.mapInArrow(scan, f"_rk long, k int, f {STATE}, g {STATE}")
+    entries = written(chunks.repartition(parts, "_rk", "k").mapInArrow(matrices, "_rk long, k int, f long, t long, w double"), folder, "entries")
+    cuts = cut_states(*products(entries, longest, folder), folder)
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for lo, hi, t, f, g in zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True):
-                out.append(backtrace(model, t, lo, hi, _absolute(f, lo), _absolute(g, hi)))
+                out.append(backtrace(model, t, lo, hi, decoded(f, lo), decoded(g, hi)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_rk", "k", "ids"])
 
-    traced = chunks.join(cuts, ["_rk", "k"]).select("_rk", "k", "lo", "hi", "t", "f", "g").mapInArrow(traces, "_rk long, k int, ids binary")
-    joined = traced.groupBy("_rk").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
-    return joined.select("_rk", F.aggregate("x", F.unhex(F.lit("")), lambda a, y: F.concat(a, y["ids"])).alias("ids"), F.size("x").alias("chunks"))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches, 1):
+            ids = [x["ids"] for x in batch.column(1)[0].as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(ids)], pa.binary()), pa.array([len(ids)], pa.int32())], names=["_rk", "ids", "chunks"])
+
+    placed = chunks.repartition(parts, "_rk", "k").join(cuts.repartition(parts, "_rk", "k").withColumnRenamed("t", "g"), ["_rk", "k"])
+    traced = placed.select("_rk", "k", "lo", "hi", "t", "f", "g").mapInArrow(traces, "_rk long, k int, ids binary")
+    by_doc = traced.groupBy("_rk").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
+    return by_doc.mapInArrow(joined, "_rk long, ids binary, chunks int")
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """docs' doc_id and text with ids (little-endian unsigned 32-bit bytes) and the number of chunks of each row.
 
-    Null and empty texts have no ids. Rows that repeat an id, or have none, are rows of their own; other columns are left out.
+    Null and empty texts have no ids, an empty table gives no rows. Rows that repeat an id, or have none, are rows of their
+    own; other columns are left out.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = keyed(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), work_dir(spark, "sentencepiece-rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = model.words([marked(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], names=["doc_id", "text", "ids", "chunks"])
 
@@ -290,7 +316,7 @@ def digest(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = batch.column(2).to_pylist()
             same = [model.decode(x) == (t or "").replace(MARK, " ").encode() for t, x in zip(batch.column(1).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays(
