@@ -93,10 +93,11 @@ def _measures() -> dict[str, Column]:
 def quality_table(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFrame:
     """All columns of docs plus the counts, one column q_<measure> a rule, base_failed and kept.
 
-    A null or empty text has no words, so it fails; columns of docs named as ours are replaced.
+    A null or empty text has no words, so it fails; repeated rows are judged one by one; an empty table gives no rows; columns
+    of docs named as ours are replaced. A very long text is judged whole, in one task.
     """
     wanted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in wanted and not c.startswith("q_")]
+    keep = [c for c in docs.columns if c not in wanted and c not in {f"q_{m}" for m, _, _ in thresholds}]
     whole = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.struct(*keep).alias("_keep"), whole.alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", r"[ \t\n\x0B\f\r]+"), ""))

@@ -3,7 +3,7 @@
 Words are lower-cased, stripped of punctuation and hashed; a word's embedding is the sum of those of the word and of its
 first characters, so that forms of one stem share what is learned. Filters of several widths slide over the whole text,
 each keeps its maximum, and a logistic unit turns the maxima into a score. Training fits on a bounded sample of
-labelled documents outside the held-out fold (MAX_TRAIN, a parameter); the model's size doesn't depend on the data.
+labelled documents outside the held-out fold (MAX_TRAIN and MAX_BYTES, parameters); the model's size doesn't depend on the data.
 
 The language that picks a threshold is told from the text itself, by counts of function words; the columns lang, source
 and doc_id are never read. Thresholds of each language are found on a part of the sample that isn't fitted, and scores are
@@ -33,6 +33,7 @@ DROPOUT = 0.4
 RATE = 0.02
 BATCH = 64
 MAX_TRAIN = 6000
+MAX_BYTES = 64 << 20
 LEAST_POSITIVE = 10
 CUT = 0.3
 HELD_OUT = 2
@@ -245,22 +246,37 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most max_train labelled rows outside the held-out fold, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on at most max_train labelled documents outside the held-out fold, those with the smallest hashes of their ids, as far
+    as their texts have at most max_bytes in all.
 
-    The ids are a top-k over two narrow columns; only that many texts are joined and sent to the driver.
+    Ids are chosen from two narrow columns, sizes told from a row a chosen id, and only then texts are joined and sent to the
+    driver. An id with several labels counts as toxic if one says so; one with several texts gives that of the least hash.
     """
-    chosen = (
-        labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"]).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-        .where(fold(F.col("doc_id")) != HELD_OUT).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(max_train)
-    )
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.h, r.doc_id, r.text or ""))
-    return fit([(r.text or "").encode() for r in rows], np.asarray([int(r.toxic) for r in rows]))
+    labelled = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"]).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    labelled = labelled.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = labelled.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_train).collect()  # narrow rows
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long")
+    text = F.coalesce(docs["text"], F.lit(""))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("size"))
+    sizes = {r.doc_id: (r.x.t, r.x.size) for r in own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("t", "size")).alias("x")).collect()}
+    taken, used = [], 0
+    for r in chosen:
+        if r.doc_id in sizes and used + sizes[r.doc_id][1] <= max_bytes:
+            used += sizes[r.doc_id][1]
+            taken.append((r.doc_id, sizes[r.doc_id][0]))
+    wanted = spark.createDataFrame(taken, "doc_id long, t long")
+    texts = {r.doc_id: r.text for r in own.join(F.broadcast(wanted), ["doc_id", "t"]).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()}
+    rows = [(texts[r.doc_id].encode(), int(r.toxic)) for r in chosen if r.doc_id in texts]
+    return fit([t for t, _ in rows], np.asarray([y for _, y in rows]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row's whole text; null texts are empty, null ids are not held out."""
+    """doc_id, held_out, score, predicted of every row's whole text, very long ones in chunks.
+
+    Null texts are empty, null ids are not held out, repeated rows are scored one by one, an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x filters x widths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

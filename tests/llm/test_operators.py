@@ -225,6 +225,14 @@ def test_packing(table, request):
     assert len(place) <= best + max(1, best // 50)
 
 
+def test_hot_shingle_makes_no_pairs(spark, tmp_path):
+    """Documents that share a passage but can't be similar: nothing is joined but what can pair."""
+    data = [(i, " ".join([*[f"p{j}" for j in range(14)], f"own{i}", f"more{i}"])) for i in range(3000)]
+    df = spark.createDataFrame(data, "_rk long, text string")
+    ids = df.select(F.col("_rk").alias("rep"), F.col("_rk").alias("comp"), F.lit(13).cast("long").alias("n"))
+    assert minhash.rare_pairs(ids, df, 4, 80, f"file://{tmp_path}").count() == 0
+
+
 def test_packing_short(spark):
     """As few sequences as best-fit decreasing opens, where many short documents share a gap."""
     r = np.random.default_rng(1)
@@ -288,6 +296,51 @@ def test_html_article(spark):
         assert got[8 + k] == "Same\n\nStory copied\n\nText copied.\n\nA passage that all share.\n\nAll pages say this.\n\nA long text copied."
 
 
+def test_html_names_are_evidence_only():
+    """Ids and words in an article's headings decide nothing; a named wrapper that holds the content stays, a named side branch goes."""
+    h = html_extract
+    own = lambda page: frozenset(p for p, _, _, kind, holds, _ in h.page_nodes(page)[1] if kind and not holds)
+    page = '<article><h2 id="search">Search trees</h2><p>Body one.</p><section id="legal"><h3>Law</h3><p>A real part.</p></section></article>'
+    assert h.main_text(page, own(page)) == "Search trees\n\nBody one.\n\nLaw\n\nA real part."
+    page = '<div class="content has-sidebar"><p>A long text of the page.</p><div class="sidebar">Side.</div></div><div class="ad">Buy.</div>'
+    assert h.main_text(page, own(page)) == "A long text of the page."
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, '<a "' * 200_000, '<a b="' * 100_000, "<div>" * 50_000 + "</span2>" * 50_000, '<p class="x' * 50_000):
+        began = time.time()
+        html_extract.parsed(page)
+        assert time.time() - began < 20
+
+
+def test_html_style_tree_by_brute_force(spark):
+    """Importance of every node of a host's merged pages, from its definition."""
+    import math
+
+    def page(k):
+        return f'<nav>Menu</nav><div class="x{k}"><p>Text {k % 5}</p><p>{"more" if k % 2 else "less"}</p></div><article><em>q</em>Words {k}<ul><li>one</li>{"<li>two</li><p>z</p>" if k % 3 else ""}</ul></article>'
+
+    data = [(k, "https://h.example/a", page(k)) for k in range(12)] + [(20, "https://h.example/b", page(3))]
+    got = {r.path: (r.pages, r.importance) for r in html_extract.style_nodes(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    nodes = defaultdict(list)
+    for k in range(12):
+        for path, content, style, kind, holds, inside in html_extract.page_nodes(page(k))[1]:
+            nodes[path].append((content, style, kind, holds, inside))
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n) if n >= 4 else 1.0
+
+    want = {}
+    for path, rows in nodes.items():
+        x = 0.9 * entropy([r[0] for r in rows]) + 0.1 * entropy([r[1] for r in rows]) + (0.15 if rows[0][4] else 0)
+        named = rows[0][2] >= 2 or (rows[0][2] == 1 and 2 * sum(r[3] for r in rows) <= len(rows))
+        want[path] = (len(rows), pytest.approx(x * (0.25 if named else 1), abs=1e-6))
+    assert got == want
+
+
 @pytest.mark.parametrize("table", ["docs", "edge"])
 def test_token_files_and_counts(table, request):
     df, tok, path = request.getfixturevalue(table), library("word_bpe_49k.json"), queries.vocabulary("word_bpe_49k.json")
@@ -305,6 +358,48 @@ def test_token_files_and_counts(table, request):
     assert Counter(map(tuple, token_counts.token_counts(df, path).collect())) == counts
 
 
+def odd_texts(n, seed=3):
+    """Random texts of pieces that tokenizers treat apart."""
+    import random
+
+    r = random.Random(seed)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'LL", "'", "é", "É", "1", "23", ".", "!?", "<|endoftext|>", "<|endof", "text|>", "<|", "日本", "😀", "\u0301", "\xa0", "İ", "\u2028",
+             "\r\n", "don't", "_", "ſ", "Ⅷ", "\x1c", "\x85", "ß", "µ", "²", "ΑΣ", "the", "(word)", "DENİZCİ.", "GEZİ, ANKARA", "e\u0301"]
+    return ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(n)]
+
+
+def test_ids_are_the_library_s():
+    """Every code point in two contexts by tens, and random texts."""
+    import numpy
+
+    from skeinwork.llm.units import ByteIds, WordIds
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 10 == 0)]
+    texts = [f"a{chr(c)}b. {chr(c)} 1{chr(c)}A{chr(c)}." for c in points] + odd_texts(8000) + ["\n \t" * 400_000]
+    for kind, name in ((ByteIds, "byte_bpe_50k.json"), (WordIds, "word_bpe_49k.json")):
+        own, lib = kind(queries.vocabulary(name)), library(name)
+        for a in range(0, len(texts), 1000):
+            want = lib.encode_batch(texts[a : a + 1000], add_special_tokens=False)
+            for t, w in zip(texts[a : a + 1000], want, strict=True):
+                got = own.of(t)
+                assert (got.tolist() if kind is ByteIds else numpy.frombuffer(got, own.dtype).tolist()) == w.ids, t
+
+
+def test_counts_of_odd_texts():
+    counter, lib = token_counts.Counts(queries.vocabulary("word_bpe_49k.json")), library("word_bpe_49k.json")
+    for t in [*odd_texts(4000, 5), "DENİZCİ.", "İ?"]:
+        assert counter.of(t) == len(ids_of(lib, t)), t
+    assert counter.of("DENİZCİ.") == 8
+
+
+def test_token_files_are_read_from_their_folder_alone(docs, spark, tmp_path):
+    folder, path = f"file://{tmp_path}", queries.vocabulary("word_bpe_49k.json")
+    token_files.write_token_files(docs, path, folder)
+    lib = library("word_bpe_49k.json")
+    want = {(r.doc_id, crc(ids_of(lib, r.text) + [2])) for r in docs.select("doc_id", "text").collect()}
+    assert {(r.doc_id, r.ids_crc32) for r in token_files.read_token_files(spark, folder).collect()} == want
+
+
 def test_variable_length_coding():
     ranks = np.asarray([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(ranks) + 1):
@@ -344,6 +439,40 @@ def test_substring_dedup_keeps_columns(edge, docs):
     assert substring_dedup.substring_digest(edge).count() == len(EDGE)
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    """Each batch by an index that is opened from the folder; runs are merged on the way."""
+    data = [(i, " ".join(f"t{(i * 7 + j) % 40 if i % 3 else i * 1000 + j}" for j in range(50))) for i in range(20)]
+    found, gone = set(), {}
+    for a in range(0, 20, 5):
+        index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index")
+        assert index.step == a // 5 and len(index.files) == a // 5 and len(index.runs) <= substring_dedup.MAX_RUNS
+        for r in index.add(spark.createDataFrame(data[a : a + 5], "_rk long, text string"), a).collect():
+            found |= {(r.rk, r.pos + k) for k in range(substring_dedup.RUN) if r.bits >> k & 1}
+    for d, t in data:
+        w = words(t)
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in gone:
+                assert (d, i) in found
+            else:
+                assert (d, i) not in found
+                gone[tuple(w[i : i + 20])] = 1
+
+
+def by_place(spark, df):
+    """Texts by place in the order of (id, nulls last, hash of the text), and each place's id."""
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))
+    return dict(enumerate(r.text for r in rows)), [r.doc_id for r in rows]
+
+
+def test_repeated_and_missing_ids(spark, edge):
+    """Rows that repeat an id, or have none, are rows of their own, in a defined order."""
+    texts_of, ids = by_place(spark, edge)
+    near = Counter((ids[d], n, ids[c], kept) for d, n, c, kept in near_brute(texts_of, 4))
+    assert Counter(tuple(r) for r in minhash.near_duplicates(edge, shingle=4).drop("_rk").collect()) == near
+    assert Counter(tuple(r) for r in substring_dedup.substring_digest(edge).collect()) == Counter((ids[d], *x) for d, *x in substring_brute(texts_of))
+
+
 def test_index_compaction(spark, tmp_path):
     """Many small batches, with compaction, find what one batch finds."""
     data = [(i, " ".join(f"t{(i * 7 + j) % 40 if i % 3 else i * 1000 + j}" for j in range(50)), None, None, None) for i in range(21)]
@@ -368,6 +497,50 @@ def test_media(table, request):
         assert list(r.fingerprint) == sorted(r.fingerprint)
 
 
+def test_fingerprint_by_brute_force():
+    """Peaks and pairs from the definition of the transform, for a few frames."""
+    data = media.padded(("Some text, with words and signs! " * 60).encode())
+    x = np.frombuffer(data, np.uint8).astype(float) - 128
+    peaks = []
+    for t in range(len(x) // 576):
+        frame = x[t * 576 : (t + 1) * 576] * np.hanning(576).astype(np.float32)
+        power = np.abs(np.exp(-2j * np.pi * np.outer(np.arange(289), np.arange(576)) / 576) @ frame)
+        local = [(-power[b], b) for b in range(1, 288) if power[b] > power[b - 1] and power[b] >= power[b + 1]]
+        peaks.append({b for _, b in sorted(local)[:3]})
+    want = sorted(t << 22 | a << 12 | b << 2 | d for t in range(len(peaks)) for d in (1, 2) if t + d < len(peaks) for a in peaks[t] for b in peaks[t + d])
+    assert media.fingerprint(data).tolist() == want
+
+
+def test_toxicity_forward_pass_by_brute_force():
+    """A score from embeddings of single words, every place and filter in turn; and what the sample is bounded by."""
+    r = np.random.default_rng(5)
+    width = sum(toxicity.WIDTHS) * toxicity.FILTERS
+    model = toxicity.Model(r.normal(0, 1, (toxicity.BUCKETS, width)).astype(np.float32), [r.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS],
+                           r.normal(0, 1, 3 * toxicity.FILTERS).astype(np.float32), 0.1, np.full(5, toxicity.CUT))
+    for text in (b"", b"one", b"two words", b"the man and the sea, of all that is old!"):
+        w = toxicity.Words(model.project)
+        hits = [w.subs[w[x]] for x in text.split()]
+        maxima, col = [], 0
+        for k, n in enumerate(toxicity.WIDTHS):
+            at = [sum(model.project[b][col + j * toxicity.FILTERS : col + (j + 1) * toxicity.FILTERS] for j in range(n) for b in hits[p + j]) + model.bias[k] for p in range(len(hits) - n + 1)]
+            maxima.append(np.max([np.zeros(toxicity.FILTERS), *at], 0))
+            col += n * toxicity.FILTERS
+        want = 1 / (1 + np.exp(-(np.concatenate(maxima) @ model.weights + 0.1)))
+        assert model.scores(toxicity.Words(model.project), [text])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((texts, y.tolist())))
+    df = spark.createDataFrame([(i % 20, f"text {i % 40}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, int(i == 3)) for i in range(60)], "doc_id long, toxic int")
+    toxicity.train(df, labels)
+    toxicity.train(df, labels, max_train=5)
+    toxicity.train(df, labels, max_bytes=20)
+    out = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(seen[0][0]) == len(out) and sum(seen[0][1]) == int(3 in out) and len(seen[1][0]) == 5 and 0 < sum(map(len, seen[2][0])) <= 20
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
