@@ -14,6 +14,7 @@ n - ceil(similarity * n) + 1 of each, so no link is lost, while a passage that m
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import WordHashes, gram_hashes, keyed, mixed, odd_constants, small_batches, work_dir, written
+from skeinwork.llm.common import WordHashes, few_rows, gram_hashes, keyed, mixed, odd_constants, work_dir, written
 
 GROUPS = 12
 ROWS = 2
@@ -67,7 +68,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in few_rows(batches):
             n, f1, f2, g = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, k, words)
@@ -88,7 +89,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hub, hub_set = WordHashes(), None, None
-        for batch in batches:
+        for batch in few_rows(batches):
             ok = []
             for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if b != hub:
@@ -137,7 +138,7 @@ def rare_pairs(ids: DataFrame, docs: DataFrame, k: int, percent: int, folder: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in few_rows(batches):
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), k, words).view(np.int64)
                 for a in range(0, len(s), BLOCK):
@@ -152,11 +153,20 @@ def rare_pairs(ids: DataFrame, docs: DataFrame, k: int, percent: int, folder: st
     prefix = ranked.where("c > 1").join(ids, "rep").where(f"pos <= n - (({percent} * n + 99) div 100)").select("s", "rep", "comp", "n", "pos")
     prefix = written(prefix, folder, "rare-prefixes")
     mixed = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    met = written(prefix.join(mixed, "s"), folder, "rare-mixed")
-    left, right = (met.select("s", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("pos")).alias(f"l{x}")) for x in "ab")
-    size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = written(prefix.join(mixed, "s").select("s", "rep", "comp", "n", (F.col("n") - F.col("pos")).alias("l")), folder, "rare-mixed")
+    # Which (size, rest) of a shingle can pair at all is told on their distinct values, not on documents: a hot shingle of
+    # documents that can't be similar makes no pairs. Sizes are dealt by class, so that only neighbours in size meet.
+    log = F.floor(F.ln("n") / math.log(100 / percent))
+    groups = written(met.groupBy("s", "n", "l").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumn("k", log), folder, "rare-groups")
+    small = groups.select("s", F.explode(F.array("k", F.col("k") + 1)).alias("k"), *[F.col(c).alias(f"{c}a") for c in ("n", "l", "lo", "hi")])
+    large = groups.select("s", "k", *[F.col(c).alias(f"{c}b") for c in ("n", "l", "lo", "hi")])
+    size = (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("la") <= F.col("lb"))))
     left_over = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
-    return left.join(right, "s").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & size & left_over).select("a", "b").distinct()
+    can = small.join(large, ["s", "k"]).where(size & left_over & (F.least("loa", "lob") < F.greatest("hia", "hib"))).select("s", "na", "la", "nb", "lb")
+    one = met.select("s", F.col("n").alias("na"), F.col("l").alias("la"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    two = met.select("s", F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    met_twice = one.join(can, ["s", "na", "la"]).join(two, ["s", "nb", "lb"]).where("ca <> cb")
+    return _ordered(met_twice.select("a", "b"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -166,12 +176,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Null and empty texts, and texts without words, have no shingles and are their own components. Rows that repeat an id,
+    Null and empty texts, and texts without words, have no shingles and are their own components; an empty table gives no
+    rows, other columns are left out. A very long text's shingles are hashed in one task, in blocks. Rows that repeat an id,
     or have none, count as rows of their own, ordered by (id, nulls last, text hash); then a component's id is that of its
     first row and may be null, and only its first row is kept.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = work_dir(spark, "minhash")
     docs = keyed(docs.select("doc_id", "text"), folder)
     sig = written(signatures(docs, shingle), folder, "signatures")
