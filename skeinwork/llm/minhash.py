@@ -147,12 +147,13 @@ def rare_pairs(ids: DataFrame, docs: DataFrame, k: int, percent: int, folder: st
 
     texts = docs.select(F.col("_rk").alias("rep"), "text").join(ids.select("rep"), "rep")
     shingles = written(texts.mapInArrow(run, "rep long, s long"), folder, "rare-shingles")
-    common = shingles.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    # Counts by shingle are written before they are joined: then both sides are plain exchanges, and a hot shingle's rows are split.
+    common = written(shingles.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), folder, "rare-common")
     ranked = shingles.join(common, "s", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
     ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("c", "s")) - 1)
     prefix = ranked.where("c > 1").join(ids, "rep").where(f"pos <= n - (({percent} * n + 99) div 100)").select("s", "rep", "comp", "n", "pos")
     prefix = written(prefix, folder, "rare-prefixes")
-    mixed = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
+    mixed = written(prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s"), folder, "rare-several")
     met = written(prefix.join(mixed, "s").select("s", "rep", "comp", "n", (F.col("n") - F.col("pos")).alias("l")), folder, "rare-mixed")
     # Which (size, rest) of a shingle can pair at all is told on their distinct values, not on documents: a hot shingle of
     # documents that can't be similar makes no pairs. Sizes are dealt by class, so that only neighbours in size meet.
