@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators.forecasting import best_models, forecasts
-from skeinwork.operators.similarity import comprehensive, top_k, traits
+from skeinwork.operators.similarity import BLOCK, blocked, comprehensive, top_k, traits
 from skeinwork.operators.windows import KEYS, total, zscored
 from skeinwork.plans.registry import WindowSpec
 
@@ -65,7 +65,8 @@ def library_ensemble(windows: DataFrame, spec: WindowSpec) -> DataFrame:
 
 def similar_cases(queries: DataFrame, c: DataFrame, k: int = 3) -> DataFrame:
     """sid, wid, item, sim, rank: the k cases of the same series that are most similar to each of a stated set of windows."""
-    q = queries.select("sid", F.col("wid"), traits(F.col("hist")).alias("q"))
-    e = c.select("sid", F.col("wid").alias("item"), traits(F.col("hist")).alias("t"))
-    pairs = e.join(q, "sid").select("sid", "wid", F.concat_ws("/", "sid", "wid").alias("query"), "item", F.round(comprehensive(F.col("q"), F.col("t")), 9).alias("sim"))
+    n = queries.groupBy("sid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    q = queries.join(n, "sid").select("sid", F.col("wid").alias("id"), F.struct("wid", traits(F.col("hist")).alias("t")).alias("q"), "n")
+    e = c.join(n, "sid").select("sid", F.col("wid").alias("id"), F.struct(F.col("wid").alias("item"), traits(F.col("hist")).alias("t")).alias("e"), "n")
+    pairs = blocked(q, e).select("sid", "q.wid", F.concat_ws("/", "sid", "q.wid").alias("query"), "e.item", F.round(comprehensive(F.col("q.t"), F.col("e.t")), 9).alias("sim"))
     return top_k(pairs, "query", "item", max(1, k)).drop("query")

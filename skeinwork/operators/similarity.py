@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.operators.windows import deviation, differences, mean, samples, slope, total, zscored
 
 BLOCK = 64
+SALTS = 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,17 +57,23 @@ def top_k(pairs: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, entries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
-    """queries (query, v) against all of entries (item, u), by cosine of at least threshold: query, item, sim, rank.
+def blocked(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """queries (sid, id, q, n) and entries (sid, id, e, n): q, e of all pairs within a sid, n being its number of blocks.
 
-    Queries are gathered in blocks of BLOCK, and each entry meets each block once: an equi-join on the block number whose
-    size is entries times blocks, with the products computed inside it. Neither side is collected or broadcast by us.
+    Queries, a stated set, are gathered in n blocks a sid, and each entry meets each block of its sid once, at one of SALTS
+    copies of the block: an equi-join on (sid, block, salt) whose size is entries times blocks. A sid with most of the rows is
+    dealt over its blocks and salts; the pairs are formed inside the joined row. Neither side is collected or broadcast by us.
     """
-    q = queries.select(F.col("query"), unit(F.col("v")).alias("v")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(1 << 20)))
-    n = max(1, -(-q.count() // BLOCK))
-    q = q.withColumn("block", (F.col("block") % n).cast("int"))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct("query", "v")).alias("qs"))
-    e = entries.select(F.col("item"), unit(F.col("u")).alias("u")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = e.join(blocks, "block").select("item", "u", F.explode("qs").alias("q"))
-    pairs = met.select(F.col("q.query").alias("query"), "item", F.round(dot(F.col("q.v"), F.col("u")), 9).alias("sim"))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    blocks = q.groupBy("sid", "block").agg(F.collect_list("q").alias("qs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    e = entries.select("sid", "e", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    return e.join(blocks, ["sid", "block", "salt"]).select("sid", "e", F.explode("qs").alias("q"))
+
+
+def nearest(queries: DataFrame, entries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
+    """queries (query, v) against all of entries (item, u), by cosine of at least threshold: query, item, sim, rank."""
+    all_in, n = F.lit(0).alias("sid"), F.lit(max(1, -(-queries.count() // BLOCK))).alias("n")
+    q = queries.select(all_in, F.col("query").alias("id"), F.struct("query", unit(F.col("v")).alias("v")).alias("q"), n)
+    e = entries.select(all_in, F.col("item").alias("id"), F.struct("item", unit(F.col("u")).alias("u")).alias("e"), n)
+    pairs = blocked(q, e).select("q.query", "e.item", F.round(dot(F.col("q.v"), F.col("e.u")), 9).alias("sim"))
     return top_k(pairs.where(F.col("sim") >= threshold), "query", "item", k)

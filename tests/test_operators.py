@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.functions import answers
-from skeinwork.operators import exports, features, forecasting, windows, workflow
+from skeinwork.operators import exports, features, forecasting, library, similarity, windows, workflow
 from skeinwork.plans import registry
 from skeinwork.plans.registry import WindowSpec
 from skeinwork.sources import series
@@ -151,3 +152,22 @@ def test_stream(spark, tmp_path, sf_dir):
     latest.write(latest.hourly(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < got.agg(F.sum("y")).first()[0] <= events.agg(F.sum("value")).first()[0] + 1e-6
+
+
+def test_search_over_several_blocks(spark):
+    """More queries than a block holds, in one series or none, with ties and a zero vector: every pair is compared once."""
+    rng = np.random.default_rng(7)
+    u = rng.integers(-2, 3, (180, 4)).astype(float)
+    u[5], u[9] = 0.0, u[8]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "item long, u array<double>")
+    q = rows.where("item < 150").selectExpr("item AS query", "u AS v")
+    got = {(r.query, r["rank"]): (r.item, r.sim) for r in similarity.nearest(q, rows, 3, -1.0).collect()}
+    unit = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    sims = np.round(unit[:150] @ unit.T, 9)
+    want = {(a, k + 1): (b, sims[a, b]) for a in range(150) for k, b in enumerate(sorted(range(180), key=lambda b: (-sims[a, b], b))[:3])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+    w = spark.createDataFrame([("big", i, v.tolist()) for i, v in enumerate(u)] + [("small", 0, [1.0, 2.0, 3.0, 4.0])], "sid string, wid long, hist array<double>")
+    found = library.similar_cases(w, w, 200).groupBy("sid", "wid").count().collect()
+    assert {(r.sid, r.wid, r["count"]) for r in found} == {("big", i, 180) for i in range(180)} | {("small", 0, 1)}
