@@ -14,13 +14,17 @@ from skeinwork.plans.registry import WindowSpec
 
 #: Name to (history, spec) -> array of forecasts; the order settles ties.
 MODELS: dict[str, Callable[[Column, WindowSpec], Column]] = {}
+#: Those that run where no names are given; the others leave the JVM and run by name only.
+DEFAULTS: list[str] = []
 
 
-def model(name: str):
+def model(name: str, default: bool = True):
     """Register a model: a function of the history column and the window specification that gives an array column."""
 
     def put(f):
         MODELS[name] = f
+        if default and name not in DEFAULTS:
+            DEFAULTS.append(name)
         return f
 
     return put
@@ -50,43 +54,59 @@ def linear_drift(hist: Column, spec: WindowSpec, recent: int = 24) -> Column:
 
 
 def theta_values(y: np.ndarray, horizon: int, season: int) -> np.ndarray:
-    """Theta forecast: exponential smoothing of the deseasonalised series plus half its linear drift."""
-    n, index = len(y), np.ones(len(y) + horizon)
-    if season > 1 and n >= 2 * season and (y > 0).all():
-        trend = np.convolve(y, np.ones(season) / season, "valid")
-        at = (season - 1) // 2
-        ratio = np.full(n, np.nan)
-        ratio[at : at + len(trend)] = y[at : at + len(trend)] / trend
-        factor = np.array([np.nanmean(ratio[k::season]) for k in range(season)])
-        index = np.resize(factor / factor.mean(), n + horizon)
-    x = y / index[:n]
-    drift = np.polyfit(np.arange(n), x, 1)[0] if n > 1 else 0.0
-    best = (np.inf, 0.5, x[-1])
-    for alpha in np.linspace(0.05, 0.95, 19):
-        level, err = x[0], 0.0
-        for v in x[1:]:
-            err += (v - level) ** 2
-            level += alpha * (v - level)
-        best = min(best, (err, alpha, level))
-    _, alpha, level = best
-    h = np.arange(horizon)
-    return (level + drift / 2 * (h + (1 - (1 - alpha) ** n) / alpha)) * index[n:]
+    """Theta forecasts of the rows of y: exponential smoothing of the deseasonalised series plus half its linear drift."""
+    rows, n = y.shape
+    index = np.ones((rows, n + horizon))
+    if season > 1 and n >= 2 * season:
+        # An even season is centred by half weights at both ends.
+        kernel = np.ones(season) if season % 2 else np.r_[0.5, np.ones(season - 1), 0.5]
+        trend = np.lib.stride_tricks.sliding_window_view(y, len(kernel), axis=1) @ kernel / season
+        at = len(kernel) // 2
+        ratio = np.full((rows, n), np.nan)
+        np.divide(y[:, at : at + trend.shape[1]], trend, out=ratio[:, at : at + trend.shape[1]], where=trend > 0)
+        up = (y > 0).all(1)
+        factor = np.stack([np.nanmean(np.where(up[:, None], ratio[:, k::season], 1.0), axis=1) for k in range(season)], axis=1)
+        index = (factor / factor.mean(1, keepdims=True))[:, np.arange(n + horizon) % season]
+    x = y / index[:, :n]
+    t = np.arange(n) - (n - 1) / 2
+    drift = (x - x.mean(1, keepdims=True)) @ t / max((t * t).sum(), 1.0)
+    alphas = np.linspace(0.05, 0.95, 19)
+    level, err = np.repeat(x[:, :1], len(alphas), axis=1), np.zeros((rows, len(alphas)))
+    for k in range(1, n):
+        e = x[:, k : k + 1] - level
+        err += e * e
+        level += alphas * e
+    best = err.argmin(1)
+    alpha, level = alphas[best][:, None], level[np.arange(rows), best][:, None]
+    return (level + drift[:, None] / 2 * (np.arange(horizon) + (1 - (1 - alpha) ** n) / alpha)) * index[:, n:]
 
 
 def theta(spec: WindowSpec) -> Callable[[Column], Column]:
-    """The Theta model as an Arrow-batched function; a history it can't fit gives null, which skips the model."""
+    """The Theta model over Arrow batches; an empty history, or one with values that are no finite numbers, gives null, which skips the model."""
 
     @F.pandas_udf("array<double>")
     def run(hist: pd.Series) -> pd.Series:
-        return hist.map(lambda y: theta_values(np.asarray(y, float), spec.horizon, spec.season).tolist() if len(y) else None)
+        values = [np.asarray([] if y is None else y, float) for y in hist]
+        sizes = np.array([len(y) if np.isfinite(y).all() else 0 for y in values])
+        out = pd.Series([None] * len(values), index=hist.index, dtype=object)
+        for n in set(sizes) - {0}:
+            at = np.flatnonzero(sizes == n)
+            for k, f in zip(at, theta_values(np.stack([values[i] for i in at]), spec.horizon, spec.season), strict=True):
+                out.iat[k] = f.tolist()
+        return out
 
     return run
 
 
+@model("Theta", default=False)
+def theta_model(hist: Column, spec: WindowSpec) -> Column:
+    return theta(spec)(hist)
+
+
 def forecasts(windows: DataFrame, spec: WindowSpec, names: Iterable[str] | None = None) -> DataFrame:
-    """sid, wid, model, ord, yhat, and fut where windows have it: a row for each window and model. Narrow."""
-    names = list(names or MODELS)
-    rows = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("ord"), MODELS[n](F.col("hist"), spec).alias("yhat")) for i, n in enumerate(names)])
+    """sid, wid, model, ord, yhat, and fut where windows have it: a row for each window and model, the default ones if no names are given. Narrow. Empty histories have none."""
+    names = list(names or DEFAULTS)
+    rows = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("ord"), F.when(F.size("hist") > 0, MODELS[n](F.col("hist"), spec)).alias("yhat")) for i, n in enumerate(names)])
     keep = [c for c in ("hist", "fut") if c in windows.columns]
     return windows.select(*KEYS, *keep, F.inline(rows)).where("yhat IS NOT NULL")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,49 @@ def assigned(c: DataFrame, m: DataFrame) -> DataFrame:
     return c.join(lists, "sid").withColumn("cluster", F.array_min(far)["cluster"]).drop("ms")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def recentred(a: DataFrame) -> DataFrame:
+    """sid, cluster, medoid, mz: of each cluster the case with the least sum of squared distances to all of its cases.
+
+    That is the case nearest to the cluster's mean, so no pairs are formed; the lowest window on ties.
+    """
+    means = a.select("sid", "cluster", F.posexplode("z").alias("pos", "v")).groupBy("sid", "cluster", "pos").agg(F.avg("v").alias("v"))
+    centres = means.groupBy("sid", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("mean"))
+    d = F.round(total(F.zip_with("z", "mean", lambda x, y: (x - y) * (x - y))), 6)
+    best = a.join(centres, ["sid", "cluster"]).groupBy("sid", "cluster").agg(F.min(F.struct(d.alias("d"), "wid")).alias("b"))
+    return best.select("sid", "cluster", F.col("b.wid").alias("medoid")).join(a.select("sid", F.col("wid").alias("medoid"), F.col("z").alias("mz")), ["sid", "medoid"])
+
+
+def k_medoids(c: DataFrame, clusters: int = CLUSTERS, rounds: int = 50) -> DataFrame:
+    """sid, cluster, medoid, mz: medoids by alternating assignment and recentring from evenly spaced ones, until none changes.
+
+    All series go through a round together. The sum of squared distances falls with each round, so it ends; `rounds` bounds
+    it beside. A round's medoids are cut off by checkpoint(), see _cut. Clusters that lose all
+    cases (equal vectors) are left out.
+    """
+    c = _cut(c)
+    m = _cut(medoids(c, clusters))
+    for _ in range(rounds):
+        new = _cut(recentred(assigned(c, m)))
+        same = new.select("sid", "cluster", "medoid")
+        old = m.select("sid", "cluster", "medoid")
+        m = new
+        if not old.join(same, ["sid", "cluster", "medoid"], "left_anti").take(1):
+            break
+    return m
+
+
 def cluster_weights(a: DataFrame) -> DataFrame:
     """sid, cluster, model, n, weight: counts of best models, rare ones left out where others are not, over their total."""
     n = a.groupBy("sid", "cluster", F.col("best_model").alias("model")).agg(F.count("*").alias("n"))

@@ -279,6 +279,19 @@ def cluster_weights(spark, sf_dir):
     return library.cluster_weights(library.assigned(c, library.medoids(c))).withColumn("weight", rounded(F.col("weight")))
 
 
+@query()
+def k_medoids(spark, sf_dir):
+    return library.k_medoids(library.cases(hourly(spark, sf_dir), HOURLY)).select("sid", "cluster", "medoid")
+
+
+@query(HOUR_SQL + ", " + _CLUSTERS + """, mu AS (SELECT asg.sid, cluster, pos, avg(z) AS mu FROM asg JOIN z ON z.sid = asg.sid AND z.wid = asg.wid GROUP BY ALL),
+dm AS (SELECT asg.sid, asg.cluster, asg.wid, round(sum((z - mu) * (z - mu)), 6) AS d FROM asg JOIN z ON z.sid = asg.sid AND z.wid = asg.wid JOIN mu ON mu.sid = asg.sid AND mu.cluster = asg.cluster AND mu.pos = z.pos GROUP BY ALL)
+SELECT sid, cluster, wid AS medoid FROM dm QUALIFY row_number() OVER (PARTITION BY sid, cluster ORDER BY d, wid) = 1""")
+def medoids_recentred(spark, sf_dir):
+    c = library.cases(hourly(spark, sf_dir), HOURLY)
+    return library.recentred(library.assigned(c, library.medoids(c))).select("sid", "cluster", "medoid")
+
+
 def _similar(left: str, right: str, on: str) -> str:
     """sim: similarities of left (sid, wid, pos, v) with right (sid, item, pos, v)."""
     side = "SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd, v - lag(v) OVER (PARTITION BY sid, {0} ORDER BY pos) AS d FROM {1} WINDOW w AS (PARTITION BY sid, {0})"

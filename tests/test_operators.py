@@ -171,3 +171,39 @@ def test_search_over_several_blocks(spark):
     w = spark.createDataFrame([("big", i, v.tolist()) for i, v in enumerate(u)] + [("small", 0, [1.0, 2.0, 3.0, 4.0])], "sid string, wid long, hist array<double>")
     found = library.similar_cases(w, w, 200).groupBy("sid", "wid").count().collect()
     assert {(r.sid, r.wid, r["count"]) for r in found} == {("big", i, 180) for i in range(180)} | {("small", 0, 1)}
+
+
+def test_k_medoids_by_brute_force(spark):
+    """Medoids against all pairwise distances, for series of several sizes, one of equal vectors and one of a single case."""
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=(60, 5)), "b": rng.normal(size=(9, 5)) + 3, "same": np.ones((7, 5)), "one": np.ones((1, 5))}
+    c = spark.createDataFrame([(s, i, v.tolist()) for s, x in data.items() for i, v in enumerate(x)], "sid string, wid long, z array<double>")
+    got = {s: {} for s in data}
+    for r in library.k_medoids(c).collect():
+        got[r.sid][r.cluster] = r.medoid
+        assert r.mz == data[r.sid][r.medoid].tolist()
+    for s, x in data.items():
+        d = ((x[:, None] - x[None]) ** 2).sum(2).round(6)
+        k = min(6, len(x))
+        m = {i: 0 if k <= 1 else round(i * (len(x) - 1) / (k - 1)) for i in range(k)}
+        while True:
+            place = [min(m, key=lambda i: (d[w, m[i]], i)) for w in range(len(x))]
+            new = {}
+            for i in sorted(set(place)):
+                mine = [w for w in range(len(x)) if place[w] == i]
+                new[i] = min(mine, key=lambda w: (d[w, mine].sum().round(5), w))
+            if new == m:
+                break
+            m = new
+        assert got[s] == m
+
+
+def test_theta_in_the_pool(spark):
+    spec = WindowSpec(24, 4, 0, 4)
+    rows = [("up", 0, [10.0 + i % 4 for i in range(24)]), ("odd", 0, [1.0, float("nan"), 2.0]), ("none", 0, []), ("short", 0, [5.0]), ("low", 0, [-1.0] * 24)]
+    w = spark.createDataFrame(rows, "sid string, wid long, hist array<double>")
+    got = {(r.sid, r.model): r.yhat for r in forecasting.forecasts(w, spec, ["HistoricAverage", "Theta"]).collect()}
+    assert got["up", "Theta"] == pytest.approx([10, 11, 12, 13], abs=1e-6)
+    assert got["short", "Theta"] == [5.0] * 4 and got["low", "Theta"] == pytest.approx([-1.0] * 4)
+    assert ("odd", "Theta") not in got and ("none", "Theta") not in got and ("up", "HistoricAverage") in got
+    assert {r.model for r in forecasting.forecasts(w, spec).select("model").distinct().collect()} == {"SeasonalNaive", "HistoricAverage", "ZeroModel"}
