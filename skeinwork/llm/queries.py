@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import html_extract, media, minhash, packing, quality_rules, sentencepiece_scan, substring_dedup, token_counts, token_files, toxicity
+from skeinwork.llm import (
+    html_extract, media, minhash, packing, quality_rules, resampling, secrets, sentencepiece_scan, substring_dedup, token_counts,
+    token_files, toxicity, vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +66,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs, secrets.train(secrets.labelled_findings(docs))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 
@@ -126,8 +145,55 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(c.c), 0)::BIGINT AS n
        sha256(array_to_string(CASE WHEN c.c IS NULL THEN w.w ELSE list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(c.c, i)), lambda i: w.w[i]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN c ON c.doc_id = w.doc_id"""
 
+#: crc32 of each distinct word, byte by byte over its UTF-8 form, from a table made by the polynomial's rule.
+_RESAMPLING_SQL = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, _k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+v AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+u AS (SELECT doc_id, unnest(w) AS word FROM w),
+x AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM u UNION SELECT word FROM v)),
+y AS (SELECT word, list_transform(range(len(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS y FROM x),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, y), lambda c, z: xor(c >> 8, t[xor(c & 255, z) + 1])), 4294967295) % {resampling.BUCKETS} AS b FROM y, crc),
+s AS (SELECT b, count(*) AS s FROM u JOIN b USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM v JOIN b USING (word) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM u)::DOUBLE AS s, (SELECT count(*) FROM v)::DOUBLE AS t),
+g AS (SELECT s.b, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (n.s + {resampling.BUCKETS}) / ((s.s + 1)::DOUBLE * (n.t + {resampling.BUCKETS}))))::BIGINT AS g FROM n, s LEFT JOIN t ON t.b = s.b),
+d AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM u JOIN b USING (word) JOIN g USING (b) GROUP BY doc_id),
+h AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_features, coalesce(d.weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('{resampling.SEED}:' || w.doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.doc_id, z.n_features, z.weight, z.score, CASE WHEN r.r <= 10 * r.n // 100 THEN r.r END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+
+def _vector_sql() -> str:
+    """Four rounds and the last assignment as a chain of queries over (vector, part, place, component) rows."""
+    floored = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    steps = [rf"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, i // (len(v) // {vector_codes.PARTS}) AS part, i % (len(v) // {vector_codes.PARTS}) AS i, v[i + 1] AS x FROM (SELECT vec_id, v, unnest(range(len(v))) AS i FROM k)),
+c0 AS MATERIALIZED (SELECT part, e, i, x AS y FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {vector_codes.ENTRIES}) USING (vec_id))"""]
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, part, min(d * {vector_codes.ENTRIES} + e) // {vector_codes.ENTRIES} AS d, min(d * {vector_codes.ENTRIES} + e) % {vector_codes.ENTRIES} AS e
+      FROM (SELECT vec_id, part, e, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{r} USING (part, i) GROUP BY vec_id, part, e) GROUP BY vec_id, part)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c{r}.part, c{r}.e, c{r}.i, CASE WHEN n IS NULL THEN y ELSE {floored} END AS y
+      FROM c{r} LEFT JOIN (SELECT part, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id, part) GROUP BY part, e, i) USING (part, e, i))""")
+    last = vector_codes.ROUNDS
+    steps.append(f"""
+o AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY vec_id)""")
+    return ",".join(steps) + f"""
+SELECT o.vec_id, o.code, o.error, (sum(o.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, e, i)) FROM c{last}) AS codebooks_sha256
+FROM o JOIN k USING (vec_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_duplicates": _NEAR_SQL,
     "op7_quality_rules": _quality_sql(),
     "op8_substring_dedup": _SUBSTRING_SQL,
+    "op11_importance_resampling": _RESAMPLING_SQL,
+    "op12_vector_codes": _vector_sql(),
 }
