@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.sources.series import number
@@ -49,6 +49,11 @@ def once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later expressions read instead of repeating: projections above an explode aren't merged with those below."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")).select("*", "_settled.*").drop("_settled")
+
+
 def last_wins(entries: Column) -> Column:
     """A map of (k, v) entries; of equal keys the last counts. Sorted once, so n log n."""
     placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
@@ -112,4 +117,48 @@ def length_penalty(answer: Column, truth: Column) -> Column:
 def contrastive_reward(mse: Column, small: Column, bound: Column, relative: Column, scale: float = 5.0, clip: float = 0.5) -> Column:
     """The absolute reward and a clipped share for being better than a small model, where that is known."""
     gain = F.least(F.greatest((small - mse) / F.greatest(relative, F.lit(1e-8)) * scale, F.lit(-clip)), F.lit(clip))
-    return error_reward(mse, bound) + F.coalesce(gain, F.lit(0.0))
+    return error_reward(mse, bound) + F.when(small.isNotNull(), gain).otherwise(0.0)  # least and greatest skip nulls
+
+
+def listed(values: Column) -> Column:
+    """A list of numbers as the JSON object that a reward column holds: keys by place. Null stays null."""
+    pairs = F.transform(values, lambda v, i: F.concat(F.lit('"'), i.cast("string"), F.lit('": '), F.when(v.isNull() | F.isnan(v), "NaN").otherwise(v.cast("string"))))
+    return F.when(values.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+
+
+def rewarded(df: DataFrame, contrastive: bool = True, scale: float = 5.0, clip: float = 0.5) -> DataFrame:
+    """df (answer, ground_truth, dataset_name; tool and baseline where there are) with its reward.
+
+    answer and ground_truth are texts or lists of numbers. Bounds are joined by name from a table of twelve rows; other
+    names have OTHER_BOUNDS. Answers of another number of values, or none, cost their penalty; an unknown error costs -1. The
+    contrastive share compares with the model tool's reference prediction in tool (JSON), else with baseline (a list), as far as
+    it has as many values as the truth.
+    """
+    from skeinwork.functions import texts
+    from skeinwork.plans.registry import OTHER_BOUNDS, reward_bounds
+
+    kinds = dict(df.dtypes)
+    text = lambda c: listed(F.col(c).cast("array<double>")) if kinds[c].startswith("array") else F.col(c)
+    bounds = F.broadcast(reward_bounds(df.sparkSession).toDF("_name", "_bound", "_relative"))
+    rows = settled(df, _said=last_answer(F.coalesce(text("answer"), F.lit(""))), _truth=text("ground_truth"))
+    rows = settled(rows, _a=texts.reward_map(F.col("_said")), _g=texts.reward_map(F.col("_truth")))
+    rows = rows.join(bounds, F.col("dataset_name") == F.col("_name"), "left")
+    error = lambda m: F.get(F.transform(F.array(F.transform(F.array_intersect(F.map_keys(m), F.map_keys("_g")), lambda k: F.element_at(m, k) - F.element_at("_g", k))), lambda e: F.when(F.size(e) > 0, F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x) / F.size(e))), F.lit(0))
+    rows = rows.withColumns({"_mse": error(F.col("_a")), "_bound": F.coalesce("_bound", F.lit(OTHER_BOUNDS[0])), "_relative": F.coalesce("_relative", F.lit(OTHER_BOUNDS[1]))})
+    said = F.trim("_said")
+    a, b = F.size("_a"), F.size("_g")
+    penalty = (
+        F.when((said != "") & (a == 0) | (b == 0), -1.0).when(a > b, F.greatest(-0.5 - 0.3 * (a - b) / (0.5 * F.greatest(b, F.lit(1))), F.lit(-0.8)))
+        .when(a < b, -0.8).when(F.col("_mse").isNull() | F.isnan("_mse"), -1.0)
+    )
+    plain = error_reward(F.col("_mse"), F.col("_bound"))
+    if contrastive:
+        reference = F.lit(None).cast("array<double>")
+        if "baseline" in kinds:
+            reference = F.col("baseline").cast("array<double>")
+        fit = lambda v: texts.baseline_map(v, F.col("_g"))
+        small = F.coalesce(fit(texts.reference_prediction(F.col("tool"))), fit(reference)) if "tool" in kinds else fit(reference)
+        rows = rows.withColumn("_small", error(small))
+        small_error = F.when(~F.isnan("_small"), F.col("_small"))
+        plain = contrastive_reward(F.col("_mse"), small_error, F.col("_bound"), F.col("_relative"), scale, clip)
+    return rows.withColumn("reward", F.coalesce(penalty, plain)).drop("_said", "_truth", "_a", "_g", "_name", "_bound", "_relative", "_mse", "_small")

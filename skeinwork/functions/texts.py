@@ -72,8 +72,9 @@ def reward_map(t: Column) -> Column:
     clean = unelided(F.coalesce(t, F.lit("")))
     entries = lambda m: F.transform(F.map_entries(m), lambda x: F.struct(x["key"].alias("k"), _value(x["value"]).alias("v")))
     valued = lambda e: last_wins(F.filter(e, lambda x: x["v"].isNotNull()))
-    as_object = F.from_json(clean, "map<string,string>")
-    items = F.from_json(clean, "array<string>")
+    strict = {"allowSingleQuotes": "false"}
+    as_object = F.from_json(clean, "map<string,string>", strict)
+    items = F.from_json(clean, "array<string>", strict)
     plain = F.transform(items, lambda x, i: F.struct(i.cast("string").alias("k"), _value(x).alias("v")))
 
     def entry(m: Column, i: Column) -> Column:
@@ -131,7 +132,7 @@ def prompt_id(prompt: Column) -> Column:
 def frequency_text(stamps: Column) -> Column:
     """The distance of the last two known stamps of an array in words."""
     known = F.filter(stamps, lambda x: x.isNotNull())
-    second = lambda k: F.unix_timestamp(F.try_element_at(known, F.lit(k)).cast("timestamp"))
+    second = lambda k: F.unix_timestamp(F.try_element_at(known, F.lit(k)).try_cast("timestamp"))
     seconds = second(-1) - second(-2)
 
     def words(s: Column) -> Column:
@@ -142,11 +143,16 @@ def frequency_text(stamps: Column) -> Column:
 
 
 def series_json(keys: Column, values: Column) -> Column:
-    """An object of values rounded to six digits, in order; of equal keys the last value counts."""
-    pairs = F.zip_with(keys.cast("array<string>"), values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    kept = once(pairs, lambda s: F.filter(s, lambda x, i: F.array_position(F.transform(F.slice(s, i + 2, F.size(s)), lambda y: y["k"]), x["k"]) == 0))
+    """An object of values rounded to six digits, a key where it is first seen; of equal keys the last value counts. n log n."""
+    placed = F.array_sort(F.zip_with(F.transform(keys.cast("array<string>"), lambda k, i: F.struct(k.alias("k"), i.alias("i"))), values, lambda k, v: F.struct(k["k"].alias("k"), k["i"].alias("i"), v.alias("v"))))
+
+    def kept(s: Column) -> Column:
+        first = F.filter(s, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(s, j - 1)["k"]))
+        last = F.filter(s, lambda x, j: (j == F.size(s) - 1) | ~x["k"].eqNullSafe(F.get(s, j + 1)["k"]))
+        return F.array_sort(F.zip_with(first, last, lambda f, x: F.struct(f["i"].alias("i"), f["k"].alias("k"), x["v"].alias("v"))))
+
     number = lambda v: F.when(v.isNull() | F.isnan(v), "NaN").otherwise(F.regexp_replace(v.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1"))
-    return F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda x: F.concat(F.lit('"'), x["k"], F.lit('": '), number(x["v"]))), ", "), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(once(placed, kept), lambda x: F.concat(F.lit('"'), x["k"], F.lit('": '), number(x["v"]))), ", "), F.lit("}"))
 
 
 # Our own words for what tools do, in prompts.
@@ -166,14 +172,34 @@ ABOUT = {
 
 
 def tool_section(schedule: Column, outputs: Column) -> Column:
-    """A block for each scheduled tool, in order: name, what it does, and its output (a map of JSON texts)."""
+    """A block for each scheduled tool, in order: name, what it does, and its output (a map of JSON texts); of the model tool only its reference prediction."""
     about = F.create_map(*[F.lit(x) for pair in ABOUT.items() for x in pair])
-    block = lambda n: F.concat(F.lit("### "), n, F.lit("\n"), F.coalesce(F.try_element_at(about, n), F.lit("A diagnostic tool.")), F.lit("\n```json\n"), F.coalesce(F.try_element_at(outputs, n), F.lit("{}")), F.lit("\n```"))
+
+    def output(n: Column) -> Column:
+        whole = F.try_element_at(outputs, n)
+        reference = F.coalesce(F.get_json_object(whole, "$.reference_prediction"), F.get_json_object(whole, "$.ensemble_forecast_baseline"), F.lit("null"))
+        return F.when(n == "model_auxiliary_tool", F.concat(F.lit('{"reference_prediction":'), reference, F.lit("}"))).otherwise(F.coalesce(whole, F.lit("{}")))
+
+    block = lambda n: F.concat(F.lit("### "), n, F.lit("\n"), F.coalesce(F.try_element_at(about, n), F.lit("A diagnostic tool.")), F.lit("\n```json\n"), output(n), F.lit("\n```"))
     return F.array_join(F.transform(schedule, block), "\n\n")
 
 
-def future_context(channels: Column) -> Column:
-    """The known future of outside channels (name, values) as JSON: values to two digits, their statistics and direction; nothing without any."""
+def named_channels(output: Column) -> Column:
+    """The channels that the exogenous tool's output (JSON) puts first: top_k_names, else those of top_correlated or top, else the first three of correlations; none after an error."""
+    names = F.from_json(F.get_json_object(output, "$.top_k_names"), "array<string>")
+    pairs = F.transform(F.from_json(F.get_json_object(output, "$.top_correlated"), "array<array<string>>"), lambda x: F.get(x, F.lit(0)))
+    top = F.transform(F.from_json(F.get_json_object(output, "$.top"), "array<struct<column:string>>"), lambda x: x["column"])
+    others = F.slice(F.map_keys(F.from_json(F.get_json_object(output, "$.correlations"), "map<string,double>")), 1, 3)
+    some = lambda a: F.when(F.size(a) > 0, a)
+    found = F.coalesce(some(names), some(pairs), some(top), others, F.array().cast("array<string>"))
+    return F.when(output.isNull() | F.coalesce(F.get_json_object(output, "$.error"), F.lit("")).isin("", "false"), found).otherwise(F.array().cast("array<string>"))
+
+
+def future_context(channels: Column, names: Column | None = None, horizon: int | None = None) -> Column:
+    """The known future of outside channels (name, values) as JSON: values to two digits, their statistics and direction; nothing without any.
+
+    With names, those channels alone and in that order; with a horizon, at most so many known values each.
+    """
 
     def facts(v: Column) -> Column:
         n = F.size(v)
@@ -182,7 +208,11 @@ def future_context(channels: Column) -> Column:
         way = F.when(F.element_at(v, -1) > F.element_at(v, 1), "increasing").otherwise("decreasing")
         return F.struct(F.round(mean, 2).alias("mean"), F.round(spread, 2).alias("std"), F.round(F.array_min(v), 2).alias("min"), F.round(F.array_max(v), 2).alias("max"), way.alias("trend"), F.transform(v, lambda x: F.round(x, 2)).alias("values"))
 
-    known = F.filter(channels, lambda c: F.size(c["values"]) > 0)
+    cut = lambda v: v if horizon is None else F.slice(v, 1, horizon)
+    known = F.transform(channels, lambda c: F.struct(c["name"].alias("name"), cut(F.filter(c["values"], lambda x: x.isNotNull() & ~F.isnan(x))).alias("values")))
+    known = F.filter(known, lambda c: F.size(c["values"]) > 0)
+    if names is not None:
+        known = F.filter(F.transform(names, lambda n: F.get(F.filter(known, lambda c: c["name"] == n), F.lit(0))), lambda c: c.isNotNull())
     table = F.map_from_entries(F.transform(known, lambda c: F.struct(c["name"], facts(c["values"]))))
     return F.when(F.size(known) > 0, F.concat(F.lit("Future values of outside channels:\n```json\n"), F.to_json(table), F.lit("\n```"))).otherwise("")
 
@@ -205,3 +235,30 @@ def forecasting_prompt(target: str, history: Column, horizon: int, every: Column
         parts.append(F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("Findings:\n\n"), section)))
     parts.append(F.lit(f"Think inside <think> tags. Then give a JSON object of {horizon} keys and numbers inside <answer> tags."))
     return F.concat_ws("\n\n", *parts)
+
+
+# Our own words for how a remote forecaster should use what it is given.
+ADVICE = (
+    "Start from reference_prediction of model_auxiliary_tool and stay close to its level and its swings.",
+    "Where outside channels have known future values, let them shift the forecast as far as they went along with the target before.",
+    "Statistics and trend bound a forecast; don't prolong a trend as a straight line.",
+    "After a changepoint, trust what came after it; if residuals lean to one side, shift the forecast by their mean.",
+    "Where values are missing or cut off, keep within the bounds of the quality tool.",
+    "Follow the dominant pattern: keep rising or falling, stay near the level if flat, don't run off to one side if it oscillates.",
+)
+
+
+def api_prompt(history: Column, lookback: int, horizon: int, every: Column, section: Column, feedback: Column | None = None, domain: str = "") -> Column:
+    """The request to a remote forecaster: task, shape of the answer, what was wrong before, history, findings and advice."""
+    parts = [
+        F.concat(F.lit(f"## Task\nForecast the next {horizon} values from the last {lookback}. The series has a value every "), every, F.lit("." + (f"\n{domain}" if domain else ""))),
+        F.lit(f"## Answer\nThink inside <think> tags. Then give one JSON object of exactly {horizon} keys, the timestamps that follow, and numbers inside <answer> tags."),
+    ]
+    if feedback is not None:
+        parts.append(F.when(F.coalesce(feedback, F.lit("")) != "", F.concat(F.lit("## What was wrong last time\n"), feedback)))
+    parts += [
+        F.concat(F.lit("## History\n```json\n"), history, F.lit("\n```")),
+        F.concat(F.lit("## Findings of the tools\n"), F.when(F.coalesce(section, F.lit("")) != "", section).otherwise("No tool was run.")),
+        F.lit("## Advice\n" + "\n".join(f"- {a}" for a in ADVICE)),
+    ]
+    return F.concat_ws("\n\n", *parts)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skeinwork.operators.windows import KEYS, points, slope, total
+from skeinwork.operators.spectrum import whole_periodicity
+from skeinwork.operators.windows import KEYS, deviation, differences, mean, points, slope, total
 
 
 def ordered() -> WindowSpec:
@@ -20,8 +21,14 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def finite(c: Column) -> Column:
+    """The value, null where it is no finite number."""
+    return F.when(F.abs(c) < float("inf"), c)  # NaN sorts above infinity in Spark
+
+
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of the rows where both are known; 0 where one doesn't vary. (corr() fails there.)"""
+    """Pearson correlation of the rows where both are finite numbers; 0 where one doesn't vary. (corr() fails there.)"""
+    a, b = finite(a), finite(b)
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
@@ -34,6 +41,11 @@ def statistical(windows: DataFrame) -> DataFrame:
     )
 
 
+def basic_statistics(windows: DataFrame, season: int) -> DataFrame:
+    """The whole tool: what basic() gives, and the spectral entropy."""
+    return basic(windows, season).join(spectral_entropy(windows), KEYS)
+
+
 def basic(windows: DataFrame, season: int) -> DataFrame:
     """Median, median deviation, 5 and 95 % quantiles, autocorrelation at lag 1 and the season."""
     lag = max(1, season)
@@ -94,6 +106,25 @@ def events(windows: DataFrame) -> DataFrame:
     return p.select(*KEYS, pattern.alias("dominant_pattern"), rounded(F.col("o")).alias("oscillation_ratio"))
 
 
+def array_facts(a: Column) -> Column:
+    """m, d, slope, momentum (mean of the last five steps) and pattern of a history, from its row alone.
+
+    The same values as statistical, trend, changepoints and events give, for operators that need several of them at once.
+    """
+    steps = differences(a)
+    base = F.struct(mean(a).alias("m"), deviation(a).alias("d"), slope(a).alias("slope"), steps.alias("s"), F.transform(steps, lambda x: F.signum(x)).alias("g"))
+
+    def facts(k: Column) -> Column:
+        n = F.size(k["s"])
+        last = F.slice(k["s"], F.greatest(n - 4, F.lit(1)), F.lit(5))
+        turns = F.zip_with(F.slice(k["g"], F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(k["g"], F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, y: (x != y).cast("double"))
+        o = F.when(n > 1, mean(turns)).otherwise(0.0)
+        pattern = F.when(o > 0.55, "oscillation").when(F.abs(k["slope"]) <= F.greatest(F.lit(1e-8), k["d"] * 0.01), "flat").when(k["slope"] > 0, "rise").otherwise("fall")
+        return F.struct(k["m"].alias("m"), k["d"].alias("d"), k["slope"].alias("slope"), F.when(n > 0, mean(last)).alias("momentum"), pattern.alias("pattern"))
+
+    return F.get(F.transform(F.array(base), facts), F.lit(0))
+
+
 def residuals(windows: DataFrame) -> DataFrame:
     """Mean, largest size and lag-1 autocorrelation of the first differences."""
     p = points(windows).withColumn("r", F.col("y") - F.lag("y").over(ordered())).withColumn("was", F.lag("r").over(ordered()))
@@ -158,17 +189,3 @@ def series_statistics(series: DataFrame) -> DataFrame:
     y = F.col("y")
     plain = series.groupBy("sid").agg(F.max(y).alias("max"), F.min(y).alias("min"), rounded(F.avg(y)).alias("mean"), rounded(F.var_pop(y), 3).alias("variance"), F.count("*").alias("series_length"))
     return plain.join(whole_periodicity(series), "sid").join(frequency(series).select("sid", "frequency"), "sid", "left")
-
-
-def whole_periodicity(series: DataFrame, most: int = 366) -> DataFrame:
-    """sid, periodicity_lag: the lag from 1 to half the series, at most `most`, of the largest autocorrelation, the least on ties.
-
-    Each point meets at most `most` later ones by position, in blocks of `most` positions, so no task holds a series.
-    """
-    n = series.groupBy("sid").agg(F.count("*").alias("n"), F.avg("y").alias("m"))
-    c = series.join(n, "sid").select("sid", "pos", "n", (F.col("y") - F.col("m")).alias("c")).withColumn("b", F.floor(F.col("pos") / most))
-    near = c.select("sid", F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("pos").alias("was"), F.col("c").alias("p"))
-    at = c.join(near, ["sid", "b"]).withColumn("lag", F.col("pos") - F.col("was")).where(f"lag > 0 AND lag <= {most} AND lag < greatest(n div 2, 2)")
-    sums = at.groupBy("sid", "lag").agg(F.round(F.sum(F.col("c") * F.col("p")), 2).alias("r"))
-    best = sums.groupBy("sid").agg(F.min(F.struct((-F.col("r")).alias("a"), "lag"))["lag"].alias("lag"))
-    return n.join(best, "sid", "left").select("sid", F.when(F.col("n") < 3, F.lit(1)).otherwise(F.coalesce("lag", F.lit(1))).cast("long").alias("periodicity_lag"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.operators.windows import KEYS, mean, slope
+from skeinwork.operators.windows import KEYS, mean, slope, total
 from skeinwork.plans.registry import WindowSpec
 
 #: Name to (history, spec) -> array of forecasts; the order settles ties.
@@ -105,12 +105,76 @@ def theta_model(hist: Column, spec: WindowSpec) -> Column:
 
 def forecasts(windows: DataFrame, spec: WindowSpec, names: Iterable[str] | None = None) -> DataFrame:
     """sid, wid, model, ord, yhat, and fut where windows have it: a row for each window and model, the default ones if no names are given. Narrow. Empty histories have none."""
-    names = list(names or DEFAULTS)
+    names = list(DEFAULTS if names is None else names)
     rows = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("ord"), F.when(F.size("hist") > 0, MODELS[n](F.col("hist"), spec)).alias("yhat")) for i, n in enumerate(names)])
     keep = [c for c in ("hist", "fut") if c in windows.columns]
     return windows.select(*KEYS, *keep, F.inline(rows)).where("yhat IS NOT NULL")
 
 
+def ensemble(hist: Column, spec: WindowSpec, names: Iterable[str] | None = None) -> Column:
+    """The plain ensemble of the default models, or of those named, as one array; null for an empty history."""
+    names = list(names or DEFAULTS)
+    weights = [1.6 if n == "seasonal_naive" else 1.2 if n == "linear_drift" else 1.0 for n in names]
+    scaled = lambda n, w: F.transform(MODELS[n](hist, spec), lambda y: y * w)
+    parts = F.array(*[scaled(n, w) for n, w in zip(names, weights)])
+    place = F.sequence(F.lit(0), F.lit(spec.horizon - 1))
+    whole = F.get(F.transform(F.array(parts), lambda p: F.transform(place, lambda h: total(F.transform(p, lambda y: F.get(y, h))) / sum(weights))), F.lit(0))
+    return F.when(F.size(hist) > 0, whole)
+
+
+def plugged(name: str, run: Callable[[np.ndarray, int, int], np.ndarray]) -> None:
+    """Register a Python function (history, horizon, season) -> forecast that may fail; it runs by isolated() only, when named."""
+    PLUGGED[name] = run
+
+
+#: Python models by name. What they raise is kept as a row.
+PLUGGED: dict[str, Callable[[np.ndarray, int, int], np.ndarray]] = {}
+
+
+def isolated(windows: DataFrame, spec: WindowSpec, names: Iterable[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Forecasts (as forecasts() gives them) and failures (sid, wid, model, message) of models that run apart by window.
+
+    A failing model leaves the other forecasts of its window alone. A forecast of another length than the horizon, or a null one,
+    is a failure too. In strict mode the first failure ends the job. Without Python models among the names there can be no
+    failures beside empty histories, which have no rows at all; the second table is then None.
+    """
+    names = list(names or DEFAULTS)
+    built, own = [n for n in names if n in MODELS], [n for n in names if n in PLUGGED]
+    unknown = set(names) - set(built) - set(own)
+    if unknown:
+        raise KeyError(f"no model {', '.join(sorted(unknown))}")
+    order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    plain = forecasts(windows, spec, built).withColumn("ord", order[F.col("model")]) if built else None
+    if not own:
+        return plain, None
+    runs = {n: PLUGGED[n] for n in own}
+    horizon, season = spec.horizon, spec.season
+    keep = [c for c in ("hist", "fut") if c in windows.columns]
+
+    def run(hist: pd.Series) -> pd.Series:
+        out = []
+        for y in hist:
+            row = []
+            for n, f in runs.items():
+                try:
+                    got = np.asarray(f(np.asarray(y, float), horizon, season), float)
+                    if got.shape != (horizon,):
+                        raise ValueError(f"forecast of shape {got.shape} for a horizon of {horizon}")
+                    row.append({"model": n, "yhat": got.tolist(), "message": None})
+                except Exception as e:  # a model's failure is data
+                    if strict:
+                        raise RuntimeError(f"model {n} failed") from e
+                    row.append({"model": n, "yhat": None, "message": f"{type(e).__name__}: {e}"})
+            out.append(row)
+        return pd.Series(out, index=hist.index)
+
+    done = F.pandas_udf(run, "array<struct<model:string,yhat:array<double>,message:string>>")
+    rows = windows.where(F.size("hist") > 0).select(*KEYS, *keep, F.explode(done("hist")).alias("r"))
+    good = rows.where("r.message IS NULL").select(*KEYS, *keep, "r.model", order[F.col("r.model")].alias("ord"), "r.yhat")
+    bad = rows.where("r.message IS NOT NULL").select(*KEYS, "r.model", "r.message")
+    return (good if plain is None else plain.unionByName(good)), bad
+
+
 def steps(f: DataFrame) -> DataFrame:
     """sid, wid, model, step, yhat: a row a forecast value."""
     return f.select(*KEYS, "model", F.posexplode("yhat").alias("step", "yhat"))

@@ -14,25 +14,36 @@ from skeinwork.plans.registry import WindowSpec
 KEYS = ["sid", "wid"]
 
 
-def sliding(series: DataFrame, spec: WindowSpec, cap: int | None = None) -> DataFrame:
-    """sid, wid, hist, fut of every whole window. cap: at most so many a series, though never less than one."""
+def sliding(series: DataFrame, spec: WindowSpec, cap: int | None = None, stamps: bool = False) -> DataFrame:
+    """sid, wid, hist, fut of every whole window; stamps and fut_stamps too, as texts, if asked for. cap: at most so many a series, though never less than one."""
     span, step = spec.lookback + spec.horizon, spec.step
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - span + 1) / step)).cast("long")
     last = F.floor(F.col("pos") / step).cast("long")
-    hit = series.select("sid", "pos", "y", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("wid"))
+    more = [_text("ts").alias("t")] if stamps else []
+    hit = series.select("sid", "pos", "y", *more, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("wid"))
     if cap is not None:
         hit = hit.where(F.col("wid") < max(1, cap))
-    rows = hit.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "y"))).alias("a")).where(F.size("a") == span)
+    rows = hit.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "y", *(["t"] if stamps else [])))).alias("a")).where(F.size("a") == span)
     y = F.transform("a", lambda x: x["y"])
-    return rows.select(*KEYS, F.slice(y, 1, spec.lookback).alias("hist"), F.slice(y, spec.lookback + 1, spec.horizon).alias("fut"))
+    t = F.transform("a", lambda x: x["t"]) if stamps else None
+    out = [F.slice(y, 1, spec.lookback).alias("hist"), F.slice(y, spec.lookback + 1, spec.horizon).alias("fut")]
+    if stamps:
+        out += [F.slice(t, 1, spec.lookback).alias("stamps"), F.slice(t, spec.lookback + 1, spec.horizon).alias("fut_stamps")]
+    return rows.select(*KEYS, *out)
 
 
-def latest(series: DataFrame, lookback: int) -> DataFrame:
-    """The last rows of every series that has enough of them."""
+def _text(ts: str) -> Column:
+    return F.coalesce(F.date_format(F.col(ts), "yyyy-MM-dd HH:mm:ss"), F.col("pos").cast("string"))
+
+
+def latest(series: DataFrame, lookback: int, stamps: bool = False) -> DataFrame:
+    """The last rows of every series that has enough of them; with their stamps, as texts, if asked for."""
     n = series.groupBy("sid").agg((F.max("pos") + 1).alias("n"))
     tail = series.join(n, "sid").where((F.col("n") >= lookback) & (F.col("pos") >= F.col("n") - lookback))
-    rows = tail.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "y"))).alias("a"))
-    return rows.select("sid", F.transform("a", lambda x: x["y"]).alias("hist"))
+    if stamps:
+        tail = tail.withColumn("t", _text("ts"))
+    rows = tail.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "y", *(["t"] if stamps else [])))).alias("a"))
+    return rows.select("sid", F.transform("a", lambda x: x["y"]).alias("hist"), *([F.transform("a", lambda x: x["t"]).alias("stamps")] if stamps else []))
 
 
 def points(windows: DataFrame, column: str = "hist") -> DataFrame:
@@ -45,7 +56,8 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    """Null for an empty array."""
+    return F.try_divide(total(a), F.size(a))
 
 
 def deviation(a: Column) -> Column:

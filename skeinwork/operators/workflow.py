@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.operators import features
-from skeinwork.operators.forecasting import MODELS, ensemble_weight, forecasts, weighted
-from skeinwork.operators.windows import KEYS, deviation, mean
+from skeinwork.operators.forecasting import ensemble, ensemble_weight, isolated
+from skeinwork.operators.windows import KEYS, mean, total
 from skeinwork.plans.registry import WindowSpec
 
 # Names of the tools, those always run first, those added without a plan, schedules to try, and older names.
@@ -80,37 +80,67 @@ def named_tools(text: Column) -> Column:
         F.filter(known, lambda x: F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"\b"), x, F.lit(r"\b")))))
 
 
-def act(windows: DataFrame, schedules: DataFrame, spec: WindowSpec, pairs: DataFrame | None = None, train: bool = False) -> DataFrame:
+def act(windows: DataFrame, schedules: DataFrame, spec: WindowSpec, pairs: DataFrame | None = None, train: bool = False, library: dict[str, DataFrame] | None = None) -> DataFrame:
     """sid, wid, tools: a map from each scheduled tool to its output as JSON; windows (sid, wid, hist), schedules (sid, wid, schedule).
 
     Tools that some schedule names are computed once for all windows. The train-only tool is reported as skipped outside
-    training, a tool without a channel as not available, and an unknown one as such.
+    training, a tool without a channel as not available, and an unknown one as such. With a library's tables the model tool works by them.
     """
-    wanted = {r[0] for r in schedules.select(F.explode("schedule")).distinct().limit(64).collect()}  # names, not rows
+    mentioned = schedules.select(F.explode("schedule").alias("t")).where(F.col("t").isin(*TOOLS)).distinct()
+    wanted = {r.t for r in mentioned.collect()}  # at most one row a registered tool
     tables = {n: f(windows, spec, pairs) for n, f in TOOLS.items() if n in wanted and (train or n != TRAIN_ONLY)}
+    if library is not None and "model_auxiliary_tool" in tables:
+        tables["model_auxiliary_tool"] = _anchored(windows, spec, library)
     out, found = schedules, []
     for n, table in tables.items():
         if table is not None:
             out = out.join(table.select(*KEYS, F.to_json(F.struct(*[c for c in table.columns if c not in KEYS])).alias(n)), KEYS, "left")
             found.append(n)
     results = F.create_map(*[x for n in found for x in (F.lit(n), F.col(n))]) if found else F.create_map().cast("map<string,string>")
-    skipped = F.when((F.lit(TRAIN_ONLY) == F.col("_t")) if not train else F.lit(False), '{"skipped":true,"reason":"train_only_tool"}')
+    skipped = F.when((F.lit(TRAIN_ONLY) == F.col("_t")) if not train else F.lit(False), '{"skipped":true,"reason":"train_only_tool_disabled"}')
     other = F.coalesce(skipped, F.when(F.col("_t").isin(*TOOLS), '{"available":false}'), F.lit('{"error":"unknown tool"}'))
     rows = out.select(*KEYS, F.posexplode_outer("schedule").alias("_k", "_t"), results.alias("_r")).select(*KEYS, "_k", "_t", F.coalesce(F.try_element_at("_r", F.col("_t")), other).alias("_o"))
     entries = F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_k", "_t", "_o"))))
     return rows.groupBy(*KEYS).agg(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["_t"], x["_o"]))).alias("tools"))
 
 
+def auxiliary(windows: DataFrame, spec: WindowSpec, models: list[str] | None = None) -> DataFrame:
+    """The model tool without a library: the plain ensemble, its parts by model and their weights, all rounded to six digits."""
+    runs, failed = isolated(windows.select(*KEYS, "hist"), spec, models)
+    part = F.struct("model", "ord", "yhat")
+    by = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", part.alias("p")))).alias("a"))
+    share = lambda a: total(F.transform(a, lambda x: ensemble_weight(x["p"]["model"])))
+    place = F.sequence(F.lit(0), F.lit(spec.horizon - 1))
+    mixed = F.transform(place, lambda h: F.round(total(F.transform("a", lambda x: ensemble_weight(x["p"]["model"]) / share(F.col("a")) * F.get(x["p"]["yhat"], h))), 6))
+    named = lambda f: F.map_from_entries(F.transform("a", lambda x: F.struct(x["p"]["model"], f(x["p"]))))
+    six = lambda v: F.transform(v, lambda y: F.round(y, 6))
+    out = by.select(
+        *KEYS, mixed.alias("reference_prediction"), F.lit(spec.horizon).alias("forecast_length"), named(lambda x: six(x["yhat"])).alias("component_forecasts"),
+        named(lambda x: F.round(ensemble_weight(x["model"]) / share(F.col("a")), 6)).alias("weights"), F.lit("deterministic_fallback").alias("source"), F.lit("anchor_library_not_configured").alias("fallback_reason"),
+    )
+    if failed is None:
+        return out.withColumn("model_failures", F.create_map().cast("map<string,string>"))
+    messages = failed.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "message")))).alias("model_failures"))
+    return out.join(messages, KEYS, "left").withColumn("model_failures", F.coalesce("model_failures", F.create_map().cast("map<string,string>")))
+
+
+def _anchored(windows: DataFrame, spec: WindowSpec, library: dict[str, DataFrame]) -> DataFrame:
+    """The model tool by a library; windows of a series that it doesn't have get the plain one, which says why."""
+    from skeinwork.operators.library import anchored
+
+    found = anchored(windows, spec, library)
+    rest = auxiliary(windows.join(found.select(*KEYS), KEYS, "left_anti"), spec).withColumn("fallback_reason", F.lit("series not in the anchor library"))
+    return found.unionByName(rest, allowMissingColumns=True)
+
+
 def _aux(windows, spec, pairs):
-    f = forecasts(windows, spec, list(MODELS))
-    reference = weighted(f, ensemble_weight(F.col("model"))).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("step", F.round("yhat", 6).alias("y")))).alias("x"))
-    return reference.select(*KEYS, F.transform("x", lambda x: x["y"]).alias("reference_prediction"), F.size("x").alias("forecast_length"))
+    return auxiliary(windows, spec)
 
 
 def comprehensive_features(windows: DataFrame, spec: WindowSpec) -> DataFrame:
     """Six tools' outputs of every window as structs."""
     parts = {
-        "statistical": features.statistical(windows), "basic": features.basic(windows, spec.season), "trend": features.trend(windows),
+        "statistical": features.statistical(windows), "basic": features.basic_statistics(windows, spec.season), "trend": features.trend(windows),
         "changepoint": features.changepoints(windows), "quality": features.quality(windows), "event": features.events(windows),
     }
     out = windows.select(*KEYS)
@@ -131,7 +161,7 @@ TOOLS = {
     "model_auxiliary_tool": _aux,
     "exogenous_analysis_tool": _ranking,
     "statistical_analysis_tool": lambda w, spec, pairs: features.statistical(w),
-    "basic_statistics_tool": lambda w, spec, pairs: features.basic(w, spec.season),
+    "basic_statistics_tool": lambda w, spec, pairs: features.basic_statistics(w, spec.season),
     "data_quality_tool": lambda w, spec, pairs: features.quality(w),
     "comprehensive_feature_tool": lambda w, spec, pairs: comprehensive_features(w, spec),
     "trend_analysis_tool": lambda w, spec, pairs: features.trend(w),
@@ -158,16 +188,34 @@ def invalid(horizon: int) -> Column:
     return F.array_repeat(F.lit(float("nan")), horizon)
 
 
-def refined(windows: DataFrame, spec: WindowSpec) -> DataFrame:
-    """sid, wid, step, yhat: the plain ensemble, bent by slope and momentum, drawn to a level if flat or oscillating, clipped to three deviations."""
-    base = weighted(forecasts(windows, spec, list(MODELS)), ensemble_weight(F.col("model")))
-    state = windows.select(*KEYS, mean(F.col("hist")).alias("m"), mean(F.slice("hist", F.greatest(F.size("hist") - 11, F.lit(1)), F.lit(12))).alias("level"), deviation(F.col("hist")).alias("d"))
-    for f in (features.trend(windows).select(*KEYS, "slope"), features.changepoints(windows).select(*KEYS, "recent_momentum"), features.events(windows).select(*KEYS, "dominant_pattern")):
-        state = state.join(f, KEYS)
-    bent = F.col("yhat") + 0.2 * (0.7 * F.col("slope") + 0.3 * F.col("recent_momentum")) * (F.col("step") + 1)
-    drawn = F.when(F.col("dominant_pattern") == "flat", 0.85 * bent + 0.15 * F.col("level")).when(F.col("dominant_pattern") == "oscillation", 0.95 * bent + 0.05 * F.col("m")).otherwise(bent)
-    low, high = F.round(F.col("m") - 3 * F.col("d"), 6), F.round(F.col("m") + 3 * F.col("d"), 6)
-    return base.join(state, KEYS).select(*KEYS, "step", F.least(F.greatest(drawn, low), high).alias("yhat"))
+def bent(baseline: Column, hist: Column, slope_: Column, momentum: Column, pattern: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """A forecast bent by slope and momentum, drawn to a level if the window is flat or oscillates, and clipped where bounds are known.
+
+    Null slope, momentum or pattern (a tool that didn't run) count as none.
+    """
+    drift = 0.2 * (0.7 * F.coalesce(slope_, F.lit(0.0)) + 0.3 * F.coalesce(momentum, F.lit(0.0)))
+    recent = mean(F.slice(hist, F.greatest(F.size(hist) - 11, F.lit(1)), F.lit(12)))
+    facts = F.struct(drift.alias("d"), recent.alias("level"), mean(hist).alias("m"))
+
+    def value(k: Column) -> Column:
+        y = lambda b, h: b + k["d"] * (h + 1)
+        drawn = lambda v: F.when(pattern == "flat", 0.85 * v + 0.15 * k["level"]).when(pattern == "oscillation", 0.95 * v + 0.05 * k["m"]).otherwise(v)
+        cut = lambda v: v if low is None else F.when(low.isNotNull() & high.isNotNull(), F.least(F.greatest(v, low), high)).otherwise(v)
+        return F.transform(baseline, lambda b, h: cut(drawn(y(b, h))))
+
+    return F.get(F.transform(F.array(facts), value), F.lit(0))
+
+
+def refined(windows: DataFrame, spec: WindowSpec, models: list[str] | None = None, clip: bool = True, train: bool = False) -> DataFrame:
+    """sid, wid, step, yhat: the plain ensemble, bent and drawn as bent() says; clipped to three deviations where the quality tool ran.
+
+    In training the ensemble is the forecast as it is. Everything is read off the window's own row.
+    """
+    hist = F.col("hist")
+    base = windows.select(*KEYS, "hist", ensemble(hist, spec, models).alias("base"), features.array_facts(hist).alias("x")).where("size(hist) > 0")
+    bounds = (F.round(F.col("x.m") - 3 * F.col("x.d"), 6), F.round(F.col("x.m") + 3 * F.col("x.d"), 6)) if clip else ()
+    y = F.col("base") if train else bent(F.col("base"), hist, F.round(F.col("x.slope"), 6), F.round(F.col("x.momentum"), 6), F.col("x.pattern"), *bounds)
+    return base.select(*KEYS, F.posexplode(y).alias("step", "yhat"))
 
 
 def verdict(forecast: Column, horizon: int, message: Column | None = None) -> Column:

@@ -30,20 +30,42 @@ def target_column(df: DataFrame) -> str:
     return found[-1]
 
 
-def load_series(spark: SparkSession, path: str, sid: str = "series", target: str | None = None, time: str | None = None) -> DataFrame:
-    """A CSV or Parquet file as one series: roles inferred where they aren't given, rows without a target left out.
+def load_series(spark: SparkSession, path: str | list[str], sid: str = "series", target: str | None = None, time: str | None = None, file_order: bool | None = None) -> DataFrame:
+    """CSV or Parquet files as one series: roles inferred where they aren't given, rows without a target left out.
 
-    Rows are in order of their timestamp; a table without one has no order in Spark, so that is an error.
+    Rows are in order of their timestamp; in that of the files (by path) and their lines where there is no timestamp, or where
+    file_order says so. Then ts is what the file says, or null.
     """
-    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, multiLine=True, escape='"')
+    paths = [path] if isinstance(path, str) else list(path)
+    parquet = paths[0].rstrip("/").endswith(".parquet")
+    raw = spark.read.parquet(*paths) if parquet else spark.read.csv(paths, header=True, multiLine=True, escape='"')
     target, time = target or target_column(raw), time or time_column(raw)
-    if time is None:
+    by_file = time is None if file_order is None else file_order
+    if time is None and not by_file:
         raise ValueError(f"a series needs one of the columns {', '.join(TIME_NAMES)} to be ordered by")
-    rows = raw.select(F.lit(sid).alias("sid"), F.col(f"`{time}`").try_cast("timestamp_ntz").alias("ts"), number(F.col(f"`{target}`")).alias("y"))
+    stamp = F.col(f"`{time}`").try_cast("timestamp_ntz") if time else F.lit(None).cast("timestamp_ntz")
+    rows = raw.select(F.lit(sid).alias("sid"), stamp.alias("ts"), number(F.col(f"`{target}`")).alias("y"), *(_places(parquet) if by_file else []))
     rows = rows.where(F.col("y").isNotNull() & ~F.isnan("y"))
     if len(rows.take(2)) < 2:
         raise ValueError(f"fewer than two rows with a number in {target}: {path}")
-    return with_positions(rows)
+    return in_file_order(rows) if by_file else with_positions(rows)
+
+
+def _places(parquet: bool) -> list[Column]:
+    """File, block of it and place within the block of each row scanned."""
+    file = F.col("_metadata.file_path").alias("_f")
+    if parquet:
+        return [file, F.floor(F.col("_metadata.row_index") / (1 << 20)).alias("_b"), F.col("_metadata.row_index").alias("_i")]
+    return [file, F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Number rows (sid, ts, y, _f, _b, _i) by file, block and place: blocks are counted apart and offset by those before, a row a block."""
+    sizes = rows.groupBy("sid", "_f", "_b").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("sid").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("sid", "_f", "_b").orderBy("_i")) - 1
+    placed = rows.withColumn("_p", place).join(sizes.select("sid", "_f", "_b", before.alias("_o")), ["sid", "_f", "_b"])
+    return placed.select("sid", (F.col("_o") + F.col("_p")).cast("long").alias("pos"), "ts", "y")
 
 
 def with_positions(rows: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ Writers go through Spark's committer, so a file is there as a whole or not at al
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions import texts
+from skeinwork.functions import answers, texts
 from skeinwork.operators.exports import numbered
+from skeinwork.plans.registry import WindowSpec
 
 # Columns of the tables, and parts of a path that name a dataset, the first that occurs.
 SFT_COLUMNS = ("idx", "dataset_name", "input", "ground_truth", "tool", "prompt", "response", "reasoning", "answer")
@@ -53,10 +54,15 @@ def dataset_in(path: Column, default: str = "") -> Column:
 
 
 def rl_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Reinforcement rows: prompt and ground truth are needed, dataset_name and tool are filled in, extra_info becomes a map with an index."""
+    """Reinforcement rows: prompt and ground truth are needed, dataset_name and tool are filled in, extra_info becomes a map with an index.
+
+    An index that is missing is the row's place in the table: files in order of their paths, rows as they lie in them.
+    """
     df = needed(spark.read.parquet(path), "prompt", "ground_truth")
     if not df.take(1):
         raise ValueError(f"no rows in {path}")
+    if "extra_info" in df.columns:
+        df = placed(df)
     if "dataset_name" not in df.columns:
         df = df.withColumn("dataset_name", dataset_in(F.lit(path)))
     if "tool" not in df.columns:
@@ -64,11 +70,72 @@ def rl_rows(spark: SparkSession, path: str) -> DataFrame:
     if "extra_info" in df.columns:
         text = F.col("extra_info") if dict(df.dtypes)["extra_info"] == "string" else F.to_json("extra_info")
         info = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
-        index = F.coalesce(F.try_element_at(info, F.lit("index")), F.try_element_at(info, F.lit("idx")), F.monotonically_increasing_id().cast("string"))
-        df = df.withColumn("extra_info", F.map_concat(F.map_filter(info, lambda k, v: k != "index"), F.create_map(F.lit("index"), index)))
+        index = F.coalesce(F.try_element_at(info, F.lit("index")), F.try_element_at(info, F.lit("idx")), F.col("_place").cast("string"))
+        df = df.withColumn("extra_info", F.map_concat(F.map_filter(info, lambda k, v: k != "index"), F.create_map(F.lit("index"), index))).drop("_place")
     return df
 
 
+def placed(scan: DataFrame) -> DataFrame:
+    """A Parquet scan with _place, the row's number from 0 over all files in order of their paths; only rows a file are counted ahead."""
+    rows = scan.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    sizes = rows.groupBy("_f").agg(F.count("*").alias("_n"))
+    before = sizes.select("_f", (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_o"))  # a row a file
+    return rows.join(before, "_f").withColumn("_place", F.col("_o") + F.col("_i")).drop("_f", "_i", "_o")
+
+
+PROMPT_COLUMNS = ("idx", "input", "ground_truth", "tool", "prompt", "target_col", "lookback", "horizon")
+
+
+def prompts_of(windows: DataFrame, target: str, lookback: int, horizon: int) -> DataFrame:
+    """Prompt rows of windows (sid, wid, hist, fut, stamps, fut_stamps): idx, the series and its future as JSON, an empty tool, the prompt, and the window's shape."""
+    series = texts.series_json(F.col("stamps"), F.col("hist"))
+    prompt = texts.forecasting_prompt(target, series, horizon, texts.frequency_text(F.col("stamps")))
+    return windows.select(
+        F.col("wid").alias("idx"), series.alias("input"), texts.series_json(F.col("fut_stamps"), F.col("fut")).alias("ground_truth"), F.lit("").alias("tool"), prompt.alias("prompt"),
+        F.lit(target).alias("target_col"), F.lit(lookback).alias("lookback"), F.lit(horizon).alias("horizon"),
+    )
+
+
+def forecast_rows(ran: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows of a window-forecast table from loops.run_windows() and its windows (with fut, stamps and fut_stamps where known), ready for window_rows()."""
+    stamped = "fut_stamps" in windows.columns
+    keys = F.col("fut_stamps") if stamped else F.transform("fut", lambda x, i: i.cast("string"))
+    truth = windows.select("sid", "wid", texts.series_json(keys, F.col("fut")).alias("ground_truth"))
+    best = F.from_json(F.get_json_object(F.try_element_at("outputs", F.lit("model_auxiliary_tool")), "$.best_model"), "map<string,double>")
+    return ran.join(truth, ["sid", "wid"]).select(
+        "sid", F.col("wid").alias("idx"), F.coalesce(F.array_join(F.array_sort(F.map_keys(best)), ","), F.lit("")).alias("model_name"), answers.first_answer(F.coalesce("response", F.lit(""))).alias("answer"), "ground_truth",
+        "prompt", F.col("response").alias("full_answer"), "mse", "mae", F.to_json("schedule").alias("tools"), "reflection",
+    )
+
+
+def forecast_csv(spark: SparkSession, path: str | list[str], out: str, spec: WindowSpec, latest: bool = False, target: str | None = None, time: str | None = None, cap: int | None = None, **how) -> DataFrame:
+    """Forecast a CSV or Parquet series and write the result as CSV: a row a window with its metrics, or the steps after the last row.
+
+    The steps are written if asked for, or where the series has no whole window; their time_stamp goes on at the commonest distance of the stamps. `how`
+    goes to loops.run_windows(). Returns what was written.
+    """
+    from skeinwork.operators import features, loops
+    from skeinwork.operators import windows as w
+    from skeinwork.sources import series
+
+    rows = series.load_series(spark, path, target=target, time=time)
+    found = None if latest else w.sliding(rows, spec, cap, stamps=True)
+    if found is not None and found.take(1):
+        table = window_rows(forecast_rows(loops.run_windows(found, spec, **how), found))
+    else:
+        last = w.latest(rows, spec.lookback, stamps=True).withColumn("wid", F.lit(0).cast("long"))
+        if not last.take(1):
+            raise ValueError(f"the series is shorter than {spec.lookback} rows")
+        ran = loops.run_windows(last, spec, **how).select("sid", "forecast")
+        dated = rows.where("ts IS NOT NULL")
+        step = features.frequency(dated.withColumn("ts", F.col("ts").cast("timestamp"))).select("sid", "seconds")
+        end = dated.groupBy("sid").agg(F.max("ts").cast("timestamp").alias("last"))
+        known = ran.join(step, "sid", "left").join(end, "sid", "left").withColumn("first", F.timestamp_seconds(F.unix_timestamp("last") + F.col("seconds")))
+        table = forecast_steps(known, [], "first", "seconds") if known.where("first IS NOT NULL").take(1) else forecast_steps(known, [])
+    write_csv(table, out)
+    return table
+
+
 def forecast_steps(forecasts: DataFrame, keys: list[str], start: str | None = None, seconds: str | None = None) -> DataFrame:
     """keys, step from 1, forecast of rows with an array `forecast`; time_stamp too, given the first stamp and the seconds between."""
     rows = forecasts.select(*keys, *[c for c in (start, seconds) if c], F.posexplode("forecast").alias("_k", "value"))

@@ -91,7 +91,8 @@ def test_fill(spark):
 
 
 def test_registry():
-    assert registry.dataset_of("data/train/EPF_NP_train_val.csv") == "NP" and registry.dataset_of("windy_power.csv") == "WP" and registry.dataset_of("q.csv") is None
+    assert registry.dataset_of("data/train/EPF_NP_train_val.csv") == "NP" and registry.dataset_of("x/windy_power_test.csv") == "WP" and registry.dataset_of("q.csv") is None
+    assert registry.dataset_of("data/wind.csv") is None and registry.dataset_of("sunny.csv") is None and registry.dataset_of("windy_power.csv") is None
     assert registry.spec_of("etth1").lookback == 96 and registry.spec_of("solar") == registry.spec_of("SP")
     assert registry.dataset_of("data/BE/DE.csv") == "BE"
     with pytest.raises(KeyError):

@@ -61,7 +61,7 @@ def test_small_texts(spark):
     assert one.select(texts.frequency_text(stamps("2024-01-01 00:00:00", "2024-01-01 01:00:00"))).first()[0] == "1 hour"
     assert one.select(texts.frequency_text(stamps("2024-01-01", "2024-01-04"))).first()[0] == "3 days"
     assert one.select(texts.frequency_text(stamps("2024-01-01"))).first()[0] == "the original sampling interval"
-    assert one.select(texts.series_json(F.array(F.lit("a"), F.lit("b"), F.lit("a")), F.array(F.lit(1.0), F.lit(2.12345678), F.lit(3.0)))).first()[0] == '{"b": 2.123457, "a": 3.0}'
+    assert one.select(texts.series_json(F.array(F.lit("a"), F.lit("b"), F.lit("a")), F.array(F.lit(1.0), F.lit(2.12345678), F.lit(3.0)))).first()[0] == '{"a": 3.0, "b": 2.123457}'
 
 
 def test_prompt_parts(spark):
@@ -104,7 +104,7 @@ def test_memory(spark, tmp_path):
     (tmp_path / "object.json").write_text('{"entries": [' + entry % (2, "x", 2) + "]}")
     e = memory.load_json(spark, str(tmp_path / "list.json")).unionByName(memory.load_json(spark, str(tmp_path / "object.json")))
     assert sorted(len(r.vector) for r in e.collect()) == [29] * 4
-    memory.append(e, str(tmp_path / "m"))
+    assert memory.append(e, str(tmp_path / "m"), "first") == 4 and memory.append(e, str(tmp_path / "m"), "first") == 0 and memory.append(e, str(tmp_path / "m"), "again") == 0
     back = memory.read(spark, str(tmp_path / "m"))
     assert {(r.dataset_name, r.entries, tuple(r.models)) for r in memory.sizes(back).collect()} == {("x", 2, ("m0", "m2")), ("y", 1, ("m1",)), ("", 1, ("m4",))}
     w = spark.createDataFrame([("x", k) for k in range(6)] + [("y", k) for k in range(6)], "sid string, wid long")
