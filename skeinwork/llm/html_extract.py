@@ -1,21 +1,26 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged: a style node is a host and a path of block elements with their classes (digits aside),
-named by a 64-bit hash. Its content node holds the texts that pages show there, its presentation node the sequences of its
-child elements. Importance of a node, over the pages that have it (copies, pages of a host with the same text outside
+named by a 64-bit hash. Its content node holds the texts that pages show there (all of the branch for a node with a name, those of
+the node itself for others), its presentation node the sequences of its child elements. Importance of a node, over the pages that have it (copies, pages of a host with the same text outside
 furniture, count once):
 
-    (CONTENT * entropy of contents + (1 - CONTENT) * entropy of presentations + INSIDE if within article or main) * NAMED if named
+    (CONTENT * entropy of contents + (1 - CONTENT) * entropy of presentations + INSIDE if within article or main) * factor of its name
 
 with the number of pages as base of the entropies: 0 if all show the same, 1 if each shows its own; 1 for nodes on fewer than
-LEAST_PAGES pages, where nothing can be said. Names of elements and classes of page furniture are evidence, a factor that no
-entropy makes up for, except where form elements or class words name a branch that holds the page's content: over half of its
-text and all article and main elements, on most pages. Branches of importance below LEAST_IMPORTANCE are removed from each page,
+LEAST_PAGES pages, where nothing can be said. Names of elements, classes, roles and ids are evidence. Weak ones (a header
+within an article, legal, disclaimer) lower importance by WEAKLY, so a node that shows something of its own on each page stays
+and one that repeats itself goes. Strong ones (menus, footers, adverts, comments, notices, forms) lower it by NAMED,
+which only weighs less where form elements or class words name a branch that holds the page's content: over half of its
+text and all article and main elements, on most pages. A class or id is a name as a whole: all its parts are words of furniture
+or of place, or its last part is a strong word; has-sidebar, article-header or legal-history are none. An article's headings are never
+removed by a name of theirs or of a header around them. Branches of importance below LEAST_IMPORTANCE are removed from each page,
 wherever they are. A passage that pages share stays where the other texts of its node differ.
 
 Entropies come from counts by (host, node, value), summed by task before the shuffle, so a host with a third of all pages is
-no hot key. What is low is a list of hashes a host, joined to pages by host: broadcast if all lists together are small, else by a
-shuffle join that Spark may split.
+no hot key. What can't be told from a page alone, nodes on LEAST_PAGES pages or more that are low without a strong name or high in spite of
+one, is a table of hashes by host. It is broadcast once where it is small; else each page is joined to its own nodes of the table
+alone, by (host, path), so no list of a whole host travels with every page.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ LEAST_IMPORTANCE = 0.3
 CONTENT = 0.9
 INSIDE = 0.15
 NAMED = 0.25
+WEAKLY = 0.5
 LEAST_PAGES = 4
 BROADCAST_BYTES = 32 << 20
 
@@ -45,20 +51,26 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
 FURNITURE_TAGS = frozenset("nav header footer aside dialog menu button fieldset".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead "
-    "footer sidebar aside widget related recommended share sharing social comment comments respond reply replies disqus cookie cookies consent "
-    "notice notices alert popup modal newsletter subscribe signup login search form pagination pager toolbar topbar legal copyright disclaimer".split()
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer contentinfo sidebar aside complementary related recommended share sharing social comment comments respond reply replies disqus cookie cookies consent "
+    "notice notices alert popup modal dialog newsletter subscribe signup login search pagination pager toolbar topbar copyright widget widgets".split()
 )
+WEAK_WORDS = frozenset("header masthead legal disclaimer form".split())
+PLACE_WORDS = frozenset(
+    "site page global main top bottom left right primary secondary wrapper wrap container holder box block list area section zone region "
+    "link links bar inner outer slot unit panel item items sticky fixed floating small large big mobile desktop group grid row col column 0".split()
+)
+STATE_WORDS = frozenset("no not has have with without is hide hidden show".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav main form h1 h2 h3 h4 h5 h6 blockquote pre hr address fieldset figure".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-SKIP, TAG, WORD = 3, 2, 1  # how a node is named furniture: never shown, by its element, by a class or form
+SKIP, TAG, WORD, WEAK = 4, 3, 2, 1  # how a node is named furniture: never shown, by its element, by a strong word or a form, by a weak word
 
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 _STOP = re.compile("[>\"']")
-_NAMES = re.compile(r"(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"\b(class|role|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile("[0-9]+")
@@ -70,15 +82,30 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def named_by(names: str) -> int:
+    """WORD, WEAK or 0 by the words of a class, role or id, each taken as a whole."""
+    found = 0
+    for token in names.split():
+        parts = [p for p in _PARTS.split(_DIGITS.sub("0", token)) if p]
+        if not parts or STATE_WORDS.intersection(parts):
+            continue
+        strong = STRONG_WORDS.intersection(parts)
+        if parts[-1] in STRONG_WORDS or strong and all(p in STRONG_WORDS or p in WEAK_WORDS or p in PLACE_WORDS for p in parts):
+            return WORD
+        if WEAK_WORDS.intersection(parts) and all(p in WEAK_WORDS or p in PLACE_WORDS for p in parts):
+            found = WEAK
+    return found
+
+
 def signed(x: int) -> int:
     return (x & _M64) - (1 << 63)
 
 
 class Node:
-    __slots__ = ("parent", "tag", "path", "kind", "inside", "last", "style", "chars", "mains")
+    __slots__ = ("parent", "tag", "path", "kind", "inside", "head", "last", "style", "chars", "mains")
 
-    def __init__(self, parent: int, tag: str, path: int, kind: int, inside: bool):
-        self.parent, self.tag, self.path, self.kind, self.inside = parent, tag, path, kind, inside
+    def __init__(self, parent: int, tag: str, path: int, kind: int, inside: bool, head: bool = False):
+        self.parent, self.tag, self.path, self.kind, self.inside, self.head = parent, tag, path, kind, inside, head
         self.last = self.style = self.chars = 0
         self.mains = int(tag in ("article", "main"))
 
@@ -169,12 +196,16 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             close(tag, SELF_CLOSING[tag])
         if tag in VOID or alone:
             continue
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
-        named = bool(FURNITURE_WORDS.intersection(_PARTS.split(names))) and tag not in ("article", "main", "body", "html")
-        kind = SKIP if tag in SKIPPED else TAG if tag in FURNITURE_TAGS else WORD if named or tag == "form" else 0
+        names = [(k.lower(), (a or b or c).lower()) for k, a, b, c in _NAMES.findall(attributes)] if "=" in attributes else []
         up = stack[-1]
-        if tag in HEADINGS and nodes[up].tag == "header" and nodes[up].inside and not kind:
-            up = nodes[up].parent  # the article's own heading
+        inside = nodes[up].inside
+        word = 0 if tag in ("article", "main", "body", "html") or inside and tag in HEADINGS else named_by(" ".join(v for _, v in names))
+        kind = SKIP if tag in SKIPPED else TAG if tag in FURNITURE_TAGS and not (tag == "header" and inside) else WORD if tag == "form" else max(word, WEAK if tag == "header" else 0)
+        head = kind == WEAK and inside and (tag == "header" or any("header" in v or "masthead" in v for _, v in names))
+        if tag in HEADINGS:
+            while nodes[up].head:
+                up = nodes[up].parent  # the article's own heading
+        names = " ".join(v for k, v in names if k != "id")
         label = xxhash.xxh3_64_intdigest(f"{tag}.{_DIGITS.sub('0', names)}")
         above = nodes[up]
         if label != above.last:
@@ -183,7 +214,7 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         path = xxhash.xxh3_64_intdigest(label.to_bytes(8, "little"), seed=above.path)
         stack.append(len(nodes))
         opened[tag] += 1
-        nodes.append(Node(up, tag, path, kind, above.inside or tag in ("article", "main")))
+        nodes.append(Node(up, tag, path, kind, above.inside or tag in ("article", "main"), head))
     flush()
     return nodes, texts
 
@@ -191,43 +222,65 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 NODES = "host string, page long, path long, content long, style long, kind int, holds boolean, inside boolean"
 
 
+def measured(nodes: list[Node]) -> None:
+    """Add up the text and the article and main elements below each node."""
+    for n in reversed(nodes[1:]):
+        nodes[n.parent].chars += n.chars
+        nodes[n.parent].mains += n.mains
+
+
+def holds(n: Node, page: Node) -> bool:
+    """Whether a branch named by a word holds the page's content."""
+    return n.kind == WORD and 2 * n.chars > page.chars and n.mains == page.mains
+
+
 def page_nodes(page: str) -> tuple[int, list[tuple]]:
     """Hash of the page's text outside furniture; and path, content, presentation, kind, whether it holds the page's content, whether inside, of its style nodes with text or a name."""
     nodes, texts = parsed(page)
     named = [False] * len(nodes)
     for k, n in enumerate(nodes):
-        named[k] = bool(n.kind) or (k > 0 and named[n.parent])
-    for n in reversed(nodes[1:]):
-        nodes[n.parent].chars += n.chars
-        nodes[n.parent].mains += n.mains
+        named[k] = n.kind > WEAK or (k > 0 and named[n.parent])
+    measured(nodes)
+    branch = [0] * len(nodes)  # hash of all text below a node
+    for k, block in texts:
+        branch[k] += xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass"))
+    for k in range(len(nodes) - 1, 0, -1):
+        branch[nodes[k].parent] += xxhash.xxh3_64_intdigest((branch[k] & _M64).to_bytes(8, "little"))
     text, shown = xxhash.xxh3_64(), {}
     for k, n in enumerate(nodes):
         if n.kind:
-            holds = n.kind == WORD and 2 * n.chars > nodes[0].chars and n.mains == nodes[0].mains
             row = shown.setdefault(n.path, [xxhash.xxh3_64(), 0, n.kind, False, n.inside])
+            row[0].update((branch[k] & _M64).to_bytes(8, "little"))
             row[1] = (row[1] * 31 + n.style) & _M64
-            row[3] |= holds
+            row[3] |= holds(n, nodes[0])
     for k, block in texts:
         n, data = nodes[k], block.encode("utf-8", "surrogatepass") + b"\0"
         row = shown.setdefault(n.path, [xxhash.xxh3_64(), 0, 0, False, n.inside])
-        row[0].update(data)
-        row[1] = (row[1] * 31 + n.style) & _M64
+        if not n.kind:
+            row[0].update(data)
+            row[1] = (row[1] * 31 + n.style) & _M64
         if not named[k]:
             text.update(data)
-    return signed(text.intdigest()), [(signed(p), signed(h.intdigest()), signed(s), kind, holds, inside) for p, (h, s, kind, holds, inside) in shown.items()]
+    return signed(text.intdigest()), [(signed(p), signed(h.intdigest()), signed(s), kind, holding, inside) for p, (h, s, kind, holding, inside) in shown.items()]
+
 
+def main_text(page: str, told: dict[int, bool]) -> str:
+    """The blocks that are left when branches of low importance are removed.
 
-def main_text(page: str, low: frozenset[int]) -> str:
-    """The blocks that are left when branches of low importance are removed."""
+    told: what the host's tree says of nodes by path, True for low. Of others the page decides: strongly named branches go
+    unless they hold its content.
+    """
     nodes, texts = parsed(page)
+    measured(nodes)
     gone = [False] * len(nodes)
     for k, n in enumerate(nodes):
-        gone[k] = signed(n.path) in low or (k > 0 and gone[n.parent])
+        own = n.kind >= TAG or told.get(signed(n.path), n.kind == WORD and not holds(n, nodes[0]))
+        gone[k] = own or (k > 0 and gone[n.parent])
     return "\n\n".join(t for k, t in texts if not gone[k])
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, pages (copies counted once), importance of every style node."""
+    """host, path, pages (copies counted once), kind and importance of every style node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -250,14 +303,16 @@ def style_nodes(pages: DataFrame) -> DataFrame:
         s = F.sum(F.when(of, F.col("count") * F.ln("count")).otherwise(0.0))
         return F.when(n >= LEAST_PAGES, (F.ln(n) - s / n) / F.ln(n)).otherwise(F.lit(1.0))
 
-    named = (F.max("kind") >= TAG) | ((F.max("kind") == WORD) & (F.sum(F.when(F.col("x.c"), F.col("holds")).otherwise(0)) * 2 <= n))
+    strong = (F.max("kind") >= TAG) | ((F.max("kind") == WORD) & (F.sum(F.when(F.col("x.c"), F.col("holds")).otherwise(0)) * 2 <= n))
+    factor = F.when(strong, NAMED).when(F.max("kind") == WEAK, WEAKLY).otherwise(1.0)
     importance = CONTENT * entropy(F.col("x.c")) + (1 - CONTENT) * entropy(~F.col("x.c")) + F.when(F.max("inside"), INSIDE).otherwise(0.0)
-    return counts.groupBy("host", "path").agg(n.alias("pages"), F.round(importance * F.when(named, NAMED).otherwise(1.0), 9).alias("importance"))
+    return counts.groupBy("host", "path").agg(n.alias("pages"), F.max("kind").alias("kind"), F.round(importance * factor, 9).alias("importance"))
 
 
-def low_paths(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """host and the list of its nodes of low importance."""
-    return style_nodes(pages).where(F.col("importance") < least).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+def verdicts(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """host, path, low: what pages can't tell by themselves. Nodes on LEAST_PAGES pages or more that are low without a strong name, and all of those that a strong word names."""
+    low = F.col("importance") < least
+    return style_nodes(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("kind") < TAG) & (low | (F.col("kind") == WORD))).select("host", "path", low.alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -267,14 +322,46 @@ def extract(pages: DataFrame) -> DataFrame:
     no rows. A very long page is parsed in one task, in time linear in its length, whatever its markup.
     """
 
+    def emit(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    spark = pages.sparkSession
+    table = written(verdicts(pages), work_dir(spark, "style-trees"), "verdicts")
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"])
+    size = table.agg(F.coalesce(F.sum(F.octet_length("host") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        told: dict[str, dict[int, bool]] = {}
+        for r in table.collect():  # at most BROADCAST_BYTES
+            told.setdefault(r.host, {})[r.path] = r.low
+        shared = spark.sparkContext.broadcast(told)
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in few_rows(batches):
+                hosts = map(host, batch.column(1).to_pylist())
+                yield emit(batch, [main_text(x or "", shared.value.get(h, {})) for h, x in zip(hosts, batch.column(2).to_pylist(), strict=True)])
+
+        return rows.mapInArrow(alone, OUT)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            known = [{x["path"]: x["low"] for x in own or ()} for own in batch.column(3).to_pylist()]
+            yield emit(batch, [main_text(x or "", k) for x, k in zip(batch.column(2).to_pylist(), known, strict=True)])
+
+    key = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))  # equal pages have equal nodes
+    own = page_paths(rows.select(key.alias("key"), "url", "html")).join(table, ["host", "path"]).groupBy("key").agg(F.collect_set(F.struct("path", "low")).alias("told"))
+    return rows.withColumn("key", key).join(own, "key", "left").select("page_id", "url", "html", "told").mapInArrow(joined, OUT)
+
+
+OUT = "page_id long, url string, text string, n_chars long"
+
+
+def page_paths(pages: DataFrame) -> DataFrame:
+    """key, host, path of every style node of every page (key, url, html), each once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            texts = [main_text(x or "", frozenset(low or ())) for x, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    low = written(low_paths(pages), work_dir(pages.sparkSession, "style-trees"), "low")
-    host_of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], pages["html"]).withColumn("host", host_of)
-    size = low.agg(F.coalesce(F.sum(F.octet_length("host") + 8 * F.size("low") + 64), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left")
-    return joined.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            rows = [(k, h, p) for k, h, x in zip(batch.column(0).to_pylist(), map(host, batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True) for p in {signed(n.path) for n in parsed(x or "")[0]}]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["key", "host", "path"])
+
+    return pages.select("key", "url", "html").mapInArrow(run, "key long, host string, path long").distinct()
