@@ -52,7 +52,10 @@ _STRIP = b".,;:!?\"'()[]*#$%&-_"
 
 
 class Words(dict):
-    """A word's bytes to its row here; rows hold the word's embedding buckets and the language that it marks."""
+    """A word's bytes to its row here; rows hold the word's embedding buckets and the language that it marks.
+
+    New words are collected while a text is looked up and get their rows together.
+    """
 
     def __init__(self, project=None, limit: int = 200_000):
         super().__init__()
@@ -64,28 +67,42 @@ class Words(dict):
         self.subs = np.zeros((1024, 1 + len(PREFIXES)), np.int32)
         self.langs = np.zeros(1024, np.int32)
         self.rows = np.zeros((1024, self.project.shape[1]), np.float32) if self.project is not None else None
+        self.filled, self.new_subs, self.new_langs, self.collecting = 0, [], [], False
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.strip(_STRIP).decode("utf-8", "replace").lower()
         self[raw] = k = len(self)
-        if k == len(self.langs):
+        # bucket 0 stays empty: for short words' missing parts
+        self.new_subs += [1 + xxhash.xxh3_64_intdigest(x) % (BUCKETS - 1) if x else 0 for x in (word, *[f"{n} {word[:n]}" if len(word) > n else "" for n in PREFIXES])]
+        self.new_langs.append(1 + _LANG[word] if word in _LANG else 0)
+        if not self.collecting:
+            self._fill()
+        return k
+
+    def _fill(self) -> None:
+        a, b = self.filled, len(self)
+        while b > len(self.langs):
             self.subs = np.concatenate([self.subs, np.zeros_like(self.subs)])
             self.langs = np.concatenate([self.langs, np.zeros_like(self.langs)])
             if self.rows is not None:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        # bucket 0 stays empty: for short words' missing parts
-        self.subs[k] = [1 + xxhash.xxh3_64_intdigest(x) % (BUCKETS - 1) if x else 0 for x in (word, *[f"{n} {word[:n]}" if len(word) > n else "" for n in PREFIXES])]
-        self.langs[k] = 1 + _LANG[word] if word in _LANG else 0
+        self.subs[a:b] = np.asarray(self.new_subs, np.int32).reshape(b - a, -1)
+        self.langs[a:b] = self.new_langs
         if self.rows is not None:
-            self.rows[k] = self.project[self.subs[k]].sum(0)
-        return k
+            self.rows[a:b] = sum(self.project[self.subs[a:b, j]] for j in range(self.subs.shape[1]))
+        self.filled, self.new_subs, self.new_langs = b, [], []
 
     def of(self, text: bytes) -> np.ndarray:
         """Rows of a text's words, valid until the next text."""
         if len(self) > self.limit:
             self._reset()
         words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        self.collecting = True
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        self.collecting = False
+        if len(self) > self.filled:
+            self._fill()
+        return at
 
 
 @dataclass
