@@ -176,12 +176,74 @@ def exogenous_ranking(pairs: DataFrame, top: int = 3) -> DataFrame:
     return c.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
 
 
-def strongest_channel(pairs: DataFrame, most: int = 8) -> DataFrame:
+def paired(target: DataFrame, others: DataFrame) -> DataFrame:
+    """sid, wid, other, ys, xs: windows of target channels (sid, wid, hist) by those of others (other, wid, hist), a row a pair, from one join by window number."""
+    return target.select("sid", "wid", F.col("hist").alias("ys")).join(others.select("other", "wid", F.col("hist").alias("xs")), "wid").select("sid", "wid", "other", "ys", "xs")
+
+
+def array_correlation(ys: Column, xs: Column) -> Column:
+    """Pearson correlation of two arrays over the places where both are finite numbers; 0 where one doesn't vary or fewer than two are left.
+
+    One pass over values shifted by the first pair, so that nothing is lost to a large mean.
+    """
+    both = F.filter(F.zip_with(ys, xs, lambda y, x: F.struct(finite(y).alias("y"), finite(x).alias("x"))), lambda p: p["y"].isNotNull() & p["x"].isNotNull())
+
+    def of(p: Column) -> Column:
+        first = F.get(p, F.lit(0))
+        zero = F.lit(0.0)
+        start = F.struct(zero.alias("y"), zero.alias("x"), zero.alias("yy"), zero.alias("xx"), zero.alias("xy"))
+
+        def add(a: Column, v: Column) -> Column:
+            y, x = v["y"] - first["y"], v["x"] - first["x"]
+            return F.struct((a["y"] + y).alias("y"), (a["x"] + x).alias("x"), (a["yy"] + y * y).alias("yy"), (a["xx"] + x * x).alias("xx"), (a["xy"] + x * y).alias("xy"))
+
+        def end(a: Column) -> Column:
+            n = F.size(p)
+            var = lambda q, s: F.greatest(a[q] * n - a[s] * a[s], zero)
+            scale = F.sqrt(var("yy", "y")) * F.sqrt(var("xx", "x"))
+            flat = (F.size(F.array_distinct(F.transform(p, lambda v: v["y"]))) < 2) | (F.size(F.array_distinct(F.transform(p, lambda v: v["x"]))) < 2)
+            return F.when(flat | (scale == 0), zero).otherwise((a["xy"] * n - a["x"] * a["y"]) / scale)
+
+        return F.aggregate(p, start, add, end)
+
+    return F.get(F.transform(F.array(both), of), F.lit(0))
+
+
+def lagged(pairs: DataFrame, most: int = 8) -> DataFrame:
+    """pairs (sid, wid, other, ys, xs) with c: (lag, correlation) at lags of up to `most` and a quarter of the window either way. Narrow: a row is all it takes."""
+    n = F.size("ys")
+    reach = F.least(F.lit(most), F.floor(n / 4).cast("int"))
+    part = lambda a, start, gap: F.slice(F.col(a), start + 1, F.greatest(n - gap, F.lit(0)))
+    zero = F.lit(0)
+
+    def at(lag: Column) -> Column:
+        ys = part("ys", F.greatest(lag, zero), F.abs(lag))
+        xs = part("xs", F.greatest(-lag, zero), F.abs(lag))
+        return F.struct(lag.cast("long").alias("lag"), rounded(array_correlation(ys, xs)).alias("c"))
+
+    return pairs.select(*KEYS, "other", F.transform(F.sequence(-reach, reach), at).alias("c"))
+
+
+def lead_lag_rows(pairs: DataFrame, most: int = 8) -> DataFrame:
+    """What lead_lag() gives, from pairs() rows: sid, wid, other, lag, peak; and the correlation at lag 0."""
+    order = lambda x: F.struct((-F.abs(x["c"])).alias("a"), (x["lag"] != 0).alias("z"), x["lag"].alias("lag"), x["c"].alias("c"))
+    best = F.array_min(F.transform("c", order))
+    plain = F.get(F.filter("c", lambda x: x["lag"] == 0), F.lit(0))["c"]
+    found = lagged(pairs, most).select(*KEYS, "other", best.alias("b"), plain.alias("correlation"))
+    return found.select(*KEYS, "other", F.col("b.lag").alias("lag"), F.col("b.c").alias("peak"), "correlation")
+
+
+def strongest_row(pairs: DataFrame, most: int = 8) -> DataFrame:
     """The channel with the largest peak of each window, the first by name on ties: other, correlation at lag 0, lag, peak."""
-    keys = [*KEYS, "other"]
-    plain = pairs.groupBy(*keys).agg(rounded(correlation(F.col("y"), F.col("x"))).alias("correlation"))
-    both = lead_lag(pairs, most).join(plain, keys)
-    return both.groupBy(*KEYS).agg(F.min(F.struct((-F.abs("peak")).alias("a"), "other", "correlation", "lag", "peak")).alias("b")).select(*KEYS, "b.other", "b.correlation", "b.lag", "b.peak")
+    least = F.min(F.struct((-F.abs("peak")).alias("a"), "other", "correlation", "lag", "peak"))
+    return lead_lag_rows(pairs, most).groupBy(*KEYS).agg(least.alias("b")).select(*KEYS, "b.other", "b.correlation", "b.lag", "b.peak")
+
+
+def strongest_channel(pairs: DataFrame, most: int = 8) -> DataFrame:
+    """strongest_row() of pairs as points (sid, wid, pos, other, y, x)."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "y", "x")))
+    arrays = pairs.groupBy(*KEYS, "other").agg(rows.alias("r")).select(*KEYS, "other", F.transform("r", lambda v: v["y"]).alias("ys"), F.transform("r", lambda v: v["x"]).alias("xs"))
+    return strongest_row(arrays, most)
 
 
 def series_statistics(series: DataFrame) -> DataFrame:

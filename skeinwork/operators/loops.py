@@ -84,7 +84,7 @@ def remembered(windows: DataFrame, entries: DataFrame, k: int = 3, least: float
     """sid, wid, remembered: tools of the k most similar entries of the memory, each once, the most similar entry's first."""
     q = windows.select(F.struct(*KEYS).alias("query"), similarity.embedding(F.col("hist")).alias("v"))
     e = entries.select(F.struct(F.coalesce("dataset_name", F.lit("")).alias("d"), "idx").alias("item"), F.col("vector").alias("u"), F.transform("tool_calls", lambda x: x["tool_name"]).alias("names"))
-    near = similarity.nearest(q, e.select("item", "u"), k, least).join(e.select("item", "names"), "item")
+    near = similarity.nearest_pruned(q, e.select("item", "u"), k, least).join(e.select("item", "names"), "item")
     lists = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "names"))).alias("a"))
     return lists.select("query.*", F.array_distinct(F.flatten(F.transform("a", lambda x: F.coalesce(x["names"], F.array().cast("array<string>"))))).alias("remembered"))
 

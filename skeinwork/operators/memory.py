@@ -144,7 +144,7 @@ def sizes(entries: DataFrame) -> DataFrame:
 
 def retrieved(queries: DataFrame, entries: DataFrame, k: int = 3, least: float = 0.8) -> DataFrame:
     """query, item, sim, rank: the k entries most similar to each query (query, v), at least `least`."""
-    return similarity.nearest(queries, entries.select(F.col("idx").alias("item"), F.col("vector").alias("u")), k, least)
+    return similarity.nearest_pruned(queries, entries.select(F.col("idx").alias("item"), F.col("vector").alias("u")), k, least)
 
 
 def accepted(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from skeinwork.operators.windows import deviation, differences, mean, samples, slope, total, zscored
 
@@ -77,3 +83,109 @@ def nearest(queries: DataFrame, entries: DataFrame, k: int, threshold: float = -
     e = entries.select(all_in, F.col("item").alias("id"), F.struct("item", unit(F.col("u")).alias("u")).alias("e"), n)
     pairs = blocked(q, e).select("q.query", "e.item", F.round(dot(F.col("q.v"), F.col("e.u")), 9).alias("sim"))
     return top_k(pairs.where(F.col("sim") >= threshold), "query", "item", k)
+
+
+PIVOTS = 32
+RING = 0.05
+SLACK = 1e-6
+
+
+@dataclass
+class Cells:
+    """Entries by the pivot nearest to them and the ring of their angle to it: a bounded summary, PIVOTS * (pi / RING + 1) cells at most."""
+
+    pivots: np.ndarray
+    pivot: np.ndarray  # of each cell
+    low: np.ndarray
+    high: np.ndarray
+    count: np.ndarray
+
+    def wanted(self, q: np.ndarray, k: int, least: float) -> list[np.ndarray]:
+        """For each query the cells that may hold one of its k nearest entries with a cosine of `least` or more.
+
+        An entry of a cell is at an angle of at least max(a - high, low - a) and at most a + high from a query at angle a from the pivot. Cells
+        in order of the latter hold k entries by some bound; what begins beyond it can't be among the k nearest. Angles are a metric.
+        """
+        a = np.arccos(np.clip(q @ self.pivots.T, -1, 1))[:, self.pivot]
+        near, far = np.maximum(0, np.maximum(a - self.high, self.low - a)), a + self.high
+        out = []
+        for lo, hi in zip(near, far):
+            order = np.argsort(hi)
+            full = np.cumsum(self.count[order])
+            at = int(np.searchsorted(full, k))
+            bound = hi[order[at]] if at < len(order) else np.pi
+            out.append(np.nonzero(lo <= min(bound, np.arccos(np.clip(least, -1, 1))) + SLACK)[0])
+        return out
+
+
+def _units(column: pd.Series, width: int) -> np.ndarray:
+    v = np.stack([np.asarray(x, float) for x in column]) if len(column) else np.zeros((0, width))
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
+
+
+def celled(entries: DataFrame, pivots: int = PIVOTS, ring: float = RING) -> tuple[DataFrame, Cells | None]:
+    """entries (item, u) with their cell number, and the cells; None without entries. Pivots are the entries of least hash."""
+    spark = entries.sparkSession
+    few = entries.select("u", F.xxhash64("u").alias("h")).distinct().orderBy("h").limit(pivots).collect()  # `pivots` rows
+    if not few:
+        return entries.withColumn("cell", F.lit(0)), None
+    points = _units(pd.Series([r.u for r in few]), len(few[0].u))
+    schema = StructType([*entries.select("item", "u").schema.fields, StructField("pivot", IntegerType()), StructField("angle", DoubleType())])
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            a = np.arccos(np.clip(_units(part["u"], points.shape[1]) @ points.T, -1, 1))
+            yield part.assign(pivot=a.argmin(1).astype("int32"), angle=a.min(1))
+
+    placed = entries.select("item", "u").mapInPandas(place, schema).withColumn("ring", F.floor(F.col("angle") / ring).cast("int"))
+    stats = placed.groupBy("pivot", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).orderBy("pivot", "ring").collect()
+    numbers = spark.createDataFrame([(r.pivot, r.ring, i) for i, r in enumerate(stats)], "pivot int, ring int, cell int")
+    cells = Cells(points, *(np.asarray([getattr(r, c) for r in stats]) for c in ("pivot", "low", "high", "n")))
+    return placed.join(F.broadcast(numbers), ["pivot", "ring"]).select("item", "u", "cell"), cells
+
+
+def nearest_pruned(queries: DataFrame, entries: DataFrame, k: int, threshold: float = -1.0, pivots: int = PIVOTS, ring: float = RING) -> DataFrame:
+    """The rows of nearest(), comparing each query only with the cells of entries that its bounds leave open. compared() counts the pairs.
+
+    Vectors must not be all zeros for the bounds to hold; such ones are compared with everything. A cell with most of the
+    entries is dealt over SALTS.
+    """
+    pairs = _open_pairs(queries, entries, k, threshold, pivots, ring)
+    if pairs is None:
+        return nearest(queries, entries, k, threshold)
+    sims = pairs.select("query", "item", F.round(dot(F.col("v"), F.col("u")), 9).alias("sim"))
+    return top_k(sims.where(F.col("sim") >= threshold), "query", "item", k)
+
+
+def compared(queries: DataFrame, entries: DataFrame, k: int, threshold: float = -1.0, pivots: int = PIVOTS, ring: float = RING) -> int:
+    """Number of pairs that nearest_pruned() compares."""
+    pairs = _open_pairs(queries, entries, k, threshold, pivots, ring)
+    return 0 if pairs is None else pairs.count()
+
+
+def _open_pairs(queries, entries, k, threshold, pivots, ring) -> DataFrame | None:
+    known = entries.where(F.exists("u", lambda x: x != 0))
+    zeros = entries.where(~F.exists("u", lambda x: x != 0))
+    placed, cells = celled(known, pivots, ring)
+    if cells is None:
+        return None
+    fields = queries.select("query", "v").schema.fields
+    schema = StructType([*fields, StructField("cells", ArrayType(IntegerType()))])
+
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = cells.wanted(_units(part["v"], cells.pivots.shape[1]), k, threshold)
+            zero = np.asarray([not np.any(np.asarray(v, float)) for v in part["v"]])
+            every = np.arange(len(cells.pivot))
+            yield part.assign(cells=[(every if z else f).astype("int32").tolist() for f, z in zip(found, zero)])
+
+    q = queries.select("query", "v").mapInPandas(choose, schema).select("query", unit(F.col("v")).alias("v"), F.explode("cells").alias("cell"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    e = placed.select("item", unit(F.col("u")).alias("u"), "cell", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int").alias("salt"))
+    open_ = q.join(e, ["cell", "salt"]).select("query", "v", "item", "u")
+    if zeros.take(1):  # their cosine is 0 with everything, and no angle is theirs
+        all_in, n = F.lit(0).alias("sid"), F.lit(max(1, -(-queries.count() // BLOCK))).alias("n")
+        more = blocked(queries.select(all_in, F.col("query").alias("id"), F.struct("query", unit(F.col("v")).alias("v")).alias("q"), n), zeros.select(all_in, F.col("item").alias("id"), F.struct("item", unit(F.col("u")).alias("u")).alias("e"), n))
+        open_ = open_.unionByName(more.select("q.query", "q.v", "e.item", "e.u"))
+    return open_

@@ -216,6 +216,14 @@ def channels(spark, sf_dir):
     return y.join(x, ["wid", "pos"]).select("sid", "wid", "pos", "other", "y", "x")
 
 
+def channel_rows(spark, sf_dir):
+    """The same as a row a window and other channel; the windows are made once and written, since both sides read them."""
+    folder, w = loops.shared_folder(spark, "channels"), hourly(spark, sf_dir).select("sid", "wid", "hist")
+    w.write.parquet(folder)
+    w = spark.read.schema(w.schema).parquet(folder)
+    return features.paired(w.where("sid = 'purchase'"), w.where("sid <> 'purchase'").withColumnRenamed("sid", "other"))
+
+
 _PAIRS = HOUR_SQL + ", pr AS (SELECT y.sid, y.wid, y.pos, x.sid AS other, y.y, x.y AS x FROM h y JOIN h x ON x.wid = y.wid AND x.pos = y.pos WHERE y.sid = 'purchase' AND x.sid <> 'purchase')"
 
 
@@ -227,6 +235,13 @@ def tool_exogenous(spark, sf_dir):
 @query(_PAIRS + f", g AS (SELECT y.sid, y.wid, y.other, l.l AS lag, round({_ACF.format('y.y', 'x.x')}, 6) AS c FROM pr y, (SELECT unnest(range(-8, 9)) AS l) l JOIN pr x ON x.sid = y.sid AND x.wid = y.wid AND x.other = y.other AND x.pos = y.pos - l.l GROUP BY ALL) "
        "SELECT sid, wid, other, lag, c AS peak FROM g QUALIFY row_number() OVER (PARTITION BY sid, wid, other ORDER BY abs(c) DESC, lag <> 0, lag) = 1")
 def tool_cross_channel(spark, sf_dir):
+    return features.lead_lag_rows(channel_rows(spark, sf_dir)).drop("correlation")
+
+
+@query(_PAIRS + f", g AS (SELECT y.sid, y.wid, y.other, l.l AS lag, round({_ACF.format('y.y', 'x.x')}, 6) AS c FROM pr y, (SELECT unnest(range(-8, 9)) AS l) l JOIN pr x ON x.sid = y.sid AND x.wid = y.wid AND x.other = y.other AND x.pos = y.pos - l.l GROUP BY ALL) "
+       "SELECT sid, wid, other, lag, c AS peak FROM g QUALIFY row_number() OVER (PARTITION BY sid, wid, other ORDER BY abs(c) DESC, lag <> 0, lag) = 1")
+def cross_channel_of_points(spark, sf_dir):
+    """The same for pairs that come as points: each point meets its lags by a join within the window."""
     return features.lead_lag(channels(spark, sf_dir))
 
 
@@ -252,6 +267,17 @@ def vector_topk(spark, sf_dir):
     return out.select("query", "item", rounded(F.col("sim")).alias("sim"), "rank")
 
 
+@query(HOUR_SQL + f", {ARRAYS}, r AS (SELECT sid, wid, avg(y) AS m, stddev_pop(y) AS d, min(y) AS lo, max(y) AS hi, regr_slope(y, pos) AS s FROM h GROUP BY ALL), "
+       "x AS (SELECT a.sid, a.wid, list_transform(list_concat([m, d, lo, hi, s], list_transform(range(24), lambda i: a[(i * 167) // 23 + 1])), lambda v: v::FLOAT::DOUBLE) AS v FROM a JOIN r ON r.sid = a.sid AND r.wid = a.wid), "
+       "pq AS (SELECT q.sid, e.sid AS item_sid, e.wid AS item_wid, round(list_cosine_similarity(q.v, e.v), 9) AS sim FROM x q, x e WHERE q.wid = 0) SELECT sid, item_sid, item_wid, round(sim, 5) AS sim, row_number() OVER (PARTITION BY sid ORDER BY sim DESC, item_sid, item_wid) AS rank FROM pq WHERE sim >= 0.5 QUALIFY rank <= 3")
+def window_retrieval(spark, sf_dir):
+    """The windows most like the first one of each series, among all series, by their 29 values; cells that can't hold them are skipped."""
+    w = hourly(spark, sf_dir).select("sid", "wid", similarity.embedding(F.col("hist")).alias("u"))
+    e = w.select(F.struct("sid", "wid").alias("item"), "u")
+    out = similarity.nearest_pruned(w.where("wid % 100 = 0").select(F.struct("sid", "wid").alias("query"), F.col("u").alias("v")), e, 3, 0.5)
+    return out.select("query.sid", F.col("item.sid").alias("item_sid"), F.col("item.wid").alias("item_wid"), rounded(F.col("sim"), 5).alias("sim"), "rank")
+
+
 _BEST = _models(HOURLY) + ", bm AS (SELECT sid, wid, model AS best_model, mse FROM err QUALIFY row_number() OVER (PARTITION BY sid, wid ORDER BY mse, ord) = 1)"
 
 
@@ -522,7 +548,7 @@ def periodicity_ten_minutes(spark, sf_dir):
        "pk AS (SELECT sid, wid, other, lag, c AS peak FROM g QUALIFY row_number() OVER (PARTITION BY sid, wid, other ORDER BY abs(c) DESC, lag <> 0, lag) = 1) "
        "SELECT pk.sid, pk.wid, pk.other, g.c AS correlation, pk.lag, peak FROM pk JOIN g ON g.sid = pk.sid AND g.wid = pk.wid AND g.other = pk.other AND g.lag = 0 QUALIFY row_number() OVER (PARTITION BY pk.sid, pk.wid ORDER BY abs(peak) DESC, pk.other) = 1")
 def tool_strongest_channel(spark, sf_dir):
-    return features.strongest_channel(channels(spark, sf_dir))
+    return features.strongest_row(channel_rows(spark, sf_dir))
 
 
 @query("SELECT c_custkey, ('0x' || substr(md5(c_name), 1, 8))::BIGINT AS prompt_id FROM customer")

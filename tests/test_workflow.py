@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.functions import answers, surface
-from skeinwork.operators import exports, features, forecasting, library, loops, memory, spectrum, windows, workflow
+from skeinwork.operators import exports, features, forecasting, library, loops, memory, similarity, spectrum, windows, workflow
 from skeinwork.plans import registry
 from skeinwork.plans.registry import WindowSpec
 from skeinwork.sources import series, tables
@@ -335,3 +335,33 @@ def test_stream_of_forecasts(spark, sf_dir, tmp_path):
     last = max(t for _, t in want)
     missing = [k for k in want if k not in got]
     assert len(got) > 0.95 * len(want) and all(got[k] == want[k] for k in got) and all((last - t).total_seconds() < 3 * 3600 + 5 * 24 * 3600 for _, t in missing)
+
+
+def test_pruned_search(spark):
+    """The rows of the whole search, ties and zero vectors included, with fewer than half of the pairs where vectors lie in groups."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (12, 10))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.05, 10)).tolist()) for i in range(600)] + [(1000 + i, centres[3].tolist()) for i in range(300)] + [(2000, [0.0] * 10), (2001, (-centres[0]).tolist())]
+    e = spark.createDataFrame(rows, "item long, u array<double>").repartition(5)
+    q = e.where("item % 100 = 0").select(F.col("item").alias("query"), F.col("u").alias("v"))
+    for k, least in ((1, -1.0), (5, 0.3), (40, 0.9), (2000, -1.0)):
+        got = sorted(map(tuple, similarity.nearest_pruned(q, e, k, least).collect()))
+        assert got == sorted(map(tuple, similarity.nearest(q, e, k, least).collect())) and got
+    own = q.where("query < 2000")
+    n = own.count() * e.count()
+    assert similarity.compared(own, e, 5, 0.3) < n / 2
+    assert similarity.compared(own, e, 2000) >= own.count() * 901  # all of them are wanted
+    assert similarity.nearest_pruned(q, e.where("item < 0"), 3).collect() == []
+
+
+def test_channels_as_rows(spark, sf_dir):
+    rng = np.random.default_rng(9)
+    y, x = rng.normal(50, 3, 40), rng.normal(1e6, 2, 40)
+    x[5], y[7] = np.nan, np.inf
+    df = spark.createDataFrame([("a", 0, "x", y.tolist(), x.tolist()), ("a", 1, "x", [1.0] * 40, x.tolist()), ("a", 2, "x", [1.0], [2.0])], "sid string, wid long, other string, ys array<double>, xs array<double>")
+    got = {r.wid: {c.lag: c.c for c in r.c} for r in features.lagged(df, 8).collect()}
+    for lag in range(-8, 9):
+        a, b = (y[lag:], x[: 40 - lag]) if lag >= 0 else (y[:lag], x[-lag:])
+        ok = np.isfinite(a) & np.isfinite(b)
+        assert got[0][lag] == pytest.approx(np.corrcoef(a[ok], b[ok])[0, 1], abs=1e-5) and got[1][lag] == 0
+    assert got[2] == {0: 0.0}
