@@ -4,9 +4,10 @@ A window is WINDOW consecutive words; its fingerprint is the least hash of the G
 windows share one and equal windows always have equal ones. The index is a folder: a document file per batch (row key, text,
 the document's fingerprints), and sorted immutable runs of the distinct fingerprints of all batches so far. A new batch is
 hashed once, into its document file; its fingerprints are joined with the runs, and those that the history or the batch itself
-has before are shared. What is new becomes the next run; runs are merged to one when there are more than MAX_RUNS. The state
-(names of files and runs, next row key) is written last, so that an index is opened again from its folder as it was after the
-last complete batch.
+has before are shared. What is new becomes the next run. Runs lie on levels, one a level at most: a new run and those on the levels
+from 0 up without a gap are merged to one on the level above, so a fingerprint is written anew once a level, and there are as many
+runs as the number of batches has binary ones. The state (names of files and runs, next row key) is written last, so that an index is
+opened again from its folder as it was after the last complete batch; a batch whose keys begin below the next one is refused.
 
 Shared fingerprints are then verified on the windows themselves: the 64-bit hash of all WINDOW words of each occurrence, and
 the first by (document, start) stays. Documents of the history and the batch without a shared fingerprint are told by the
@@ -35,7 +36,7 @@ GRAM = 8
 RUN = 32
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 25
-MAX_RUNS = 1
+MAX_RUNS = 63  # one a level
 HOT_PARTS = 2000
 
 
@@ -147,7 +148,7 @@ def _passes(filter_words: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return ok
 
 
-STATE = "step int, runs array<string>, files array<string>"
+STATE = "step int, runs array<string>, files array<string>, next long"
 OCCURRENCES = "key long, rk long, pos int, todo long, known long, full binary"
 
 
@@ -246,17 +247,19 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.step, self.runs, self.files = 0, [], []
+        self.step, self.runs, self.files, self.next = 0, [], [], -(1 << 63)
         states = [int(x) for x in listed(spark, f"{folder}/state")]
         if states:
             last = spark.read.schema(STATE).parquet(f"{folder}/state/{max(states)}").first()  # one row
-            self.step, self.runs, self.files = last.step, list(last.runs), list(last.files)
+            self.step, self.runs, self.files, self.next = last.step, list(last.runs), list(last.files), last.next
 
     def _table(self, names: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{n}" for n in names])
 
     def add(self, docs: DataFrame, since: int) -> DataFrame:
         """Merge a batch (_rk, text; its row keys start at `since`, above all earlier ones) and return its repeated windows."""
+        if since < self.next:
+            raise ValueError(f"row keys below {self.next} are in the index already")
         step = self.step + 1
         files = [*self.files, f"documents-{step}"]
         batch = written(document_file(docs), self.folder, files[-1], "zstd")
@@ -272,25 +275,24 @@ class FingerprintIndex:
         hot = np.sort(np.asarray([r.fp for r in shared.where(F.col("c") > limit).select("fp").collect()], np.int64).view(np.uint64))
         bits = self.spark.sparkContext.broadcast(bloom(shared))
         out = written(repeated(occurrences(self._table(files, DOCUMENTS), bits, hot), since), self.folder, f"repeated-{step}")
-        runs = [*self.runs, f"run-{step}"]
-        if len(runs) > MAX_RUNS:
-            runs = self._compacted(merged, step)
-        else:
-            written(merged.where("NOT old").select("fp").repartitionByRange("fp").sortWithinPartitions("fp"), self.folder, runs[-1])
-        state = self.spark.createDataFrame([(step, runs, files)], STATE)
+        runs = self._levelled(merged.where("NOT old").select("fp"), step)
+        last = batch.agg(F.max("_rk")).first()[0]
+        following = max(self.next, since, since if last is None else last + 1)
+        state = self.spark.createDataFrame([(step, runs, files, following)], STATE)
         written(state, self.folder, f"state/{step}")
         for name in [f"merged-{step}", *set(self.runs).difference(runs)]:
             dropped(self.spark, f"{self.folder}/{name}")
-        self.step, self.runs, self.files = step, runs, files
+        self.step, self.runs, self.files, self.next = step, runs, files, following
         return out
 
-    def _compacted(self, merged: DataFrame, step: int) -> list[str]:
-        """All runs and the new fingerprints of a batch, which have none in common, merged to one sorted run."""
-        every = merged.where("NOT old").select("fp")
-        if self.runs:
-            every = every.unionByName(self._table(self.runs, "fp long"))
-        written(every.repartitionByRange("fp").sortWithinPartitions("fp"), self.folder, f"compacted-{step}")
-        return [f"compacted-{step}"]
+    def _levelled(self, new: DataFrame, step: int) -> list[str]:
+        """Write new fingerprints, merged with the runs of the lowest levels as far as these are taken, as one sorted run; runs have none in common."""
+        levels = {int(r.split("-")[1]): r for r in self.runs}
+        level = next(k for k in range(MAX_RUNS + 1) if k not in levels)
+        merged = [levels[k] for k in range(level)]
+        every = new.unionByName(self._table(merged, "fp long")) if merged else new
+        written(every.repartitionByRange("fp").sortWithinPartitions("fp"), self.folder, f"run-{level}-{step}")
+        return [*[r for r in self.runs if r not in merged], f"run-{level}-{step}"]
 
 
 def _spans(docs: DataFrame, batches: int) -> DataFrame:

@@ -527,6 +527,21 @@ def test_index_is_opened_again(spark, tmp_path):
                 gone[tuple(w[i : i + 20])] = 1
 
 
+def test_index_levels(spark, tmp_path):
+    """One run a level, as many as the number of batches has binary ones; old runs go, keys can't come twice, empty batches do no harm."""
+    folder = f"file://{tmp_path}/levels"
+    for k in range(9):
+        index = substring_dedup.FingerprintIndex(spark, folder)
+        text = " ".join(f"a{k}b{j}" for j in range(60))
+        index.add(spark.createDataFrame([(10 * k, text)] if k != 4 else [], "_rk long, text string"), 10 * k)
+        assert len(index.runs) == bin(k + 1).count("1") and len({r.split("-")[1] for r in index.runs}) == len(index.runs)
+        left = {p.name for p in (tmp_path / "levels").iterdir() if p.name.startswith("run-")}
+        assert left == set(index.runs)
+        assert substring_dedup.FingerprintIndex(spark, folder).next == (10 * k + 1 if k != 4 else 40)
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, folder).add(spark.createDataFrame([(3, "x")], "_rk long, text string"), 3)
+
+
 def by_place(spark, df):
     """Texts by place in the order of (id, nulls last, hash of the text), and each place's id."""
     rows = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
