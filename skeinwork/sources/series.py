@@ -82,18 +82,23 @@ def with_positions(rows: DataFrame) -> DataFrame:
     return placed.select("sid", (F.col("_b") + F.col("_i")).cast("long").alias("pos"), "ts", "y")
 
 
-def filled(cells: DataFrame, unit: str) -> DataFrame:
+def filled(cells: DataFrame, unit: str, bounds: tuple | None = None) -> DataFrame:
     """cells (sid, ts on a grid of `unit`, y) with a row for every grid point between the table's first and last, 0 where there was none.
 
-    Only the two bounds reach the driver; each series explodes its own grid.
+    Each cell makes the points up to the next cell of its series, so the grid needs no join; a series' cells are in order in one
+    task, at most one a grid point. Only the two bounds reach the driver.
     """
-    low, high = cells.agg(F.min("ts"), F.max("ts")).first()
+    low, high = bounds or cells.agg(F.min("ts"), F.max("ts")).first()
     if low is None:
         return cells.select("sid", F.lit(0).cast("long").alias("pos"), "ts", "y")
-    grid = F.sequence(F.lit(low), F.lit(high), F.expr(f"INTERVAL 1 {unit}"))
-    spine = cells.select("sid").distinct().select("sid", F.posexplode(grid).alias("pos", "ts"))
-    joined = spine.join(cells, ["sid", "ts"], "left")
-    return joined.select("sid", F.col("pos").cast("long").alias("pos"), "ts", F.coalesce("y", F.lit(0.0)).alias("y"))
+    start, end = F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")
+    at = lambda a, b: F.timestamp_diff(unit, a, b).cast("long")
+    own = Window.partitionBy("sid").orderBy("place")
+    placed = cells.where("ts IS NOT NULL").select("sid", "y", at(start, F.col("ts")).alias("place"))
+    first = F.when(F.lag("place").over(own).isNull(), F.lit(0).cast("long")).otherwise(F.col("place"))
+    last = F.coalesce(F.lead("place").over(own) - 1, at(start, end))
+    points = placed.select("sid", "y", "place", first.alias("a"), last.alias("b")).select("sid", "y", "place", F.explode(F.sequence("a", "b")).alias("pos"))
+    return points.select("sid", "pos", F.timestamp_add(unit, F.col("pos").cast("int"), start).alias("ts"), F.when(F.col("pos") == F.col("place"), F.coalesce("y", F.lit(0.0))).otherwise(0.0).alias("y"))
 
 
 def totals(rows: DataFrame, sid: Column, ts: Column, value: Column, unit: str) -> DataFrame:
@@ -103,22 +108,25 @@ def totals(rows: DataFrame, sid: Column, ts: Column, value: Column, unit: str) -
     return cells.groupBy("sid", "ts").agg(F.sum("v").cast("double").alias("y"))
 
 
+def panel(rows: DataFrame, sid: Column, ts: Column, value: Column, unit: str) -> DataFrame:
+    """totals() with its gaps filled; the bounds are read off the timestamps alone."""
+    edge = lambda f: F.date_trunc(unit, f(ts)).cast("timestamp_ntz")
+    return filled(totals(rows, sid, ts, value, unit), unit.upper(), tuple(rows.agg(edge(F.min), edge(F.max)).first()))
+
+
 def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums of events.value by event type, gaps as 0."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return filled(totals(e, F.col("event_type"), F.col("ts"), F.col("value"), "hour"), "HOUR")
+    return panel(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type"), F.col("ts"), F.col("value"), "hour")
 
 
 def daily_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums of events.value by user, gaps as 0: many short series."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return filled(totals(e, F.col("user_id").cast("string"), F.col("ts"), F.col("value"), "day"), "DAY")
+    return panel(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id").cast("string"), F.col("ts"), F.col("value"), "day")
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums of order prices, gaps as 0: one long series."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return filled(totals(o, F.lit("orders"), F.col("o_orderdate"), F.col("o_totalprice"), "day"), "DAY")
+    return panel(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.lit("orders"), F.col("o_orderdate"), F.col("o_totalprice"), "day")
 
 
 def exogenous_filled(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
