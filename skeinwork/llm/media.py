@@ -31,6 +31,7 @@ SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string, n_pairs long, fingerprint array<long>"
 )
+HELD_BYTES = 16 << 20
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -96,12 +97,15 @@ def digest(codes: np.ndarray) -> str:
 def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Stored form and features of every text; a null text is empty, so one frame of 255. Repeated rows and null ids are kept.
 
-    with_media adds the stored WAV itself as column media. Equal texts give equal values.
+    with_media adds the stored WAV itself as column media. Equal texts give equal values. An empty table gives no rows; columns
+    other than doc_id and text are left out, whatever their names. A very long text is one task's work; rows are sent on after
+    64, or HELD_BYTES of codes and media, so one such text doesn't hold others back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             rows: list[tuple] = []
+            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
                 media = to_wav(padded(data))
@@ -109,11 +113,12 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 codes = fingerprint(back)
                 rows.append((
                     doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media),
-                    hashlib.sha256(media).hexdigest(), digest(codes), len(codes), codes, media,
+                    hashlib.sha256(media).hexdigest(), digest(codes), len(codes), codes, media if with_media else None,
                 ))
-                if len(rows) == 64:
+                held += codes.nbytes + (len(media) if with_media else 0)
+                if len(rows) == 64 or held >= HELD_BYTES:
                     yield pack(rows)
-                    rows = []
+                    rows, held = [], 0
             yield pack(rows)
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:

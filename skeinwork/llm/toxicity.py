@@ -310,7 +310,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose text scores below CUT, with the columns of docs alone."""
+    """Rows of docs whose text scores below CUT, with the columns of docs alone, as they are.
+
+    A null or empty text has no words and the score of the intercept; repeated rows and null ids are judged by their texts like any
+    other; an empty table gives no rows; a very long text is scored whole, in chunks; columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

@@ -643,6 +643,22 @@ def test_pipeline_stages_on_edge_cases(spark, edge, empty, sf_dir):
         for _, stage in corpus_pipeline.STAGES[:4]:
             out = stage(spark, df, sf_dir)
             assert out.columns == df.columns and out.count() <= df.count()
+        packed = corpus_pipeline.STAGES[4][1](spark, df, sf_dir)
+        assert packed.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+        assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > 1024).count() == 0
+
+
+def test_toxicity_across_chunks(monkeypatch):
+    """A text cut into chunks scores as it does whole, wherever the cuts fall."""
+    r = np.random.default_rng(8)
+    words_ = [f"w{k}" for k in range(60)]
+    rows_ = [(" ".join(r.choice(words_, 40)) + (" bad worse worst" if k % 4 == 0 else "")).encode() for k in range(200)]
+    model = toxicity.fit(rows_, np.asarray([k % 4 == 0 for k in range(200)]).astype(int))
+    texts_ = [b" ".join([*t.split()] * 9) for t in rows_[:20]] + [b"bad worse", b""]
+    whole = model.scores(toxicity.Words(model.project), texts_)
+    for chunk in (1, 2, 3, 40, 119, 120):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose(model.scores(toxicity.Words(model.project), texts_), whole, atol=1e-6)
 
 
 def test_pipeline(spark, sf_dir):
