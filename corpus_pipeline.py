@@ -15,18 +15,25 @@ from skeinwork.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Null and empty texts have no words and fail; repeated rows and null ids are judged row by row."""
     return quality_rules.kept_documents(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier passes; it is trained on the labelled rows that reach this stage."""
+    """Documents that the toxicity classifier passes; it is trained on the labelled rows that reach this stage.
+
+    Without any of them nothing is learned and all rows pass or fail by the share of label 1. Rows with a null id are never trained on.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean_documents(docs, toxicity.train(docs, labels))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    """The first document of each group of near-duplicates: shingles of five words, similarity 0.8 or more.
+
+    Rows that repeat an id, or have none, are documents of their own, so equal ones are near-duplicates too; texts without words
+    are linked with nothing and stay.
+    """
     rows = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), work_dir(spark, "one-of-each"))
     found = minhash.near_duplicates(rows.select(F.col("_rk").alias("doc_id"), "text"), shingle=5)
     return rows.select("row", "_rk").join(found.where("kept").select("_rk"), "_rk", "left_semi").select("row.*")
@@ -38,7 +45,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their sequence and place."""
+    """Pieces of the documents' tokens with their sequence and place; a null or empty text is its end id alone, an empty table gives no rows."""
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
 
 
