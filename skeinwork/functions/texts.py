@@ -225,10 +225,10 @@ def with_context(section: Column, context: Column) -> Column:
     return F.when(F.coalesce(context, F.lit("")) == "", section).when(has, inside).otherwise(F.concat_ws("\n\n", section, context))
 
 
-def forecasting_prompt(target: str, history: Column, horizon: int, every: Column, section: Column | None = None) -> Column:
-    """A request for the next values of a series: the history as JSON, what tools found, and the shape of the answer."""
+def forecasting_prompt(target: str, history: Column, horizon: int, every: Column, section: Column | None = None, domain: str = "") -> Column:
+    """A request for the next values of a series: what is known of its domain, the history as JSON, what tools found, and the shape of the answer."""
     parts = [
-        F.concat(F.lit(f"Forecast the next {horizon} values of {target}. The series has a value every "), every, F.lit(".")),
+        F.concat(F.lit(f"Forecast the next {horizon} values of {target}. The series has a value every "), every, F.lit("." + (f"\n{domain}" if domain else ""))),
         F.concat(F.lit("History:\n```json\n"), history, F.lit("\n```")),
     ]
     if section is not None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -46,6 +46,22 @@ class Limits:
     mae: float = 8.6
 
 
+# Names of settings and the parts of Limits that they set, for the loop that fills the memory and the one of tests.
+MEMORY_SETTINGS = {"MAX_REFLECTION_LOOPS": "attempts", "PARALLEL_PLAN_K": "candidates", "EXCELLENT_MSE_THRESHOLD": "mse", "EXCELLENT_MAE_THRESHOLD": "mae"}
+TEST_SETTINGS = {"MAX_TEST_RETRY_LOOPS": "attempts"}
+
+
+def limits_of(values: Mapping[str, str], memory: bool = False) -> Limits:
+    """Limits from settings as texts, such as the environment's or Spark's; blank or missing ones keep their default."""
+    out = Limits(attempts=3) if memory else Limits()
+    for name, part in (MEMORY_SETTINGS if memory else TEST_SETTINGS).items():
+        if str(values.get(name, "")).strip():
+            setattr(out, part, type(getattr(out, part))(values[name]))
+    if out.attempts < 1 or out.candidates < 1:
+        raise ValueError("attempts and candidates must be positive")
+    return out
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)

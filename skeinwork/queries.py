@@ -810,6 +810,108 @@ def closed_hour_forecasts(spark, sf_dir):
     return f.select("sid", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "y", F.get("forecast", F.lit(0)).alias("f0"), F.get("forecast", F.lit(5)).alias("f5"), F.size("forecast").alias("horizon"))
 
 
+@query(HOUR_SQL + """ SELECT DISTINCT sid, wid, CASE WHEN wid % 5 = 1 THEN 'forecast length 23 != horizon 24' WHEN wid % 5 IN (2, 3) THEN 'forecast contains non-finite values' WHEN wid % 5 = 4 THEN 'forecast is missing'
+WHEN sid = 'click' THEN 'I say fail' ELSE 'PASS' END AS verdict, wid % 5 = 0 AND sid = 'view' AS excellent FROM h""")
+def forecast_verdicts(spark, sf_dir):
+    """Whole, short, partly unknown, infinite and missing forecasts; a reviewer fails one series and is of two minds on another."""
+    w = hourly(spark, sf_dir)
+    k, day = F.col("wid") % 5, F.slice("hist", 145, 24)
+    odd = lambda v: F.transform(day, lambda x, i: F.when(i == 3, F.lit(v).cast("double")).otherwise(x))
+    f = F.when(k == 0, day).when(k == 1, F.slice("hist", 1, 23)).when(k == 2, odd(float("nan"))).when(k == 3, odd(float("inf")))
+    said = F.when(F.col("sid") == "click", "I say fail").when(F.col("sid") == "purchase", "FAIL? no, PASS")
+    good = workflow.excellent(F.when(F.col("sid") == "view", 1.0).otherwise(200.0), F.when(k == 0, 1.0))
+    return w.select("sid", "wid", workflow.verdict(f, 24, said).alias("verdict"), good.alias("excellent"))
+
+
+@query(HOUR_SQL + " SELECT sid, wid, count(*) AS points, round(sum(y), 2) AS total FROM p WHERE wid < 3 GROUP BY ALL")
+def windows_capped(spark, sf_dir):
+    w = windows.sliding(series.hourly_panel(spark, sf_dir), HOURLY, cap=3)
+    whole = F.concat("hist", "fut")
+    return w.select("sid", "wid", F.size(whole).cast("long").alias("points"), rounded(windows.total(whole), 2).alias("total"))
+
+
+@query(HOUR_SQL + f", {ARRAYS} SELECT sid, wid, round(a[145], 2) AS first, round(list_sum(a[145:]), 2) AS cut, round(list_sum(a) + 32 * a[1], 2) AS padded FROM a")
+def aligned_windows(spark, sf_dir):
+    """Histories brought to 24 and to 200 values."""
+    w = hourly(spark, sf_dir)
+    short, long = windows.aligned(F.col("hist"), 24), windows.aligned(F.col("hist"), 200)
+    return w.select("sid", "wid", F.round(F.get(short, F.lit(0)), 2).alias("first"), rounded(windows.total(short), 2).alias("cut"), rounded(windows.total(long), 2).alias("padded"))
+
+
+@query(HOUR_SQL + ", " + _models(HOURLY) + " SELECT sid, wid, CASE WHEN wid % 3 = 2 THEN round(mse, 3) ELSE 1e12 END AS mse FROM err WHERE model = 'SeasonalNaive'")
+def finite_errors(spark, sf_dir):
+    """Errors of forecasts that hold what is no number, or infinity."""
+    w = hourly(spark, sf_dir)
+    f = forecasting.seasonal_naive(F.col("hist"), HOURLY)
+    odd = F.transform(f, lambda x, i: F.when((i == 5) & (F.col("wid") % 3 == 0), float("nan")).when((i == 5) & (F.col("wid") % 3 == 1), float("inf")).otherwise(x))
+    return w.select("sid", "wid", rounded(forecasting.squared_error(odd, F.col("fut")), 3).alias("mse"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'trend_analysis_tool,' || p_name WHEN p_size % 3 = 1 THEN 'exogenous_analysis_tool,event_summary_tool' ELSE '' END AS tools FROM part")
+def tools_in_texts(spark, sf_dir):
+    """A planner's answer: JSON with any names, known names in loose text in their own order, or none."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    listed = F.concat(F.lit('plan:\n{"tools": ["trend_analysis_tool", "'), "p_name", F.lit('"]} ok'))
+    t = F.when(F.col("p_size") % 3 == 0, listed).when(F.col("p_size") % 3 == 1, "event_summary_tool, then (exogenous_analysis_tool) and my_trend_analysis_tool2").otherwise(F.col("p_name"))
+    return p.select("p_partkey", F.array_join(workflow.named_tools(t), ",").alias("tools"))
+
+
+@query("""SELECT event_id AS idx, event_type AS dataset_name, '{"a":' || user_id || '}' AS input, '' AS ground_truth, '[{"tool_name":"t","output":"' || event_type || '"}]' AS tool, 'p' || user_id AS prompt,
+'<think> why ' || event_type || ' </think><answer>' || user_id || '</answer>' AS response, 'why ' || event_type AS reasoning, user_id::VARCHAR AS answer FROM events""")
+def sft_export(spark, sf_dir):
+    """Training rows of memory entries."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user = F.col("user_id").cast("string")
+    entries = e.select(
+        F.col("event_id").alias("idx"), F.col("event_type").alias("dataset_name"), F.concat(F.lit('{"a":'), user, F.lit("}")).alias("input_json"), F.lit(None).cast("string").alias("ground_truth"),
+        F.array(F.struct(F.lit("t").alias("tool_name"), F.col("event_type").alias("output"))).alias("tool_calls"), F.concat(F.lit("p"), user).alias("forecast_full_prompt"),
+        F.concat(F.lit("<think> why "), "event_type", F.lit(" </think><answer>"), user, F.lit("</answer>")).alias("Forecasting_answer"),
+    )
+    return exports.ordered_export(tables.sft_rows(entries))
+
+
+@query(f"WITH {_panel('day', 'orders', chr(39) + 'orders' + chr(39), 'o_orderdate', 'o_totalprice')} SELECT strftime(ts, '%Y-%m-%d') AS day, (row_number() OVER (ORDER BY ts) - 1)::BIGINT AS pos, round(y, 2) AS y FROM s WHERE pos % 7 <> 3")
+def csv_series(spark, sf_dir):
+    """A table written as CSV with a text column and values that are no numbers, and loaded with its roles inferred."""
+    folder = loops.shared_folder(spark, "csv-series")
+    panel = series.daily_orders(spark, sf_dir)
+    value = F.when(F.col("pos") % 7 == 3, "n/a").otherwise(F.col("y").cast("decimal(18,2)").cast("string"))
+    panel.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit('a "b", c').alias("note"), (F.col("pos") % 5).alias("answer"), value.alias("load")).write.csv(folder, header=True, escape='"')
+    got = series.load_series(spark, folder)
+    return got.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "pos", F.round("y", 2).alias("y"))
+
+
+@query("SELECT idx, md5(prompt) AS prompt, md5(answer) AS answer FROM (SELECT (conv_id * 1000 + turn)::VARCHAR AS idx, text AS prompt, role || chr(10) || ',\"' || coalesce(text, '') AS answer FROM conversations WHERE text IS NOT NULL)")
+def csv_round_trip(spark, sf_dir):
+    """Texts with quotes, commas and line ends through a CSV table and back."""
+    folder = loops.shared_folder(spark, "csv-table")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    tables.write_csv(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("prompt"), F.concat("role", F.lit('\n,"'), "text").alias("answer"), F.lit("").alias("ground_truth")), folder)
+    tables.evaluation_rows(spark, folder)
+    return tables.prompt_rows(spark, folder).select("idx", F.md5("prompt").alias("prompt"), F.md5("answer").alias("answer"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey ELSE (row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR END AS index, 'NP' AS dataset_name FROM orders")
+def rl_rows(spark, sf_dir):
+    """Rows of several files; the index of those without one is their place in the table."""
+    folder = loops.shared_folder(spark, "rl-NP")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    info = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"idx": "x'), F.col("o_orderkey").cast("string"), F.lit('"}'))).otherwise("no json")
+    rows = o.select("o_orderkey", F.lit("p").alias("prompt"), F.lit("g").alias("ground_truth"), info.alias("extra_info")).repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    rows.write.parquet(folder)
+    return tables.rl_rows(spark, folder).select("o_orderkey", F.element_at("extra_info", F.lit("index")).alias("index"), "dataset_name")
+
+
+@query("SELECT 'prompt_' || user_id AS task, event_id::VARCHAR AS rollout_id, CASE WHEN event_id % 4 > 0 THEN value END AS reward FROM events")
+def rollout_files(spark, sf_dir):
+    """Rollouts written as JSON lines by prompt, what isn't finite as null, and read back."""
+    folder = loops.shared_folder(spark, "rollouts")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    odd = F.when(F.col("event_id") % 4 == 0, float("nan")).otherwise(F.col("value"))
+    tables.write_rollouts(e.select(F.col("user_id").alias("idx"), F.concat(F.lit("ro-"), F.col("event_id").cast("string")).alias("rollout_id"), F.lit("p").alias("prompt"), F.lit("a").alias("answer"), F.lit("g").alias("ground_truth"), odd.alias("reward"), F.lit(1.0).alias("mse")), folder)
+    return spark.read.schema("rollout_id string, reward double, task string").json(folder).select("task", "rollout_id", "reward")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean error of three naive forecasts of the next 24 hours of each event type."""
     f = forecasting.scored(forecasting.forecasts(hourly(spark, sf_dir), HOURLY))

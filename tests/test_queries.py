@@ -9,7 +9,7 @@ from skeinwork import queries
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
-    for t in ("events", "orders", "lineitem", "embeddings", "customer", "part"):
+    for t in ("events", "orders", "lineitem", "embeddings", "customer", "part", "conversations", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 

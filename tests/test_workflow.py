@@ -365,3 +365,11 @@ def test_channels_as_rows(spark, sf_dir):
         ok = np.isfinite(a) & np.isfinite(b)
         assert got[0][lag] == pytest.approx(np.corrcoef(a[ok], b[ok])[0, 1], abs=1e-5) and got[1][lag] == 0
     assert got[2] == {0: 0.0}
+
+
+def test_limits_from_settings():
+    got = loops.limits_of({"MAX_REFLECTION_LOOPS": "5", "EXCELLENT_MSE_THRESHOLD": "2.5", "PARALLEL_PLAN_K": " "}, memory=True)
+    assert (got.attempts, got.candidates, got.mse, got.mae) == (5, 4, 2.5, 8.6)
+    assert loops.limits_of({}).attempts == 10 and loops.limits_of({"MAX_TEST_RETRY_LOOPS": "2", "MAX_REFLECTION_LOOPS": "9"}).attempts == 2
+    with pytest.raises(ValueError):
+        loops.limits_of({"PARALLEL_PLAN_K": "0"}, memory=True)
