@@ -242,7 +242,8 @@ def calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> np.ndarray:
     """Each language's threshold of best F1 on rows that weren't fitted; that of all rows where a language has few; a half where all have."""
     words = Words(model.project)
     raw = model.scores(words, texts)  # thresholds are at CUT yet, so these are the plain probabilities
-    langs = np.asarray([language(words.langs[words.of(t)]) for t in texts])
+    found = lambda at: language(words.langs[at])  # noqa: E731 (the table may grow while a text is looked up)
+    langs = np.asarray([found(words.of(t)) for t in texts])
 
     def best(p, t) -> float:
         if t.sum() < LEAST_POSITIVE or t.sum() == len(t):
