@@ -35,6 +35,8 @@ BATCH = 64
 MAX_TRAIN = 6000
 MAX_BYTES = 64 << 20
 LEAST_POSITIVE = 10
+FEW_POSITIVE = 100
+PRIOR, PRIOR_SCALE = 2.0, 0.5
 CUT = 0.3
 HELD_OUT = 2
 CHUNK = 200_000
@@ -166,6 +168,9 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     weights = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
     rate = float(y[~part].mean()) if (~part).any() else 0.0
     intercept = np.float32(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
+    if 0 < y[~part].sum() < FEW_POSITIVE:
+        emb[:, 0], filt[0][:, :, 0], weights[0] = informed(at, subs, y, ~part), 0, 1
+        filt[0][0, 0, 0] = 1
     state = {}
 
     def adam(name, value, grad, rows=None):
@@ -238,6 +243,17 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
+def informed(at: list[np.ndarray], subs: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """A first value of each word bucket for samples with few positives: how much likelier a document that holds it is to have label 1, shrunk and scaled."""
+    seen = np.zeros((2, BUCKETS))
+    for d in np.nonzero(use)[0]:
+        seen[int(y[d]), np.unique(subs[at[d], 0])] += 1
+    n0, n1 = max(1, int((y[use] == 0).sum())), max(1, int((y[use] == 1).sum()))
+    odds = np.log((seen[1] + PRIOR) / n1 / ((seen[0] + PRIOR * n0 / n1) / n0))
+    odds[0] = 0
+    return np.clip(odds, -2, 2) * PRIOR_SCALE
+
+
 def calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> np.ndarray:
     """Each language's threshold of best F1 on rows that weren't fitted; that of all rows where a language has few; a half where all have."""
     words = Words(model.project)
