@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinwork.functions.answers import _value, last_wins, once, stripped, unelided
+from skeinwork.functions.answers import ANSWER, _value, last_wins, once, stripped, unelided
 
 # Tags, a fenced block, a quoted timestamp, and the shapes of a timestamp with its value in loose text.
 THINK = r"(?is)<think>(.*?)</think>"
-TAGGED = r"(?is)<answer>(.*?)</answer>"
 FENCED = r"(?s)```(?:json)?\s*(.*?)```"
 STAMP_KEY = r'"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"'
 STAMP_PAIRS = (r'"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})"\s*:\s*([+-]?\d+\.?\d*)', r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}):\s*([+-]?\d+\.?\d*)")
@@ -32,7 +31,7 @@ def reasoning(t: Column) -> Column:
 
 def tagged_answer(t: Column) -> Column:
     """The first answer tag's text, or nothing."""
-    return _found(t, TAGGED)
+    return _found(t, ANSWER)
 
 
 def _stamped(text: str | None) -> str:

@@ -136,6 +136,8 @@ def anchored(windows: DataFrame, spec: WindowSpec, tables: dict[str, DataFrame],
     Models that won in the cluster of a window's nearest medoid are weighted by their votes. Windows are joined to their series'
     few medoids and votes, nothing larger; the similar cases are searched in blocks.
     """
+    from skeinwork.operators.workflow import SOURCES
+
     votes = tables["weights"].groupBy("sid", "cluster").agg(F.array_sort(F.collect_list(F.struct("model", "n", "weight"))).alias("v"))
     q = windows.select(*KEYS, "hist").join(nearest_cluster(windows, tables["medoids"]), KEYS).join(votes, ["sid", "cluster"])
     names = [n for n in MODELS if n in DEFAULTS] + [n for n in MODELS if n not in DEFAULTS]
@@ -150,7 +152,7 @@ def anchored(windows: DataFrame, spec: WindowSpec, tables: dict[str, DataFrame],
     out = rows.select(
         *KEYS, mixed.alias("reference_prediction"), F.map_from_entries(F.transform("f", lambda x: F.struct(x["model"], six(x["yhat"])))).alias("component_forecasts"),
         F.map_from_entries(F.transform("f", lambda x: F.struct(x["model"], F.round(x["w"], 6)))).alias("weights"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["model"], x["n"]))).alias("best_model"),
-        F.col("cluster").alias("selected_cluster"), F.lit(spec.horizon).alias("forecast_length"), F.lit("anchor_library").alias("source"),
+        F.col("cluster").alias("selected_cluster"), F.lit(spec.horizon).alias("forecast_length"), F.lit(SOURCES[0]).alias("source"),
     )
     near = similar_cases(windows.select(*KEYS, "hist"), tables["cases"].select(*KEYS, "hist"), k).join(tables["cases"].select("sid", F.col("wid").alias("item"), "best_model", "errors"), ["sid", "item"])
     found = near.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("item").alias("case_id"), F.round("sim", 6).alias("similarity"), "best_model"))).alias("anchor_cases"))

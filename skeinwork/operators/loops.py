@@ -152,8 +152,8 @@ def _forecast(state: DataFrame, spec: WindowSpec, clients: Clients, train: bool)
         values = answers.once(found, lambda m: F.transform(texts.key_order(F.map_keys(m)), lambda k: F.round(F.element_at(m, k), 6)))
         said = said.withColumn("_v", F.when(F.col("_a.text").rlike(answers.ANSWER), values))
         wrong = (
-            F.when(F.col("_a.error").isNotNull(), F.col("_a.error")).when(~F.col("_a.text").rlike(answers.ANSWER), "missing <answer> content").when(F.size("_v") < 1, "empty or unparsable answer")
-            .when(F.size("_v") != spec.horizon, F.concat(F.lit("answer length "), F.size("_v").cast("string"), F.lit(f" != horizon {spec.horizon}")))
+            F.when(F.col("_a.error").isNotNull(), F.col("_a.error")).when(~F.col("_a.text").rlike(answers.ANSWER), "there is no <answer> tag").when(F.size("_v") < 1, "there is no number in the answer")
+            .when(F.size("_v") != spec.horizon, F.concat(F.size("_v").cast("string"), F.lit(f" answers for a horizon of {spec.horizon}")))
         )
         said = said.withColumn("error", wrong).withColumn("response", F.col("_a.text"))
         said = said.withColumn("forecast", F.when(F.col("error").isNull(), F.col("_v")).otherwise(workflow.invalid(spec.horizon)))

@@ -127,7 +127,8 @@ def _units(column: pd.Series, width: int) -> np.ndarray:
 def celled(entries: DataFrame, pivots: int = PIVOTS, ring: float = RING) -> tuple[DataFrame, Cells | None]:
     """entries (item, u) with their cell number, and the cells; None without entries. Pivots are the entries of least hash."""
     spark = entries.sparkSession
-    few = entries.select("u", F.xxhash64("u").alias("h")).distinct().orderBy("h").limit(pivots).collect()  # `pivots` rows
+    least = entries.select(F.xxhash64("u").alias("h")).distinct().orderBy("h").limit(pivots)  # hashes alone are shuffled
+    few = entries.withColumn("h", F.xxhash64("u")).join(F.broadcast(least), "h").groupBy("h").agg(F.first("u").alias("u")).orderBy("h").collect()  # `pivots` rows
     if not few:
         return entries.withColumn("cell", F.lit(0)), None
     points = _units(pd.Series([r.u for r in few]), len(few[0].u))

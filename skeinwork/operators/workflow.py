@@ -28,6 +28,11 @@ OLDER_NAMES = {
     "ar_residual_tool": "autoregressive_residual_tool",
 }
 
+# Why a tool was skipped, where the model tool's forecast comes from, and why not from a library.
+SKIPPED = "train_only_tool_disabled"
+SOURCES = ("anchor_library", "deterministic_fallback")
+NO_LIBRARY = "anchor_library_not_configured"
+
 
 def names(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
@@ -97,7 +102,7 @@ def act(windows: DataFrame, schedules: DataFrame, spec: WindowSpec, pairs: DataF
             out = out.join(table.select(*KEYS, F.to_json(F.struct(*[c for c in table.columns if c not in KEYS])).alias(n)), KEYS, "left")
             found.append(n)
     results = F.create_map(*[x for n in found for x in (F.lit(n), F.col(n))]) if found else F.create_map().cast("map<string,string>")
-    skipped = F.when((F.lit(TRAIN_ONLY) == F.col("_t")) if not train else F.lit(False), '{"skipped":true,"reason":"train_only_tool_disabled"}')
+    skipped = F.when((F.lit(TRAIN_ONLY) == F.col("_t")) if not train else F.lit(False), f'{{"skipped":true,"reason":"{SKIPPED}"}}')
     other = F.coalesce(skipped, F.when(F.col("_t").isin(*TOOLS), '{"available":false}'), F.lit('{"error":"unknown tool"}'))
     rows = out.select(*KEYS, F.posexplode_outer("schedule").alias("_k", "_t"), results.alias("_r")).select(*KEYS, "_k", "_t", F.coalesce(F.try_element_at("_r", F.col("_t")), other).alias("_o"))
     entries = F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_k", "_t", "_o"))))
@@ -116,7 +121,7 @@ def auxiliary(windows: DataFrame, spec: WindowSpec, models: list[str] | None = N
     six = lambda v: F.transform(v, lambda y: F.round(y, 6))
     out = by.select(
         *KEYS, mixed.alias("reference_prediction"), F.lit(spec.horizon).alias("forecast_length"), named(lambda x: six(x["yhat"])).alias("component_forecasts"),
-        named(lambda x: F.round(ensemble_weight(x["model"]) / share(F.col("a")), 6)).alias("weights"), F.lit("deterministic_fallback").alias("source"), F.lit("anchor_library_not_configured").alias("fallback_reason"),
+        named(lambda x: F.round(ensemble_weight(x["model"]) / share(F.col("a")), 6)).alias("weights"), F.lit(SOURCES[1]).alias("source"), F.lit(NO_LIBRARY).alias("fallback_reason"),
     )
     if failed is None:
         return out.withColumn("model_failures", F.create_map().cast("map<string,string>"))
@@ -224,9 +229,9 @@ def verdict(forecast: Column, horizon: int, message: Column | None = None) -> Co
     odd = F.exists(forecast, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     said = F.upper(message)
     return (
-        F.when(forecast.isNull(), "forecast is missing")
-        .when(F.size(forecast) != horizon, F.concat(F.lit("forecast length "), F.size(forecast).cast("string"), F.lit(f" != horizon {horizon}")))
-        .when(odd, "forecast contains non-finite values")
+        F.when(forecast.isNull(), "there is no forecast")
+        .when(F.size(forecast) != horizon, F.concat(F.size(forecast).cast("string"), F.lit(f" values for a horizon of {horizon}")))
+        .when(odd, "some values are no finite numbers")
         .when(said.contains("FAIL") & ~said.contains("PASS"), message).otherwise("PASS")
     )
 

@@ -272,7 +272,9 @@ def vector_topk(spark, sf_dir):
        "pq AS (SELECT q.sid, e.sid AS item_sid, e.wid AS item_wid, round(list_cosine_similarity(q.v, e.v), 9) AS sim FROM x q, x e WHERE q.wid = 0) SELECT sid, item_sid, item_wid, round(sim, 5) AS sim, row_number() OVER (PARTITION BY sid ORDER BY sim DESC, item_sid, item_wid) AS rank FROM pq WHERE sim >= 0.5 QUALIFY rank <= 3")
 def window_retrieval(spark, sf_dir):
     """The windows most like the first one of each series, among all series, by their 29 values; cells that can't hold them are skipped."""
-    w = hourly(spark, sf_dir).select("sid", "wid", similarity.embedding(F.col("hist")).alias("u"))
+    folder = loops.shared_folder(spark, "embeddings")
+    hourly(spark, sf_dir).select("sid", "wid", similarity.embedding(F.col("hist")).alias("u")).write.parquet(folder)
+    w = spark.read.parquet(folder)
     e = w.select(F.struct("sid", "wid").alias("item"), "u")
     out = similarity.nearest_pruned(w.where("wid % 100 = 0").select(F.struct("sid", "wid").alias("query"), F.col("u").alias("v")), e, 3, 0.5)
     return out.select("query.sid", F.col("item.sid").alias("item_sid"), F.col("item.wid").alias("item_wid"), rounded(F.col("sim"), 5).alias("sim"), "rank")
@@ -786,7 +788,7 @@ def resumable_answers(spark, sf_dir):
 
 
 @query(HOUR_SQL + f", {ARRAYS}, g AS (SELECT sid, wid, regr_slope(y, pos) AS s, avg(y) AS m FROM h GROUP BY ALL) SELECT g.sid, g.wid, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'flat' END AS trend, round(s, 6) AS slope, "
-       "round(avg((a.a[144 + f.step + 1] - f.y) * (a.a[144 + f.step + 1] - f.y)), 3) AS seasonal, round(avg(abs(g.m - f.y)), 6) AS average FROM g JOIN a ON a.sid = g.sid AND a.wid = g.wid JOIN f ON f.sid = g.sid AND f.wid = g.wid GROUP BY g.sid, g.wid, s, m")
+       + exact_sql("avg((a.a[144 + f.step + 1] - f.y) * (a.a[144 + f.step + 1] - f.y))", 3) + " AS seasonal, " + exact_sql("avg(abs(g.m - f.y))", 5) + " AS average FROM g JOIN a ON a.sid = g.sid AND a.wid = g.wid JOIN f ON f.sid = g.sid AND f.wid = g.wid GROUP BY g.sid, g.wid, s, m")
 def sql_windows(spark, sf_dir):
     """Windows, features, forecasts and errors by SQL alone."""
     surface.register(spark)
@@ -797,7 +799,9 @@ def sql_windows(spark, sf_dir):
         g AS (SELECT sid, wid, collect_list(struct(pos, y)) AS a FROM p GROUP BY sid, wid HAVING count(*) = 192),
         w AS (SELECT sid, wid, window_values(a) AS a FROM g),
         h AS (SELECT sid, wid, slice(a, 1, 168) AS hist, slice(a, 169, 24) AS fut FROM w)
-        SELECT sid, wid, trend_direction(hist) AS trend, round(array_slope(hist), 6) + 0D AS slope, round(squared_error(forecast_seasonal(hist, 24, 24), fut), 3) AS seasonal, round(absolute_error(forecast_average(hist, 24), fut), 6) AS average FROM h
+        SELECT sid, wid, trend_direction(hist) AS trend, round(array_slope(hist), 6) + 0D AS slope, 
+               CAST(round(CAST(squared_error(forecast_seasonal(hist, 24, 24), fut) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS seasonal,
+               CAST(round(CAST(absolute_error(forecast_average(hist, 24), fut) AS DECIMAL(28, 9)), 5) AS DOUBLE) AS average FROM h
     """)
 
 
@@ -810,7 +814,7 @@ def closed_hour_forecasts(spark, sf_dir):
     return f.select("sid", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "y", F.get("forecast", F.lit(0)).alias("f0"), F.get("forecast", F.lit(5)).alias("f5"), F.size("forecast").alias("horizon"))
 
 
-@query(HOUR_SQL + """ SELECT DISTINCT sid, wid, CASE WHEN wid % 5 = 1 THEN 'forecast length 23 != horizon 24' WHEN wid % 5 IN (2, 3) THEN 'forecast contains non-finite values' WHEN wid % 5 = 4 THEN 'forecast is missing'
+@query(HOUR_SQL + """ SELECT DISTINCT sid, wid, CASE WHEN wid % 5 = 1 THEN '23 values for a horizon of 24' WHEN wid % 5 IN (2, 3) THEN 'some values are no finite numbers' WHEN wid % 5 = 4 THEN 'there is no forecast'
 WHEN sid = 'click' THEN 'I say fail' ELSE 'PASS' END AS verdict, wid % 5 = 0 AND sid = 'view' AS excellent FROM h""")
 def forecast_verdicts(spark, sf_dir):
     """Whole, short, partly unknown, infinite and missing forecasts; a reviewer fails one series and is of two minds on another."""

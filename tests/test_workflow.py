@@ -71,9 +71,9 @@ def test_refined_modes(spark, w):
 
 def flaky(prompt):
     """Wrong in a different way each attempt; right once the prompt tells what was wrong with the length."""
-    if "answer length 1" in prompt:
+    if "1 answers for" in prompt:
         return "<think>x</think><Answer>[1, 2, 3, 4]</Answer>"
-    if "missing <answer>" in prompt:
+    if "no <answer> tag" in prompt:
         return "<answer>[7]</answer>"
     if "TimeoutError" in prompt:
         return "no tags, 5"
@@ -85,9 +85,9 @@ def test_forecaster_is_told_what_was_wrong(spark, w, tmp_path):
     got = r.collect()
     assert len(got) == 4 and {x.attempts for x in got} == {4} and all(x.valid and x.forecast == [1, 2, 3, 4] for x in got)
     tried = spark.read.parquet(*[f"file://{tmp_path}/x/attempts/{k}" for k in range(1, 5)])
-    assert tried.count() == 16 and {x.attempt: x.error for x in tried.collect()} == {1: "TimeoutError: slow", 2: "missing <answer> content", 3: "answer length 1 != horizon 4", 4: None}
+    assert tried.count() == 16 and {x.attempt: x.error for x in tried.collect()} == {1: "TimeoutError: slow", 2: "there is no <answer> tag", 3: "1 answers for a horizon of 4", 4: None}
     short = loops.run_windows(w.where("wid < 2"), SPEC, loops.Clients(forecast=flaky, tries=1), loops.Limits(attempts=2)).collect()
-    assert all(not x.valid and x.attempts == 2 and np.isnan(x.forecast).all() and "non-finite" in x.reflection for x in short)
+    assert all(not x.valid and x.attempts == 2 and np.isnan(x.forecast).all() and "no finite numbers" in x.reflection for x in short)
 
 
 def planner(prompt):
