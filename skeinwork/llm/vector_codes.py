@@ -148,15 +148,20 @@ def _searched(codec: Codec, trees: list[KdTree], x: np.ndarray) -> Iterator[tupl
 
 
 def seeded(vectors: DataFrame, parts: int, entries: int, scale: int, vector: str, key: str) -> Codec | None:
-    """Codebooks of the parts of the `entries` kept rows with the smallest keys; None if no row is kept."""
+    """Codebooks of the parts of the `entries` kept rows with the smallest keys; None if no row is kept.
+
+    The keys are ordered alone, and only then the vectors of those up to the last one, so tasks send narrow rows on.
+    """
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = vectors.select(vectors[key].alias("k"), vectors[vector].cast("array<double>").alias("v")).where(fine)
-    order = [F.col("k").asc_nulls_last(), F.col("v")]
-    first = kept.orderBy(*order).limit(1).collect()
-    if not first:
+    first = kept.agg(F.min(F.struct(F.col("k").isNull().alias("last"), "k", "v")).alias("x")).first().x
+    if first is None:
         return None
-    dimension = len(first[0].v)
-    rows = kept.where(F.size("v") == dimension).orderBy(*order).limit(entries).collect()  # `entries` rows
+    dimension, order = len(first.v), F.col("k").asc_nulls_last()
+    sized = kept.where(F.size("v") == dimension)
+    keys = [r.k for r in sized.select("k").orderBy(order).limit(entries).collect()]
+    few = sized if len(keys) < entries or keys[-1] is None else sized.where(F.col("k") <= F.lit(keys[-1]))
+    rows = few.orderBy(order, "v").limit(entries).collect()  # `entries` rows
     column = pa.array([r.v for r in rows], pa.list_(pa.float64()))
     _, x = integers(column, dimension, scale)
     return Codec([x[:, a:b] for a, b in cuts(dimension, min(parts, dimension))], dimension, scale)
