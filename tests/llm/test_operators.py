@@ -628,7 +628,8 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     want = con.execute(queries.ORACLES[name])
     cols = [c[0] for c in want.description]
     got = queries.QUERIES[name](spark, sf_dir)

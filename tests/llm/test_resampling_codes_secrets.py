@@ -7,12 +7,11 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.llm import queries, resampling, secrets, vector_codes
+from skeinwork.llm import resampling, secrets, vector_codes
 
 LONG = " ".join(f"word{i % 3000} Tail{i}" for i in range(40_000))
 CLASHES = ["n_features", "rank", "score", "_k", "f", "h", "range", "code", "error", "_key", "findings", "kind", "label_error"]
@@ -27,18 +26,6 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_vector_codes"])
-def test_oracle(spark, sf_dir, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    want = con.execute(queries.ORACLES[name])
-    cols = [c[0] for c in want.description]
-    got = queries.QUERIES[name](spark, sf_dir)
-    assert sorted(got.columns) == sorted(cols)
-    assert rows(got.select(*cols)) == sorted(want.fetchall(), key=repr)
-
-
 # ---- importance resampling ----
 
 
