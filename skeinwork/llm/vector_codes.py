@@ -15,6 +15,7 @@ The table is read once a round; nothing is kept between rounds but the codebooks
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,6 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 LEAF = 16
-LIMIT = 1 << 28  # components beyond this could overflow the 64-bit distances
 BATCH = 4096
 FEW_LABELS = 1 << 17
 SALTS = 32
@@ -63,8 +63,14 @@ class KdTree:
         return node
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index and squared distance of the nearest entry of each row; of equally near ones the lowest index."""
-        self.x = x
+        """Index and squared distance of the nearest entry of each row; of equally near ones the lowest index.
+
+        Where all sums of a distance stay below 2**53 they are exact in doubles too, and a leaf is one product of matrices.
+        """
+        most = max(int(np.abs(x).max(initial=0)), int(np.abs(self.book).max(initial=0)))
+        kind = np.float64 if 4 * most * most * max(1, x.shape[1]) < 1 << 53 else np.int64
+        self.x, self.y = x.astype(kind), self.book.astype(kind)
+        self.xx, self.yy = (np.einsum("ij,ij->i", v, v) for v in (self.x, self.y))
         self.best = np.full(len(x), np.iinfo(np.int64).max)
         self.index = np.full(len(x), len(self.book))
         self.compared = 0
@@ -79,12 +85,11 @@ class KdTree:
 
     def _visit(self, node: Node, at: np.ndarray) -> None:
         if not node.children:
-            q = self.x[at]
-            for e in node.entries:
-                off = q - self.book[e]
-                d = np.einsum("ij,ij->i", off, off)
-                take = (d < self.best[at]) | ((d == self.best[at]) & (e < self.index[at]))
-                self.best[at[take]], self.index[at[take]] = d[take], e
+            d = self.xx[at][:, None] + self.yy[node.entries][None, :] - 2 * (self.x[at] @ self.y[node.entries].T)
+            j = d.argmin(1)  # entries ascend, so the first of equals has the lowest index
+            d, e = d[np.arange(len(at)), j].astype(np.int64), node.entries[j]
+            take = (d < self.best[at]) | ((d == self.best[at]) & (e < self.index[at]))
+            self.best[at[take]], self.index[at[take]] = d[take], e[take]
             self.compared += len(at) * len(node.entries)
             return
         a, b = (self._bound(c, at) for c in node.children)
@@ -116,8 +121,9 @@ def integers(column: pa.Array, dimension: int, scale: int = SCALE) -> tuple[np.n
     x = np.asarray(flat.cast(pa.float64()).fill_null(np.nan)).reshape(len(at), dimension)
     fine = np.isfinite(x).all(1)
     x = np.floor(x[fine] * scale)
-    if x.size and np.abs(x).max() > LIMIT:
-        raise ValueError(f"a component beyond {LIMIT // scale} would overflow the integer distances")
+    limit = math.isqrt(((1 << 63) - 1) // (4 * dimension))
+    if x.size and np.abs(x).max() > limit:
+        raise ValueError(f"a component beyond {limit // scale} would overflow the 64-bit distances")
     return at[fine], x.astype(np.int64)
 
 
@@ -230,8 +236,8 @@ def compressed(
 
     Rows are left out whose vector is null, empty, or holds null or non-finite components, and those of another length than the
     kept vector with the smallest key. Null keys sort last; repeated rows are coded one by one, ties of keys are seeded in the
-    order of their vectors; fewer rows than entries give fewer entries; an empty table gives no rows. Components beyond
-    LIMIT / scale raise an error. Other columns are ignored, whatever their names.
+    order of their vectors; fewer rows than entries give fewer entries; an empty table gives no rows. Components so large that
+    distances could overflow 64 bits raise an error. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     codec = trained(vectors, parts, entries, rounds, scale, vector, key)
