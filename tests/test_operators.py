@@ -208,3 +208,20 @@ def test_theta_in_the_pool(spark):
     assert got["short", "Theta"] == [5.0] * 4 and got["low", "Theta"] == pytest.approx([-1.0] * 4)
     assert ("odd", "Theta") not in got and ("none", "Theta") not in got and ("up", "HistoricAverage") in got
     assert {r.model for r in forecasting.forecasts(w, spec).select("model").distinct().collect()} == {"SeasonalNaive", "HistoricAverage", "ZeroModel"}
+
+
+def test_search_in_groups(spark, monkeypatch):
+    """Blocks of queries and entries meet as matrices, once each; copies, NaN, nulls, other sizes and struct keys included."""
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(similarity, "ENTRY_BLOCK", 11)
+    monkeypatch.setattr(similarity, "STRIP", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [(100 + i, [1.0, 2.0, 0.5, 3.0]) for i in range(90)]
+    rows += [(300, [float("nan"), 1.0, 1.0, 1.0]), (301, None), (302, [1.0, None, 0.0, 0.0]), (303, [1.0, 2.0]), (304, [0.0] * 4), (305, [])]
+    e = spark.createDataFrame(rows, "item long, u array<double>").withColumn("item", F.struct(F.lit("x").alias("a"), "item"))
+    q = e.select(F.col("item").alias("query"), F.col("u").alias("v"))
+    dots = e.crossJoin(q).where("size(u) = size(v) AND u IS NOT NULL").select("query", "item", F.round(similarity.dot(similarity.unit(F.col("v")), similarity.unit(F.col("u"))), 9).alias("sim"))
+    for k, least in ((4, -1.0), (200, 0.2)):
+        got = similarity.nearest(q, e, k, least)
+        assert "CoGroup" in got._jdf.queryExecution().toString()  # before, each pair was a row of a join
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, similarity.top_k(dots.where(F.col("sim") >= least), "query", "item", k).collect()))
