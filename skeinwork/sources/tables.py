@@ -69,18 +69,22 @@ def rl_rows(spark: SparkSession, path: str) -> DataFrame:
         df = df.withColumn("tool", F.lit(""))
     if "extra_info" in df.columns:
         text = F.col("extra_info") if dict(df.dtypes)["extra_info"] == "string" else F.to_json("extra_info")
-        info = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+        df = df.withColumn("_info", F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>")))  # parsed once
+        info = F.col("_info")
         index = F.coalesce(F.try_element_at(info, F.lit("index")), F.try_element_at(info, F.lit("idx")), F.col("_place").cast("string"))
-        df = df.withColumn("extra_info", F.map_concat(F.map_filter(info, lambda k, v: k != "index"), F.create_map(F.lit("index"), index))).drop("_place")
+        df = df.withColumn("extra_info", F.map_concat(F.map_filter(info, lambda k, v: k != "index"), F.create_map(F.lit("index"), index))).drop("_info", "_place")
     return df
 
 
 def placed(scan: DataFrame) -> DataFrame:
-    """A Parquet scan with _place, the row's number from 0 over all files in order of their paths; only rows a file are counted ahead."""
+    """A Parquet scan with _place, the row's number from 0 over all files in order of their paths; only rows a file are counted ahead.
+
+    The counts, a row a file, are broadcast: a join by shuffle would put a whole file into one task.
+    """
     rows = scan.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
     sizes = rows.groupBy("_f").agg(F.count("*").alias("_n"))
     before = sizes.select("_f", (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_o"))  # a row a file
-    return rows.join(before, "_f").withColumn("_place", F.col("_o") + F.col("_i")).drop("_f", "_i", "_o")
+    return rows.join(F.broadcast(before), "_f").withColumn("_place", F.col("_o") + F.col("_i")).drop("_f", "_i", "_o")
 
 
 PROMPT_COLUMNS = ("idx", "input", "ground_truth", "tool", "prompt", "target_col", "lookback", "horizon")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinwork import queries
 from skeinwork.functions import answers, surface
 from skeinwork.operators import exports, features, forecasting, library, loops, memory, similarity, spectrum, windows, workflow
 from skeinwork.plans import registry
@@ -373,3 +374,23 @@ def test_limits_from_settings():
     assert loops.limits_of({}).attempts == 10 and loops.limits_of({"MAX_TEST_RETRY_LOOPS": "2", "MAX_REFLECTION_LOOPS": "9"}).attempts == 2
     with pytest.raises(ValueError):
         loops.limits_of({"PARALLEL_PLAN_K": "0"}, memory=True)
+
+
+def test_places_without_shuffle(spark, sf_dir, tmp_path):
+    """Rows get their places without a shuffle by file, which would be one task a file, and files don't stay at a fixed number."""
+    spark.range(50).select("id").write.parquet(f"file://{tmp_path}/t")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = tables.placed(spark.read.parquet(f"file://{tmp_path}/t"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r._place for r in df.collect()) == list(range(50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert len(queries.rl_rows(spark, sf_dir).inputFiles()) == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
