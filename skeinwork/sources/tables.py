@@ -167,11 +167,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="")
 
 
-def write_rollouts(df: DataFrame, path: str) -> None:
-    """Rollouts (idx, rollout_id, prompt, answer, ground_truth, reward, mse) as JSON lines in a folder a prompt; what isn't finite is null."""
+def write_rollouts(df: DataFrame, path: str, folders: bool = False) -> None:
+    """Rollouts (idx, rollout_id, prompt, answer, ground_truth, reward, mse) as JSON lines, each with its task, in order of task and rollout; what isn't finite is null.
+
+    A file holds a range of tasks, and a task with many rollouts goes on in the next one, so the number of files doesn't grow with
+    prompts. With folders, a folder a prompt instead (task=prompt_0), for few prompts: each is a file at least, which 90,000 prompts make too slow.
+    """
     finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c)
     rows = df.select(F.concat(F.lit("prompt_"), F.col("idx").cast("string")).alias("task"), F.regexp_replace("rollout_id", "^ro-", "").alias("rollout_id"), "prompt", "answer", "ground_truth", finite("reward"), finite("mse"))
-    rows.write.mode("append").partitionBy("task").json(path)
+    order = ["task", "rollout_id"]
+    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append")
+    (writer.partitionBy("task") if folders else writer).json(path)
 
 
 def summary(df: DataFrame, *columns: str) -> DataFrame:

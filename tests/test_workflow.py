@@ -394,3 +394,17 @@ def test_places_without_shuffle(spark, sf_dir, tmp_path):
         assert len(queries.rl_rows(spark, sf_dir).inputFiles()) == 9
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_files_of_rollouts(spark, tmp_path):
+    """Many prompts from many tasks: files by range, each prompt in one or in neighbouring ones; or a folder a prompt."""
+    r = spark.range(0, 4000, 1, 6).select((F.col("id") % 500).alias("idx"), F.concat(F.lit("ro-"), F.col("id").cast("string")).alias("rollout_id"), *[F.lit("p").alias(c) for c in ("prompt", "answer", "ground_truth")], F.when(F.col("id") % 2 == 0, float("nan")).otherwise(1.0).alias("reward"), F.lit(2.0).alias("mse"))
+    tables.write_rollouts(r, f"file://{tmp_path}/r")
+    assert len(list((tmp_path / "r").glob("**/*.json"))) <= 4  # before, up to a file for each prompt and task
+    want = sorted((f"prompt_{i % 500}", str(i), None if i % 2 == 0 else 1.0) for i in range(4000))
+    back = spark.read.schema("task string, rollout_id string, reward double").json(f"file://{tmp_path}/r")
+    assert sorted(map(tuple, back.collect())) == want
+    tables.write_rollouts(r.where("idx < 3"), f"file://{tmp_path}/f", folders=True)
+    assert sorted(x.name for x in (tmp_path / "f").glob("task=*")) == [f"task=prompt_{k}" for k in range(3)]
+    back = spark.read.schema("rollout_id string, reward double, task string").json(f"file://{tmp_path}/f").select("task", "rollout_id", "reward")
+    assert sorted(map(tuple, back.collect())) == [w for w in want if w[0] in ("prompt_0", "prompt_1", "prompt_2")]
