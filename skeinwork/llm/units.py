@@ -95,7 +95,8 @@ class WordIds(dict):
 
     def __missing__(self, piece: str):
         if _SIMPLE.fullmatch(piece):
-            found = self.joined([self.part(p) for p in _PARTS.findall(piece.lower())])
+            low = piece.lower()
+            found = self.part(low) if low.isalpha() else self.joined([self.part(p) for p in _PARTS.findall(low)])
         else:
             found = self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(self) >= self.limit:

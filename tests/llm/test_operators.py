@@ -678,3 +678,14 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(ids)
     tok = library("byte_bpe_50k.json")
     assert packed.agg(F.sum("length")).first()[0] == sum(len(ids_of(tok, t)) + 1 for t in ids.values())
+
+
+def test_letters_are_one_part(monkeypatch):
+    """A piece of letters alone is looked up as it is, without a search for parts; the ids are the library's."""
+    from skeinwork.llm import queries as llm_queries
+    from skeinwork.llm import units
+
+    words = units.WordIds(llm_queries.vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(units, "_PARTS", None)  # before, every piece went through it
+    for text in ("Theranble", "ÀÖØöøÿ straße", "BEGELICH und ndhath"):
+        assert list(np.frombuffer(words.of(text), words.dtype)) == words.tokenizer.encode(text, add_special_tokens=False).ids
