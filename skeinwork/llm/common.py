@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,3 +133,16 @@ def few_rows(batches, rows: int = 256):
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+
+
+def few_bytes(batches, column: int, most: int = 1 << 21):
+    """Batches whose texts or bytes in a column hold at most `most` bytes, cut without a copy; a longer one is a batch of its own."""
+    for batch in batches:
+        size, a, total = pc.binary_length(batch.column(column)).fill_null(0).to_pylist(), 0, 0
+        for b, n in enumerate(size):
+            if total + n > most and b > a:
+                yield batch.slice(a, b - a)
+                a, total = b, 0
+            total += n
+        if a < len(size):
+            yield batch.slice(a)

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import dropped, few_rows, work_dir, written
-from skeinwork.llm.units import WordIds, loaded
+from skeinwork.llm.common import dropped, few_bytes, work_dir, written
+from skeinwork.llm.units import WordRuns, loaded
 
 END_ID = 2
 RAW = "doc_id long, n long, ids binary"
@@ -32,21 +32,34 @@ FILES = "doc_id long, shard int, local_start long, n_tokens long, control binary
 LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.uint8)
 
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of an array of ranks."""
+def encode_all(ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of documents with n[0], n[1], ... ranks, and each document's number of data bytes."""
     r = np.ascontiguousarray(ranks, "<u4")
-    n = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    codes = np.zeros(-len(r) % 4 + len(r), np.uint8)
-    codes[: len(r)] = n - 1
+    size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
+    codes = np.zeros(int((n + -n % 4).sum()), np.uint8)
+    codes[_padded(n)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < n[:, None]]
+    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    ends = np.cumsum(n)
+    return control, data, before[ends] - before[ends - n]
+
+
+def _padded(n: np.ndarray) -> np.ndarray:
+    """Places of all ids' lengths where each document begins with a new control byte."""
+    return np.arange(n.sum()) + np.repeat(np.cumsum(-n % 4) - -n % 4, n)
+
+
+def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of an array of ranks."""
+    control, data, _ = encode_all(ranks, np.asarray([len(ranks)]))
     return control.tobytes(), data.tobytes()
 
 
-def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks of control and data bytes."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
+def decode_all(control: bytes, data: bytes, n: np.ndarray) -> np.ndarray:
+    """The ranks of documents with n[0], n[1], ... of them, whose control and data bytes follow one another."""
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[_padded(n)].astype(np.int64)
     at = np.cumsum(lengths) - lengths
     raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
@@ -58,21 +71,36 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The n ranks of control and data bytes."""
+    return decode_all(control, data, np.asarray([n]))
+
+
+def strung(column: pa.Array) -> bytes:
+    """All bytes of a binary column without nulls."""
+    return b"".join(column.to_pylist())
+
+
 def widened(data: bytes, n: int) -> np.ndarray:
     """Ids kept as 16 or 32 bits each; their number tells which."""
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
+def binaries(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Binary column whose rows hold the next n[0], n[1], ... values."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n * values.itemsize)]), pa.int32())  # raises beyond 2 GB
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, number and bytes of the ids of each whole text (null: empty) with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = loaded(WordIds, path)
-        end, width = np.asarray([END_ID], words.dtype).tobytes(), np.dtype(words.dtype).itemsize
-        for batch in few_rows(batches):
-            out = [words.of(t or "") + end for t in batch.column(1).to_pylist()]
-            n = pa.array([len(x) // width for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(out, pa.binary())], names=["doc_id", "n", "ids"])
+        words = loaded(WordRuns, path)
+        for batch in few_bytes(batches, 1, 1 << 24):  # the more texts, the fewer pieces for each
+            ids, n = words.of(batch.column(1))
+            ids, n = np.insert(ids, np.cumsum(n), END_ID), n + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), binaries(ids, n)], names=["doc_id", "n", "ids"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, RAW)
 
@@ -82,14 +110,10 @@ def _counts(raw: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(widened(x, k))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+        for batch in few_bytes(batches, 1):
+            n = np.bincount(widened(strung(batch.column(1)), batch.column(0).to_numpy().sum()), minlength=len(total))
+            n[: len(total)] += total
+            total = n
         ids = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -116,16 +140,14 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = TaskContext.get().partitionId(), 0
-        for batch in few_rows(batches):
-            rows = []
-            for doc_id, n, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                control, data = encode(rank[widened(ids, n)])
-                rows.append((doc_id, shard, at, n, control, data))
-                at += n
+        for batch in few_bytes(batches, 2):
+            n = batch.column(1).to_numpy()
+            control, data, size = encode_all(rank[widened(strung(batch.column(2)), n.sum())], n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                [batch.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + np.cumsum(n) - n), batch.column(1), binaries(control, -(-n // 4)), binaries(data, size)],
                 names=["doc_id", "shard", "local_start", "n_tokens", "control", "data"],
             )
+            at += int(n.sum())
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     ranged = raw.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
@@ -144,9 +166,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.schema(FILES).parquet(f"{folder}/files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
-            coded = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
-            crc = [zlib.crc32(by_rank[decode(control, data, n)]) for n, control, data in coded]
+        for batch in few_bytes(batches, 5):
+            n = batch.column(3).to_numpy()
+            ids = by_rank[decode_all(strung(batch.column(4)), strung(batch.column(5)), n)]
+            ends = np.cumsum(n)
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(crc, pa.int64())], names=["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"])
 
     back = files.mapInArrow(run, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")

@@ -689,3 +689,98 @@ def test_letters_are_one_part(monkeypatch):
     monkeypatch.setattr(units, "_PARTS", None)  # before, every piece went through it
     for text in ("Theranble", "ÀÖØöøÿ straße", "BEGELICH und ndhath"):
         assert list(np.frombuffer(words.of(text), words.dtype)) == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_merge_many_pieces_in_a_call():
+    import sys
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    frame = MagicMock()
+    path = queries.vocabulary("word_bpe_49k.json")
+    token_files.encode_texts(frame, path)
+    task = frame.select.return_value.mapInArrow.call_args[0][0]
+    rng = np.random.default_rng(5)
+    new = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéß.,$1"), 9)) for _ in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([" ".join(new), None])], names=["doc_id", "text"])
+    list(task(iter([batch.slice(1)])))  # loads the file
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event.endswith("call") else None)
+    try:
+        (out,) = list(task(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(new)  # before, several for each new piece
+    want = [*ids_of(library("word_bpe_49k.json"), " ".join(new)), 2]
+    assert out.column("n").to_pylist() == [len(want), 1]
+    assert np.frombuffer(out.column("ids")[0].as_py(), "<u2").tolist() == want and out.column("ids")[1].as_py() == b"\x02\x00"
+
+
+def test_runs_are_the_library_s(monkeypatch):
+    import pyarrow as pa
+
+    from skeinwork.llm.units import WordRuns
+
+    runs, tok = WordRuns(queries.vocabulary("word_bpe_49k.json")), library("word_bpe_49k.json")
+    signs = "".join(map(chr, range(0x21, 0x180)))
+    texts = [None, "", " \n ", *odd_texts(300), *signs, signs, "a\x00b \x00 \x01 a\x01", "a" * 64 + " " + "é" * 33, "L'ÉTÉ d'été 'tis it's", LONG, LONG.upper()]
+    for ranks in (runs.ranks, {}):  # without ranks every piece is looked up
+        monkeypatch.setattr(runs, "ranks", ranks)
+        ids, n = runs.of(pa.array(texts))
+        ends = np.cumsum(n)
+        for t, a, b in zip(texts, ends - n, ends, strict=True):
+            assert ids[a:b].tolist() == ids_of(tok, t or "")
+
+
+def test_every_string_of_the_file_is_merged_as_by_the_library():
+    import pyarrow as pa
+
+    from skeinwork.llm.units import WordRuns, word_ranks
+
+    runs, tok = WordRuns(queries.vocabulary("word_bpe_49k.json")), library("word_bpe_49k.json")
+    words = [w.decode(errors="ignore").strip("\x00") for w in word_ranks(tok)]
+    words = [w for w in words if w and not set(w) & set(" \n\x00\x01")]
+    rng = np.random.default_rng(6)
+    words += ["".join(words[k] for k in rng.integers(0, len(words), 3)) for _ in range(20_000)]
+    ids, n = runs.of(pa.array([" ".join(words)]))
+    assert n.tolist() == [len(ids)] and ids.tolist() == ids_of(tok, " ".join(words))
+
+
+def test_no_ranks_where_they_don_t_say_what_is_merged():
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    from skeinwork.llm.units import byte_alphabet, word_ranks
+
+    alphabet = byte_alphabet()
+    vocab = {w: k for k, w in enumerate([*alphabet, *[c + "</w>" for c in alphabet], "ab", "bc", "abc"])}
+    merges = [("a", "b"), ("b", "c"), ("a", "bc")]  # in a-b-c the first comes first, so abc never comes up
+    ranks = word_ranks(Tokenizer(BPE(vocab, merges, end_of_word_suffix="</w>")))
+    assert b"ab" in ranks and b"bc" in ranks and b"abc" not in ranks
+    assert word_ranks(Tokenizer(BPE(vocab, [*merges[::-1]], end_of_word_suffix="</w>"))) is None  # ids in another order
+    assert word_ranks(Tokenizer(BPE(vocab, [*merges, ("ab", "c")], end_of_word_suffix="</w>"))) is None  # two ways
+    assert word_ranks(Tokenizer(BPE(vocab, merges))) is None
+
+
+def test_variable_length_coding_of_many_documents():
+    n = np.asarray([1, 4, 5, 1, 7, 300])
+    ranks = np.random.default_rng(7).choice([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], n.sum()).astype(np.uint32)
+    control, data, size = token_files.encode_all(ranks, n)
+    c, d, a = 0, 0, 0
+    for k, s in zip(n.tolist(), size.tolist(), strict=True):
+        one = control[c : c + -(-k // 4)].tobytes(), data[d : d + s].tobytes()
+        assert one == token_files.encode(ranks[a : a + k]) and (token_files.decode(*one, k) == ranks[a : a + k]).all()
+        c, d, a = c + -(-k // 4), d + s, a + k
+    assert (c, d) == (len(control), len(data))
+    assert (token_files.decode_all(control.tobytes(), data.tobytes(), n) == ranks).all()
+
+
+def test_batches_by_bytes():
+    import pyarrow as pa
+
+    from skeinwork.llm.common import few_bytes
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", None, "b" * 9, "c", "", "dd", "ee"])], names=["t"])
+    got = [x.column(0).to_pylist() for x in few_bytes([batch.slice(0, 0), batch], 0, 4)]
+    assert got == [["aa", None], ["b" * 9], ["c", "", "dd"], ["ee"]]
