@@ -173,7 +173,7 @@ class WordRuns:
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def of_others(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.words[p] for p in pieces.to_pylist()]
+        found = list(map(self.words.__getitem__, pieces.to_numpy(zero_copy_only=False)))  # faster than to_pylist
         return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
 
     def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
