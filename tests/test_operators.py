@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skeinwork import queries
 from skeinwork.functions import answers
 from skeinwork.operators import exports, features, forecasting, library, similarity, windows, workflow
 from skeinwork.plans import registry
@@ -225,3 +227,42 @@ def test_search_in_groups(spark, monkeypatch):
         got = similarity.nearest(q, e, k, least)
         assert "CoGroup" in got._jdf.queryExecution().toString()  # before, each pair was a row of a join
         assert sorted(map(repr, got.collect())) == sorted(map(repr, similarity.top_k(dots.where(F.col("sim") >= least), "query", "item", k).collect()))
+
+
+def test_search_is_for_every_vector(spark, sf_dir):
+    """Each vector of the table has its neighbours, not those of some ids alone."""
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL").select("vec_id").collect()}
+    got = queries.vector_topk(spark, sf_dir).collect()
+    assert {r["query"] for r in got} == ids and all(r["item"] == r["query"] for r in got if r["rank"] == 1)
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-11, 1e-7, 0.3])
+def test_best_of_a_block(monkeypatch, noise):
+    """The k best by nine digits, whether or not single precision can tell entries apart; vectors without a component too."""
+    monkeypatch.setattr(similarity, "STRIP", 40)
+    monkeypatch.setattr(similarity, "FINE", 7)
+    rng = np.random.default_rng(5)
+    for width, nan in ((6, False), (6, True), (0, False)):
+        e = rng.normal(size=(3, width))[rng.integers(0, 3, 700)] + noise * rng.normal(size=(700, width))
+        if nan:
+            e[rng.integers(0, 700, 9)] = np.nan
+        e = similarity._matrix(pa.chunked_array([pa.array(e.tolist(), pa.list_(pa.float64()))]))
+        q = e[:90]
+        sims = np.zeros((len(q), len(e)))
+        for j in range(width):
+            sims += q[:, j, None] * e[None, :, j]
+        digits = np.where(np.isnan(sims), np.inf, np.floor(sims * 1e9 + 0.5))
+        for k, least in ((5, 0.1), (60, -1.0)):
+            want = [(i, int(j), float(sims[i, j])) for i in range(len(q)) for j in np.lexsort((np.arange(len(e)), -digits[i]))[:k] if not sims[i, j] < least]
+            found = zip(*(c.tolist() for c in similarity.block_top(q, e, np.arange(len(e)), k, least)))
+            assert repr([f for f in found if not f[2] < least]) == repr(want)
+            if not nan:  # near copies don't all have to be summed again
+                assert sum(len(r) for _, r, _ in similarity._candidates(q, e, k, least)) <= 4 * k * len(q)
+
+
+def test_blocks_of_a_search():
+    """No block is larger than it may be; there are enough pairs of blocks for as many tasks, and few queries aren't split in vain."""
+    assert similarity._grid(10, 32768, 10, 32768) == (6, 6)
+    assert similarity._grid(6, 32768, 615384, 32768) == (1, 32)
+    assert similarity._grid(615384, 32768, 615384, 32768) == (19, 19)
+    assert similarity._grid(0, 8, 0, 8)[0] >= 1
